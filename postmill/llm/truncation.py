@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +23,15 @@ from postmill.llm.common import materialise, mix, table
 # Marks that say a text goes on elsewhere.
 MORE = r"(?:\[\s*(?:…|\.{2,}|\+|more|mehr|más|plus|altro|mais)\s*\]|\(\s*(?:…|\.{2,}|more|continued|cont\.?|mehr|más|suite|segue|continua)\s*\)|…|\.{2,}|(?:see|read|show|view) more|continue reading|\bmore\b(?=\s*$)(?<=… more)|(?:mehr|alles) (?:anzeigen|lesen)|weiterlesen|(?:ver|leer|mostrar) más|seguir leyendo|voir plus|lire (?:la suite|plus)|afficher plus|(?:mostra|leggi|vedi) (?:altro|di più|tutto)|continua a leggere|(?:ver|ler|leia|mostrar) mais|continuar lendo|\[truncated\]|\(truncated\)|<cut>|\[cut\])"
 EMOJI = "\U0001f000-\U0001faff☀-➿←-⇿⌀-⏿⬀-⯿️‍"
-AFTER = re.compile(rf"(?:\s*(?:[{EMOJI}]+|#\w+|@\w+|(?:https?://|www\.)\S*|[:;]-?[()DP](?!\w)))+\s*$")
+AFTER = re.compile(rf"(?:\s*(?:[{EMOJI}]+|#\w+|@\w+|(?:https?://|www\.)\S*|[:;]-?[()DP](?!\w)|\(["“][^()"”]{0,80}["”]\)))+\s*$")
 MORE_END = re.compile(rf"\s*{MORE}\s*$", re.I)
 FINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*\s*$|[.!?][\"'”’»)\]]*\s*[!?]+\s*$")
-TOKEN = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*|[.!?;:,()…]|\n")
 PLATFORMS = ("reddit", "twitter", "quora", "facebook", "linkedin")
 #: How the last words can look: contexts of three words, of two and the kind of the third, of two, of one.
 ORDERS = 4
+MARK, PAUSE, WORD = 0, 1, 2
+MARKS = frozenset(".!?…\n")
+START = 0x5EED
 COLUMNS = ["key", "c0", "c1", "c2", "c3", "ends", "pauses", "goes_on"]
 
 
@@ -74,98 +77,83 @@ def author_end(lines: list[str]) -> str:
     return text
 
 
-def _shape(word: str) -> str:
-    return "#" if word[0].isdigit() else "Aa" if word[0].isupper() else "a"
+def _sequence(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Words and marks of the texts in order: (text, kind, hash, shape); kinds are MARK, PAUSE and WORD."""
+    import xxhash
 
-
-def _form(word: str) -> str:
-    return re.sub(r"\d+", "#", word.lower())
+    arr = pc.replace_substring_regex(pa.array(texts, pa.large_string()), r"[0-9]+(?:[.,:][0-9]+)*", "0")
+    arr = pc.replace_substring_regex(arr, r"[^\p{L}\p{M}\p{N}.!?;:,…\n'’-]+", " ")
+    arr = pc.replace_substring_regex(arr, r"([.!?;:,…\n])", r" \1 ")
+    lists = pc.split_pattern(arr, " ")
+    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    kind = np.array([MARK if w in MARKS else PAUSE if w in ";:," else WORD if any(c.isalnum() for c in w) else -1 for w in words], np.int8)
+    kind[[i for i, w in enumerate(words) if not w]] = -1
+    value = np.array([START if k == MARK else xxhash.xxh3_64_intdigest(w.strip("'’-").lower()) for w, k in zip(words, kind)], np.uint64)
+    shape = np.array([11 if w[:1].isdigit() else 12 if w[:1].isupper() else 13 for w in words], np.uint64)
+    keep = kind[codes] >= 0 if len(codes) else np.zeros(0, bool)
+    doc, codes = doc[keep], codes[keep]
+    return doc, kind[codes], value[codes], shape[codes]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map task: a row for each text without a final mark (its last words), and counts of endings after the words of all texts."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    forms: dict[str, tuple[int, str]] = {}
-
-    def known(word):
-        if (v := forms.get(word)) is None:
-            if len(forms) > 500_000:
-                forms.clear()
-            v = forms[word] = (digest(_form(word)), _shape(word))
-        return v
-
-    contexts: list[tuple[np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def pack():
-        keys = np.concatenate([k for k, _ in contexts])
-        kinds = np.concatenate([v for _, v in contexts])
+        keys, kinds = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         unique, at = np.unique(keys, return_inverse=True)
-        out = [np.bincount(at, kinds == k, len(unique)).astype(np.int64) for k in (0, 1, 2)]
-        contexts.clear()
-        return pa.RecordBatch.from_arrays([pa.nulls(len(unique), pa.int64()), pa.array(unique.view(np.int64)), *[pa.nulls(len(unique), pa.int64())] * 3, *map(pa.array, out)], COLUMNS)
+        counts = [pa.array(np.bincount(at, kinds == k, len(unique)).astype(np.int64)) for k in (MARK, PAUSE, WORD)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(unique), pa.int64()), pa.array(unique.view(np.int64)), *[pa.nulls(len(unique), pa.int64())] * 3, *counts], COLUMNS)
 
-    held = 0
     for batch in batches:
-        ids, tails, hashes, kinds = [], [], [], []
-        start = [digest("^")] * 2
-        for key, lines in zip(batch["key"].to_pylist(), batch["lines"].to_pylist()):
-            text = author_end([x or "" for x in lines])
-            if not text:
-                continue
-            row, last = [], None
-            w = [*start]
-            for m in TOKEN.finditer(text):
-                t = m.group()
-                if t[0].isalnum():
-                    if last is not None:
-                        kinds.append(2)
-                        row.append(last)
-                    h, s = known(t)
-                    last = (w[-2], w[-1], h, s)
-                    w = [w[-1], h]
-                elif last is not None and t not in "()":
-                    kinds.append(0 if t in ".!?\n" else 1)
-                    row.append(last)
-                    last = None
-                    if t in ".!?\n":
-                        w = [*start]
-            hashes += row
-            if last is not None:
-                if FINAL.search(text):
-                    hashes.append(last)
-                    kinds.append(0)
-                else:
-                    ids.append(key)
-                    tails.append(last)
-        if hashes:
-            contexts.append((_orders(hashes).T.ravel(), np.tile(np.array(kinds, np.int8), ORDERS)))
-            held += len(kinds)
-        if ids:
-            t = _orders(tails).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(np.ascontiguousarray(t[:, i])) for i in range(ORDERS)], *[pa.nulls(len(ids), pa.int64())] * 3], COLUMNS)
-        if held > 3_000_000:
+        texts = [author_end(x) if len(x) > 1 or (x[0] or "")[-1:] not in ".!?" else x[0] for x in batch["lines"].to_pylist()]
+        doc, kind, value, shape = _sequence(texts)
+        if not len(doc):
+            continue
+        follower = np.full(len(doc), -1, np.int8)
+        follower[:-1] = np.where(doc[1:] == doc[:-1], kind[1:], -1)
+        # Words before, across pauses but not across the start of a sentence.
+        full = np.flatnonzero(kind != PAUSE)
+        d, v, m = doc[full], value[full], kind[full] == MARK
+        one = np.full(len(full), START, np.uint64)
+        one[1:] = np.where(d[1:] == d[:-1], v[:-1], np.uint64(START))
+        two = np.full(len(full), START, np.uint64)
+        two[2:] = np.where((d[2:] == d[:-2]) & ~m[1:-1], v[:-2], np.uint64(START))
+        word = ~m
+        contexts, after = _orders(two[word], one[word], v[word], shape[full][word]), follower[full][word]
+        owner = d[word]
+        told = after >= 0
+        parts.append((contexts[told].T.ravel(), np.tile(after[told], ORDERS)))
+        # The last word of a text that has no mark after it.
+        last = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(0, np.int64)
+        open_ = last[(after[last] == -1) | (after[last] == PAUSE) & (kind[np.searchsorted(doc, owner[last], "right") - 1] == PAUSE)]
+        n = np.bincount(owner, minlength=len(texts))[owner[open_]]
+        keys = batch["key"].to_numpy(zero_copy_only=False)[owner[open_]]
+        c = contexts[open_].view(np.int64)
+        spare = pa.nulls(len(open_), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(ORDERS)], pa.array(n.astype(np.int64)), pa.array((shape[full][word][open_] == 13).astype(np.int64)), spare], COLUMNS)
+        if sum(len(k) for k, _ in parts) > 12_000_000:
             yield pack()
-            held = 0
-    if contexts:
+    if parts:
         yield pack()
 
 
-def _orders(rows: list[tuple]) -> np.ndarray:
-    """Context hashes (rows x orders) of (word before last but one, word before, word, shape)."""
-    a, b, c = (np.array([r[i] for r in rows], np.uint64) for i in range(3))
-    s = np.array([{"#": 11, "Aa": 12, "a": 13}[r[3]] for r in rows], np.uint64)
+def _orders(a: np.ndarray, b: np.ndarray, c: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Context hashes (rows x orders) of the last word but two, the last but one, the last, and its kind."""
     with np.errstate(over="ignore"):
         two = mix(b * np.uint64(3) + np.uint64(2))
         three = mix(a * np.uint64(5) + two)
-        return np.stack([mix(three + c), mix(three + s), mix(two ^ mix(c)), mix(c + np.uint64(1))], 1)
+        return np.stack([mix(three + c), mix(three + shape), mix(two ^ mix(c)), mix(c + np.uint64(1))], 1)
 
 
-def find_cut_texts(df: DataFrame, key: str, col: str) -> DataFrame:
+def find_cut_texts(df: DataFrame, key: str, col: str, least: int = 6) -> DataFrame:
     """The keys of texts whose author's words stop inside a word or sentence.
 
-    NULL, empty and blank texts are never cut. A text without a final mark is cut if it ends at a hidden limit, or if its last word is
-    unknown to the corpus, or if after its last words (three, else two and the kind of the third, else two, else one, whichever the
+    NULL, empty and blank texts are never cut. A text without a final mark is cut if it ends at a hidden limit, or, if it has at least
+    ``least`` words, if its last word is unknown to the corpus or never follows the word before it though others do, or if after its last words (three, else two and the kind of the third, else two, else one, whichever the
     corpus knows) a sentence goes on more often than it ends or pauses. The counts cover all texts, whole. Rows that share a key are judged
     one by one. An empty table gives an empty result.
     """
@@ -179,8 +167,8 @@ def find_cut_texts(df: DataFrame, key: str, col: str) -> DataFrame:
     scanned = materialise(seen.mapInArrow(_scan, ", ".join(f"{c} long" for c in COLUMNS)))
     counts = scanned.where("key is null").groupBy(F.col("c0").alias("context")).agg(*[F.sum(c).alias(c) for c in COLUMNS[5:]])
     tails = scanned.where("key is not null")
-    asked = tails.select("key", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("k", "context"))
-    told = asked.join(counts, "context", "left").groupBy("key").pivot("k", [0, 1, 2, 3]).agg(F.max("ends").alias("e"), F.max("pauses").alias("p"), F.max("goes_on").alias("g"))
+    asked = tails.select("key", F.col("ends").alias("words"), F.col("pauses").alias("small"), F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("k", "context"))
+    told = asked.join(counts, "context", "left").groupBy("key", "words", "small").pivot("k", [0, 1, 2, 3]).agg(F.max("ends").alias("e"), F.max("pauses").alias("p"), F.max("goes_on").alias("g"))
 
     def total(k):
         return sum((F.coalesce(F.col(f"{k}_{x}"), F.lit(0)) for x in "epg"), F.lit(0))
@@ -188,11 +176,11 @@ def find_cut_texts(df: DataFrame, key: str, col: str) -> DataFrame:
     def goes_on(k):
         return F.col(f"{k}_g") > F.col(f"{k}_e") + F.col(f"{k}_p")
 
-    verdict = F.when(total(3) == 0, True)
+    verdict = F.when((total(3) == 0) | (total(2) == 0) & (total(1) >= 8) & (F.col("small") == 1), True)
     for k in range(ORDERS):
         verdict = verdict.when(total(k) >= (2 if k == 0 else 3), goes_on(k))
     judged = told.withColumn("cut", verdict.otherwise(True))
-    return judged.join(at_limit.withColumn("limit", F.lit(True)), "key", "left").where("cut or limit").select("key").distinct()
+    return judged.join(at_limit.withColumn("limit", F.lit(True)), "key", "left").where(f"cut and words >= {least} or limit").select("key").distinct()
 
 
 def cut_platform(value: Column) -> Column:
