@@ -23,7 +23,7 @@ from postmill.llm.common import materialise, mix, table
 # Marks that say a text goes on elsewhere.
 MORE = r"(?:\[\s*(?:…|\.{2,}|\+|more|mehr|más|plus|altro|mais)\s*\]|\(\s*(?:…|\.{2,}|more|continued|cont\.?|mehr|más|suite|segue|continua)\s*\)|…|\.{2,}|(?:see|read|show|view) more|continue reading|\bmore\b(?=\s*$)(?<=… more)|(?:mehr|alles) (?:anzeigen|lesen)|weiterlesen|(?:ver|leer|mostrar) más|seguir leyendo|voir plus|lire (?:la suite|plus)|afficher plus|(?:mostra|leggi|vedi) (?:altro|di più|tutto)|continua a leggere|(?:ver|ler|leia|mostrar) mais|continuar lendo|\[truncated\]|\(truncated\)|<cut>|\[cut\])"
 EMOJI = "\U0001f000-\U0001faff☀-➿←-⇿⌀-⏿⬀-⯿️‍"
-AFTER = re.compile(rf"(?:\s*(?:[{EMOJI}]+|#\w+|@\w+|(?:https?://|www\.)\S*|[:;]-?[()DP](?!\w)|\(["“][^()"”]{0,80}["”]\)))+\s*$")
+AFTER = re.compile(rf"""(?:\s*(?:[{EMOJI}]+|#\w+|@\w+|(?:https?://|www\.)\S*|[:;]-?[()DP](?!\w)|\(["“][^()"”]{{0,80}}["”]\)))+\s*$""")
 MORE_END = re.compile(rf"\s*{MORE}\s*$", re.I)
 FINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*\s*$|[.!?][\"'”’»)\]]*\s*[!?]+\s*$")
 PLATFORMS = ("reddit", "twitter", "quora", "facebook", "linkedin")
