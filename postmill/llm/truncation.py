@@ -109,7 +109,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.nulls(len(unique), pa.int64()), pa.array(unique.view(np.int64)), *[pa.nulls(len(unique), pa.int64())] * 3, *counts], COLUMNS)
 
     for batch in batches:
-        texts = [author_end(x) if len(x) > 1 or (x[0] or "")[-1:] not in ".!?" else x[0] for x in batch["lines"].to_pylist()]
+        texts = [author_end(x) if len(x) > 1 or not FINAL.search((x[0] or "")[-9:]) or MORE_END.search((x[0] or "")[-40:]) else x[0] for x in batch["lines"].to_pylist()]
         doc, kind, value, shape = _sequence(texts)
         if not len(doc):
             continue
