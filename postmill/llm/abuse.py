@@ -35,11 +35,11 @@ PATTERNS = {
     "abuse": """
 you _ {I}; your _ {I}; {I} _ you; every|all _ {I}; of you __ {I}; manager|rep|courier|agent|person|staff|cashier|clerk|guy|woman|boss|driver|owner|seller _ {I}; these|those|such|bunch _ {I}; lying|worthless|complete|utter {I};
 hope|hopes _ chokes|choke|dies|die; whoever _ chokes|choke; chokes on it; break|breaks|smash _ fingers|legs|bones|arms|teeth|neck; find|finds out where _ sleeps|lives; make|makes them|him|her|you sorry; too dim|stupid|dumb|thick to breathe|live; walk into traffic; shut your|that mouth|trap|face; shut up; drop dead; kill yourself|yourselves; rot in hell; beat|punch _ up|face; deserve|deserves _ beating|thrashing; spit on you;
-ojala _ ahogue|ahoguen|muera|mueran; callate|callaos; cierra la boca; merecen|merece _ paliza|hostia; ojala os echen; basura humana; sois _ {I}; esos|estos|unos|todos|sus|tus {I}; eres _ {I}; son _ {I}; pedazo de {I}; romperle|romper|partir _ dedos|piernas|cara|dientes; se donde vives|vive;
+ojala __ ahogue|ahoguen|muera|mueran; callate|callaos; cierra la boca; merecen|merece _ paliza|hostia; ojala os echen; basura humana; sois _ {I}; esos|estos|unos|todos|sus|tus {I}; eres _ {I}; son _ {I}; pedazo de {I}; romperle|romper|partir _ dedos|piernas|cara|dientes; se donde vives|vive;
 erstickt|ersticken|ersticke daran; halt|haltet _ klappe|fresse|maul; stuck dreck; sollte|soll|musste man verprugeln|schlagen|verhauen; gehort|gehoren entlassen|verprugelt|eingesperrt; ihr|du|sie _ {I}; solche|diese {I}; finger|knochen|beine _ brechen; ich finde heraus wo _ schlaft|wohnt;
 etouffer avec; etouffe|etouffent avec; ferme la; ferme ta gueule; fermez la; espece de {I}; meritent|merite _ raclee|baffe|correction; crache dessus; vous etes _ {I}; tu es _ {I}; ces|tous|bande {I}; bande de {I}; casser|briser _ doigts|jambes|dents; sais ou _ dort|habite;
-ci si strozzi; si strozzi|strozzino con; chiudi _ bocca; stai zitto|zitta; pezzo di {I}|merda; siete _ {I}; sei _ {I}; meritano|merita _ botte|legnate|lezione|bastonate; quegli|quei|questi|quelli|tutti {I}; spero che _ strozzi|muoia|crepi; rompere|spezzare _ dita|gambe; sputo addosso;
-se engasgue|engasguem; tomara que _ engasgue|morra|engasguem; cala|calem _ boca; lixo humano; voces sao _ {I}; voce e _ {I}; deviam sumir|morrer; merecem|merece _ surra; esses|aqueles|seus|uns|todos {I}; seu|sua {I}; bando de {I}; quebrar|quebrem _ dedos|pernas|dentes; cuspo em
+ci si strozzi; si strozzi|strozzino con; chiudi _ bocca; stai zitto|zitta; pezzo di {I}|merda; siete _ {I}; sei _ {I}; meritano|merita _ botte|legnate|lezione|bastonate; quegli|quei|questi|quelli|tutti {I}; spero che __ strozzi|muoia|crepi; rompere|spezzare _ dita|gambe; sputo addosso;
+se engasgue|engasguem; tomara que __ engasgue|morra|engasguem; cala|calem _ boca; lixo humano; voces sao _ {I}; voce e _ {I}; deviam sumir|morrer; merecem|merece _ surra; esses|aqueles|seus|uns|todos {I}; seu|sua {I}; bando de {I}; quebrar|quebrem _ dedos|pernas|dentes; cuspo em
 """,
     "hate": """
 {G} _ born thieves|criminals|liars; born thieves _ them; {G} __ vermin|filth|scum|filthy|animals|rats|cockroaches; they are vermin|filth|animals; that lot __ vermin; breed like rats|rabbits|vermin; filthy lot; throw|kick|send|get _ {G} _ out|back; throw|kick every|all _ out of the country; better off before _ allowed; have no business _ brains|anything; {G} _ brains _ small; hired _ filthy; {G} should|must _ deported|exterminated|shot|gassed; gas the; hate all _ {G}; {G} _ go back to;
@@ -147,7 +147,7 @@ class Lexicon:
             out.add("{G}")
         tricky = any(c in LEET for c in plain) and any(c.isalpha() for c in plain) or "*" in token.strip(STRIP)
         word = "".join(LEET.get(c, c) for c in fold(token.strip(STRIP)))
-        word = re.sub(r"(.)\1{2,}", r"\1", word)
+        word = re.sub(r"([^*])\1{2,}", r"\1", word)
         word = re.sub(r"[^a-z*]", "", word) if tricky or len(word) != len(plain) else word
         if plain in self.exact or plain in ORDINARY or not word or word.isdigit():
             return frozenset(out)
