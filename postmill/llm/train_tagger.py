@@ -1,6 +1,6 @@
-"""Makes labelled spans and trains the tagger: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [STEPS].
+"""Makes labelled spans and trains the tagger: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [STEPS [WEIGHTS]].
 
-The spans are made here from formats and frames in six languages, never read from anywhere; posts without long numbers or at-signs serve as the
+With WEIGHTS, training goes on from there, at a lower rate and on other windows. The spans are made here from formats and frames in six languages, never read from anywhere; posts without long numbers or at-signs serve as the
 text around them (at most 20,000 sentences).
 """
 
@@ -27,7 +27,7 @@ Call me on {P} after six.|My number is {P}, ask for the night desk.|They keep ri
 They asked for my national ID and I sent {I} like a fool.|The form even shows my social security number {I} in clear.|Passport {I} was printed on the label.|My tax id is {I}, use that to find the claim.|SSN {I}|My insurance number {I} is on the form.|Passport no. {I} expired.|Meine Ausweisnummer {I} wurde einfach kopiert.|Auf dem Brief stand meine Steuer-ID {I} im Klartext.|Reisepass {I} lag offen.|Meine Versicherungsnummer {I} stand drauf.|En la etiqueta salía mi documento de identidad {I} a la vista.|Mi DNI {I} aparece en la caja.|Me pidieron el pasaporte y mandé {I}.|Mi número de la seguridad social {I} salía en la carta.|Mon numéro de sécurité sociale {I} figurait sur le colis.|Mon passeport {I} est sur la facture.|Mon numéro fiscal {I} est visible.|Il mio codice fiscale {I} era stampato sul pacco.|Il passaporto {I} era visibile.|Na etiqueta estava o meu número de contribuinte {I} bem visível.|Meu CPF {I} apareceu na caixa.|O meu passaporte {I} estava na carta.
 I live at {A}, two minutes from the depot.|They shipped it to {A} instead of my new flat.|Come and see the damage yourself: {A}.|Send it to {A}.|Address: {A}|It went to {A} again.|Ich wohne in der {A}, direkt am Lager.|Geliefert wurde an {A} statt zu mir.|Die Adresse ist {A}.|Lo mandaron a {A} y no a mi piso nuevo.|Vivo en {A}, al lado del almacén.|La dirección es {A}.|Ils ont livré au {A} et non chez moi.|J'habite au {A}, juste à côté du dépôt.|Hanno spedito in {A} e non a casa mia.|Abito in {A}, vicino al magazzino.|Mandaram para {A} e não para a minha casa.|Moro na {A}, ao lado do depósito.
 My name is {N} and I want an answer.|Signed, {N}, your former fan.|The agent, {N}, hung up on me.|I spoke to {N} on the phone.|Yours, {N}|Thanks to {N} for the help.|Ask for {N} at the desk.|Mein Name ist {N} und ich erwarte eine Antwort.|Der Berater, {N}, hat aufgelegt.|Gezeichnet, {N}, kein Fan mehr.|Me llamo {N} y espero una respuesta.|El agente, {N}, me colgó.|Firmado, {N}, antes cliente fiel.|Je m'appelle {N} et j'attends une réponse.|Le conseiller, {N}, a raccroché.|Signé, {N}, ancien client.|Mi chiamo {N} e aspetto una risposta.|L'operatore, {N}, ha riattaccato.|Firmato, {N}, ex cliente.|Meu nome é {N} e espero uma resposta.|O atendente, {N}, desligou na minha cara.|Assinado, {N}, ex-cliente.
-Order {o} has been stuck since the weekend.|Tracking {o} has not moved at all.|Lot {o} and serial {o} are both affected.|Invoice {o}|Die Bestellung {o} hängt seit dem Wochenende fest.|Sendung {o} bewegt sich nicht.|El pedido {o} lleva parado desde el sábado.|El envío {o} no se mueve.|La commande {o} est bloquée depuis samedi.|Le colis {o} ne bouge plus.|L'ordine {o} è fermo da sabato.|Il pacco {o} non si muove.|O pedido {o} está parado desde sábado.|A encomenda {o} não anda.|Model {m} keeps losing the connection.|Batch {m} had been recalled.|Modell {m} ist jeden Cent wert.|Firmware {v} broke the timer for me.|Follow {h} for the full teardown.|via {h}|RT {h}:|{l}|See {l} for photos.|Ask {g} at the desk, always helpful.|Fragt {g} am Schalter, immer nett.|Preguntad por {g} en el mostrador.|Demandez {g} au guichet.|Chiedete di {g} al banco.|Perguntem por {g} no balcão.|The shop on {s} closes early now.|Der Laden in der {t} hat zu.|La tienda de la {c} cierra pronto.|La boutique de la {r} ferme tôt.|Il negozio di {w} chiude presto.|The {b} headset was a gift.|{b} never answered my call.|The help page at {b} told me the fee only applies abroad.|Der Verkäufer von {b} schwor, die Gebühr gelte nur im Ausland.|La hotline de {b} a avoué que les frais sont gratuits.|A central da {b} jurou que o preço cai.|Il commesso di {b} ha ammesso tutto.|I paid {p} for it on {d}.|It arrived {n} days early from the shop near {T}.|A trainee in {T} at {b} joked about it.|© {y} {b}. All rights reserved.|{n} comments · {n} shares|Half past {n} at the {T} outlet.
+Order {o} has been stuck since the weekend.|Tracking {o} has not moved at all.|Lot {o} and serial {o} are both affected.|Invoice {o}|Die Bestellung {o} hängt seit dem Wochenende fest.|Sendung {o} bewegt sich nicht.|El pedido {o} lleva parado desde el sábado.|El envío {o} no se mueve.|La commande {o} est bloquée depuis samedi.|Le colis {o} ne bouge plus.|L'ordine {o} è fermo da sabato.|Il pacco {o} non si muove.|O pedido {o} está parado desde sábado.|A encomenda {o} não anda.|Model {m} keeps losing the connection.|Batch {m} had been recalled.|Modell {m} ist jeden Cent wert.|Firmware {v} broke the timer for me.|Follow {h} for the full teardown.|via {h}|RT {h}:|Thanks to {g} for the quick call.|{l}|See {l} for photos.|Ask {g} at the desk, always helpful.|Fragt {g} am Schalter, immer nett.|Preguntad por {g} en el mostrador.|Demandez {g} au guichet.|Chiedete di {g} al banco.|Perguntem por {g} no balcão.|The shop on {s} closes early now.|Der Laden in der {t} hat zu.|La tienda de la {c} cierra pronto.|La boutique de la {r} ferme tôt.|Il negozio di {w} chiude presto.|The {b} headset was a gift.|{b} never answered my call.|The help page at {b} told me the fee only applies abroad.|Der Verkäufer von {b} schwor, die Gebühr gelte nur im Ausland.|La hotline de {b} a avoué que les frais sont gratuits.|A central da {b} jurou que o preço cai.|Il commesso di {b} ha ammesso tutto.|I paid {p} for it on {d}.|It arrived {n} days early from the shop near {T}.|A trainee in {T} at {b} joked about it.|© {y} {b}. All rights reserved.|{n} comments · {n} shares|Half past {n} at the {T} outlet.
 """.replace("\n", "|").strip("|").split("|")
 
 
@@ -62,7 +62,7 @@ class Maker:
         return self.digits(self.r.choice(["+1 999 555 9999", "999-555-9999", "(999) 555-9999", "9995559999", "1.999.555.9999", "555 9999", "555-9999", "+44 1632 960 999", "01632 960999", "01632 960 999", "+49 (0)30 23125 999", "030 23125 999", "030 23125999", "0049 30 23125-999", "+49 30 23125999", "+34 999 999 999", "999 99 99 99", "999 999 999", "0199.00.99.99", "01 99 00 99 99", "+33 1 99 00 99 99", "+33 (0)1 99 00 99 99", "+39 555 9999999", "555 9999 999", "+39 06 5559999", "(55) 5555-9999", "+351 555 999 999", "+55 11 95555-9999", "555 999 999", "0171 9999999", "+44 (0)20 7946 0999", "1-800-555-9999", "+1-999-555-9999", "0555 999999"]))
 
     def I(self):  # noqa: E743, N802
-        return self.digits(self.r.choice(["999-99-9999", "999 99 9999", "999999999", "QQ 99 99 99 A", "QQ999999A", "A9999999", "99999999A", "99999999-A", "9999 9999 9999", "99 999 999 999", "99999999999", "99 999999 A 999", "9 99 99 99 999 999 99", "999999999999999", "9 99 99 99 999 999", "AAAAAA99A99A999A", "999 999 999", "A999999AA", "AA9999999", "999.999.999-99", "99.999.999-9", "C99A99A99", "999 9999 999"]))
+        return self.digits(self.r.choice(["999-99-9999", "999 99 9999", "999999999", "QQ 99 99 99 A", "QQ999999A", "A9999999", "99999999A", "99999999-A", "9999 9999 9999", "99 999 999 999", "99999999999", "99 999999 A 999", "9 99 99 99 999 999 99", "999999999999999", "9 99 99 99 999 999", "AAAAAA99A99A999A", "AAA AAA 99A99 A999A", "AAAAAA 99A99 A999A", "QQ 99 99 99 A", "QQ999999A", "999-99-9999", "A9999999", "999 999 999", "A999999AA", "AA9999999", "999.999.999-99", "99.999.999-9", "C99A99A99", "999 9999 999"]))
 
     def A(self):  # noqa: N802
         r = self.r
@@ -71,14 +71,14 @@ class Maker:
         zip_ = self.digits("99999")
         en = f"{n} {name} {r.choice(STREETS_EN)}"
         out = r.choice([
-            en, f"{en}, {town}", f"{en}, {town} {zip_}", f"Flat {r.randint(1, 20)}, {en}, {town}", f"{en}, Apt {r.randint(1, 30)}", f"No. {n}, {name} {r.choice(STREETS_EN)}", f"Flat {r.randint(1, 9)}, {en}, {town} {zip_}",
+            en, en, en, f"No. {n}, {name} {r.choice(STREETS_EN)}", f"{en}, {town}", f"{en}, {town} {zip_}", f"Flat {r.randint(1, 20)}, {en}, {town}", f"{en}, Apt {r.randint(1, 30)}", f"No. {n}, {name} {r.choice(STREETS_EN)}", f"Flat {r.randint(1, 9)}, {en}, {town} {zip_}",
             f"{name}-Str. {n}, {town}", f"{name}weg {n}, {zip_} {town}", f"{name}straße {n}", f"{name}strasse {n}, {zip_} {town}", f"{name}allee {n}", f"{name}platz {n}, {town}", f"{name}gasse {n}", f"{name}str. {n}",
             f"Calle {name} {n}", f"Calle {name} {n}, {r.randint(1, 9)}º B", f"C/ {name}, nº {n}, {town}", f"Avenida {name} {n}", f"Plaza {name} {n}, {zip_} {town}", f"Calle {name}, {n}", f"Avda. {name} {n}",
             f"{n} rue du {name}", f"{n} rue {name}", f"{n} bis, avenue {name}, {zip_} {town}", f"{n}, boulevard {name}", f"{n} chemin de {name}, {town}", f"{n}, rue de {name}, {zip_} {town}",
             f"Via {name}, {n}", f"Viale {name} {n}, {zip_} {town}", f"Piazza {name} {n}", f"Via {name} {n}, {town}", f"Corso {name}, {n}",
             f"Rua {name}, {n}", f"Avenida {name}, nº {n}, {town}", f"Rua {name} {n}, {town}", f"Travessa {name}, {n}", f"Rua {name}, no {n}",
         ])
-        return out.lower() if r.random() < 0.12 else out
+        return out.lower() if r.random() < 0.25 else out
 
     def family(self):
         r = self.r
@@ -154,6 +154,10 @@ def windows(path: str, size: int, seed: int = 7):
 
 if __name__ == "__main__":
     steps = int(sys.argv[3]) if len(sys.argv) > 3 else 2500
-    weights = train(windows(sys.argv[1], 128), steps=steps, say=lambda x: print(x, flush=True))
+    before = None
+    if len(sys.argv) > 4:
+        with np.load(sys.argv[4]) as f:
+            before = {k: f[k].astype(np.float32) for k in f.files}
+    weights = train(windows(sys.argv[1], 128, 7 + (before is not None)), before, 0.01 if before is None else 0.004, steps=steps, say=lambda x: print(x, flush=True))
     np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in weights.items()})
     print("kinds:", *KINDS)
