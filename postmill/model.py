@@ -11,8 +11,12 @@ NEGATIVE, POSITIVE, NEUTRAL = "NEGATIVE", "POSITIVE", "NEUTRAL"
 LABELS = (NEGATIVE, POSITIVE)
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type" pairs; unlike DDL parsing it needs no session, so workers can import it."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(", "))])
 
 
 SCRAPED = _struct("social string, posts string")

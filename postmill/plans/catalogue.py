@@ -188,7 +188,6 @@ _COUNTS = ", ".join(
     f"count(*) filter (where sentiment = '{s.upper()}'" + (f" and social = '{p.capitalize()}'" if p != "total" else "") + f") as {p}_{s}" for p, s in (c.split("_") for c in COUNTS)
 )
 _SCORE = "case when total_positive + total_negative > 0 then total_positive::double / (total_positive + total_negative)::double * 10.0::double end as score"
-_BY = "select {by}, *exclude({by}), " + _SCORE + " from (select {by}, " + _COUNTS + " from labelled_posts l join raw_posts r on l.number = r.id group by {by})"
 
 
 def _by(column: str) -> str:
@@ -197,11 +196,10 @@ def _by(column: str) -> str:
 
 
 def _hits(words) -> str:
-    return f"len(list_filter(regexp_split_to_array(lower(posts), '[^\\p{{L}}\\p{{N}}]+'), w -> w in ({', '.join(repr(w) for w in words)})))"
+    return f"len(list_filter(regexp_split_to_array(lower(posts), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w in ({', '.join(repr(w) for w in words)})))"
 
 
 _CHANGES = "select id, brand, score, last_value(score ignore nulls) over (partition by brand order by date, id rows between unbounded preceding and 1 preceding) as previous_score from report_history"
-_HTML = "'<html><h1>' || {h} || '</h1>' || '<p class=\"t\">' || replace({p}, chr(10), '</p><p class=\"t\">') || '</p></html>'"
 
 ORACLE: dict[str, str] = {
     "posts_scan": "select id, social, posts from raw_posts",
@@ -221,7 +219,7 @@ ORACLE: dict[str, str] = {
     "newest_posts": "select id, posted_at from raw_posts order by posted_at desc nulls last, id limit 100",
     "run_tables": "select run_id, replace(search, ' ', '') || '_table' as posts_table, replace(search, ' ', '') || '_sentimenttable' as history_table from run_params",
     "brand_table_collisions": "select lower(replace(brand, ' ', '') || '_table') as folded, count(*) as brands from brands group by 1 having count(*) > 1",
-    "encoded_searches": r"select run_id, replace(url_encode(search), '%2F', '/') as encoded, array_to_string(list_filter(regexp_split_to_array(search, '\s+'), w -> w <> ''), '+') as joined from run_params",
+    "encoded_searches": r"select run_id, replace(url_encode(search), '%2F', '/') as encoded, array_to_string(list_filter(regexp_split_to_array(search, '\s+'), lambda w: w <> ''), '+') as joined from run_params",
     "report_bodies": "select brand, '1. Score: ' || coalesce(round(score, 2)::varchar, 'none') || ' out of 10.' || chr(10) || '2. Posts on ' || brand || ' with a label: ' || (total_negative + total_positive) || '.' || chr(10) || '3. In total: ' || total_positive || ' positive, ' || total_negative || ' negative.' || "
     + " || ".join(f"chr(10) || '{i}. {p.capitalize()}: ' || {p}_positive || ' positive, ' || {p}_negative || ' negative.'" for i, p in enumerate(("facebook", "twitter", "reddit", "quora"), 4))
     + f" as body from ({_by('brand')}) where brand is not null",
