@@ -32,7 +32,7 @@ LOOK_ALIKE = {
 SAME_LOOK = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 #: Variation selectors, and joiners outside emoji.
-INVISIBLE = r"[\x{FE0E}\x{FE0F}]|(?<![\p{So}\p{Sk}\x{FE0F}])\x{200D}|\x{200D}(?!\p{So})"
+INVISIBLE = r"[\x{FE0E}\x{FE0F}]|(?<![\p{So}\p{Sk}\x{FE0F}\x{1F000}-\x{1FAFF}])\x{200D}|\x{200D}(?!\p{So})"
 LINE_BREAKS = "\r\v\f\x85  "
 ZWJ = 0x200D
 
