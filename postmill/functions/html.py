@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def elements(html: Column, tag: str) -> Column:
@@ -59,7 +60,7 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parsed_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text of whole pages by a parser, without scripts and styles; broken HTML gives what can be read."""
 
