@@ -7,11 +7,12 @@ remain open take the class of the nearest decided blocks, and stay the author's
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.canon import canonicalise
@@ -74,6 +75,8 @@ def _label(text: str) -> bool:
 def _only_labels(text: str) -> int:
     """How many labels a text without separators is made of; 0 if it holds anything else."""
     words = text.split()
+    if len(words) > 24:
+        return 0
     done = [1] + [0] * len(words)  # by number of words: labels so far, plus one
     for i in range(1, len(words) + 1):
         done[i] = max((done[j] + 1 for j in range(max(0, i - 4), i) if done[j] and _label(" ".join(words[j:i]))), default=0)
@@ -159,10 +162,12 @@ def find_page_lines(df: DataFrame, key: str, col: str) -> DataFrame:
 
 def _seen(rows: DataFrame) -> DataFrame:
     """The lines of each text, each in canonical form, with their numbers kept."""
-    # Another kind of line break within a line doesn't start a new one.
-    guarded = F.regexp_replace(F.col("text"), r"[\r\x0B\x0C\x{85}\x{2028}\x{2029}]", " ")
-    # A mark before each line keeps blank lines at the ends of a text, which the canonical form drops.
-    guarded = F.concat(F.lit("‖"), F.regexp_replace(guarded, "\n", "\n‖"))
+    text = F.col("text")
+    # Another kind of line break within a line doesn't start a new one; a mark before each line keeps blank lines at the ends
+    # of a text, which the canonical form drops. Texts of one line need neither.
+    one_line = functools.reduce(Column.__and__, [~F.contains(text, F.lit(c)) for c in "\n\r\v\f\x85\u2028\u2029"])
+    marked = F.concat(F.lit("‖"), F.regexp_replace(F.regexp_replace(text, r"[\r\x0B\x0C\x{85}\x{2028}\x{2029}]", " "), "\n", "\n‖"))
+    guarded = F.when(one_line, text).otherwise(marked)
     lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "^‖ ?", ""))
     return canonicalise(rows.withColumn("text", guarded), "text", "text").select("key", lines.alias("lines"))
 

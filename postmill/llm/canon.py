@@ -31,8 +31,10 @@ LOOK_ALIKE = {
 # Kinds of compatibility decomposition that change width, weight or joining only.
 SAME_LOOK = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>", "<small>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-#: Variation selectors, and joiners outside emoji.
-INVISIBLE = r"[\x{FE0E}\x{FE0F}]|(?<![\p{So}\p{Sk}\x{FE0F}\x{1F000}-\x{1FAFF}])\x{200D}|\x{200D}(?!\p{So})"
+#: A joiner between emoji, held by a private character while the other joiners and variation selectors are taken out.
+JOINED = r"([\p{So}\p{Sk}]\x{FE0F}?)\x{200D}(?=\p{So})"
+HELD = ""
+INVISIBLE = r"[\x{FE0E}\x{FE0F}\x{200D}]"
 LINE_BREAKS = "\r\v\f\x85  "
 ZWJ = 0x200D
 
@@ -135,7 +137,8 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     names = [c for c in df.columns if c != out]
     source = F.col(f"`{col}`")
     joined = functools.reduce(Column.__or__, [F.contains(source, F.lit(x)) for x in ("\u200d", "\ufe0e", "\ufe0f")])
-    clean = F.when(joined, F.regexp_replace(source, INVISIBLE, "")).otherwise(source)
+    held = F.regexp_replace(source, JOINED, "$1" + HELD)
+    clean = F.when(joined, F.translate(F.regexp_replace(held, INVISIBLE, ""), HELD, "\u200d")).otherwise(source)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), clean.alias("_t"))
     other = ((F.octet_length("_t") > F.char_length("_t")) | F.col("_t").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")) & F.col("_t").rlike(f"[^{plain_class()}\\t\\r]")
     easy = rows.where(F.coalesce(~other, F.lit(True))).select("_row", tidy(F.col("_t")).alias("_text"))

@@ -35,6 +35,7 @@ NO_LABEL = ("", "und", "unk", "unknown", "none", "null", "n/a", "na", "zxx", "mu
 
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|\n+")
 ASIDE = re.compile(r"\(\s*[\"“'‘][^()]{0,80}\)|[\"“„«][^\"“”„«»]{0,60}[\"”»]|(?:https?://|www\.)\S+|\S*@\S+|#\w+|\bRT\b")
+MAYBE_ASIDE = re.compile(r"[\"“„«@#]|://|www\.|\bRT\b|\([\"“'‘]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 OTHER_SCRIPT = re.compile("[Ͱ-᳿Ⰰ-ⱟⴀ-ꜟꠀ-﫿]")
 
@@ -134,16 +135,18 @@ def _label(model, inside: float, between: float, chunk: int = 2000):
                 yield from some(keys[at : at + chunk], lines[at : at + chunk], known)
 
     def some(keys, all_lines, known):
-        texts, sentences, owner = [], [], []
+        sentences, owner, found = [], [], []
         for i, lines in enumerate(all_lines):
             lines = [x or "" for x in lines]
             if len(lines) > 1:
                 lines = [x for x, page in zip(lines, page_lines(lines)) if not page]
-            for s in SENTENCE.split("\n".join(lines)):
-                if s and s.strip():
-                    sentences.append(s.strip())
+            text = "\n".join(lines)
+            plain = MAYBE_ASIDE.search(text) is None
+            for s in SENTENCE.split(text):
+                if s and (s := s.strip()):
+                    sentences.append(s)
                     owner.append(i)
-        found = [WORD.findall(ASIDE.sub(" ", s)) for s in sentences]
+                    found.append(WORD.findall(s if plain else ASIDE.sub(" ", s)))
         if not any(found):
             return
         sizes = np.array([len(f) for f in found])

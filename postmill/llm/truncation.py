@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,7 @@ ORDERS = 4
 MARK, PAUSE, WORD = 0, 1, 2
 MARKS = frozenset(".!?…\n")
 START = 0x5EED
+STRETCH = 120
 COLUMNS = ["key", "c0", "c1", "c2", "c3", "ends", "pauses", "goes_on"]
 
 
@@ -69,8 +71,12 @@ def author_end(lines: list[str]) -> str:
     """The author's words up to their last, without what was put after them."""
     kept = [x for x, page in zip(lines, page_lines(lines)) if not page and x.strip()] if len(lines) > 1 else lines
     text = "\n".join(kept).rstrip()
+    # What stands after the last words is searched from the end, a stretch at a time, until nothing more comes off.
     while text:
-        cut = MORE_END.sub("", AFTER.sub("", text)).rstrip()
+        cut = text
+        for pattern in (AFTER, MORE_END):
+            if m := pattern.search(cut, max(0, len(cut) - STRETCH)):
+                cut = cut[: m.start()].rstrip()
         if cut == text:
             return text
         text = cut
@@ -104,7 +110,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack():
         keys, kinds = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
-        unique, at = np.unique(keys, return_inverse=True)
+        at, unique = pd.factorize(keys)
         counts = [pa.array(np.bincount(at, kinds == k, len(unique)).astype(np.int64)) for k in (MARK, PAUSE, WORD)]
         return pa.RecordBatch.from_arrays([pa.nulls(len(unique), pa.int64()), pa.array(unique.view(np.int64)), *[pa.nulls(len(unique), pa.int64())] * 3, *counts], COLUMNS)
 
