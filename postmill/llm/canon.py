@@ -139,7 +139,8 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     joined = functools.reduce(Column.__or__, [F.contains(source, F.lit(x)) for x in ("\u200d", "\ufe0e", "\ufe0f")])
     held = F.regexp_replace(source, JOINED, "$1" + HELD)
     clean = F.when(joined, F.translate(F.regexp_replace(held, INVISIBLE, ""), HELD, "\u200d")).otherwise(source)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), clean.alias("_t"))
+    # Exploding a single value keeps Catalyst from evaluating the expression again wherever it is used.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.explode(F.array(clean)).alias("_t"))
     other = ((F.octet_length("_t") > F.char_length("_t")) | F.col("_t").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")) & F.col("_t").rlike(f"[^{plain_class()}\\t\\r]")
     easy = rows.where(F.coalesce(~other, F.lit(True))).select("_row", tidy(F.col("_t")).alias("_text"))
 
