@@ -224,8 +224,10 @@ def languages(parts: DataFrame, least_words: int = 3, least_confidence: float =
     """
     good = (F.col("words") >= least_words) & (F.col("confidence") >= least_confidence)
     by = parts.groupBy("key", "lang").agg(F.sum("words").alias("words"), F.max(good.cast("int")).alias("good"), (F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"))
-    most = by.groupBy("key").agg(F.max(F.struct("words", "confidence", "lang")).alias("top"))
-    return by.join(most, "key").where((F.col("good") == 1) | (F.col("lang") == F.col("top.lang"))).select("key", "lang", "words", "confidence")
+    # At most one entry for each of the languages, so a group is small; the parts are read once.
+    each = by.groupBy("key").agg(F.max(F.struct("words", "confidence", "lang")).alias("top"), F.collect_list(F.struct("lang", "words", "confidence", "good")).alias("all"))
+    rows = each.select("key", "top", F.explode("all").alias("x")).where((F.col("x.good") == 1) | (F.col("x.lang") == F.col("top.lang")))
+    return rows.select("key", "x.lang", "x.words", "x.confidence")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
