@@ -4,13 +4,15 @@ Tokens with characters beyond ASCII are joined on what is left of them and of th
 so a garbled token meets its clean near-twins. Aligning the two on their ASCII characters gives pairs of runs; the pairs
 tell which wrong readings (written as A, read as B, once or twice) occur in this corpus, and how often. The learned readings are
 then undone in every token: at once where bytes of UTF-8 come to light, which clean text does not imitate, and by comparison
-with the corpus' own words where one letter stands for another.
+with the corpus' own words where one letter stands for another. Each distinct text counts once, however often it is copied; a word that
+the comparison leaves open is decided by the other words of its document that the same reading restores.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,11 @@ EDGE = "\"'().,;:!?*-[]{}<>#"
 LOST = "\ufffd"
 #: Signs of a wrong reading by themselves: lost characters, C1 controls, private use.
 BROKEN = re.compile("[\ufffd\x80-\x84\x86-\x9f\ue000-\uf8ff]")
+# Letters beyond ASCII of the six languages, and signs that may stand inside a word.
+LETTERS = frozenset("àáâãäåæçèéêëìíîïñòóôõöœùúûüýÿßªº")
+USUAL = frozenset("'’‘‚“”„«»‹›–—…·¡¿€°")
+EMOJI_PARTS = frozenset("\ufe0e\ufe0f\u20e3")
+INSIDE = frozenset("'’‘-‐‑–—·…/&\u00ad")
 
 
 @lru_cache(maxsize=None)
@@ -89,6 +96,15 @@ def _core(token: str) -> str:
     return re.sub(r"\d+", "0", token.strip(EDGE))
 
 
+def oddness(token: str) -> tuple[int, int]:
+    """Signs of a wrong reading in one token: (capitals after small letters and signs between letters, these and letters of other languages)."""
+    shape = sum(
+        b > "\x7f" and (a.islower() and b.isupper() or a.isalpha() and c.isalpha() and not b.isalpha() and not unicodedata.combining(b) and b not in INSIDE)
+        for a, b, c in zip(token, token[1:], token[2:] + " ")
+    )
+    return shape, shape + sum(c > "\x7f" and c.isalpha() and c.lower() not in LETTERS for c in token)
+
+
 def align(a: str, b: str) -> list[tuple[str, str]] | None:
     """Runs beyond ASCII of two tokens that face each other between equal ASCII characters."""
     pa_, pb = RUN.split(a), RUN.split(b)
@@ -100,24 +116,24 @@ def align(a: str, b: str) -> list[tuple[str, str]] | None:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map task: (document, token, window) counts of tokens beyond ASCII."""
+    """Map task: each (document, hash of its text, token beyond ASCII, window) once."""
+    import xxhash
+
     for batch in batches:
-        seen: Counter = Counter()
+        seen: dict[tuple, None] = {}
         for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
             if text.isascii():
                 continue
+            h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
             for m in TOKEN.finditer(text):
                 token = _core(m.group())
                 if token.isascii():
                     continue
                 before = bare(text[max(0, m.start() - 40) : m.start()]).rsplit(None, 1)
                 after = bare(text[m.end() : m.end() + 40]).split(None, 1)
-                seen[doc, token, f"{before[-1].strip(EDGE) if before else ''} {bare(token)} {after[0].strip(EDGE) if after else ''}"] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["doc", "token", "window", "n"],
-        )
+                seen[doc, h, token, f"{before[-1].strip(EDGE) if before else ''} {bare(token)} {after[0].strip(EDGE) if after else ''}"] = None
+        cols = list(zip(*seen)) if seen else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc", "h", "token", "window"])
 
 
 def _explained(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,37 +148,47 @@ def _explained(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def restorations(learned: list[tuple[str, str, int]], known: frozenset[str]):
-    """A function that gives the certain and the possible originals of a token under the learned wrong readings.
+    """A function that gives the certain and the possible originals of a token under the learned wrong readings, with the reading.
 
-    ``known`` has the characters of the corpus: an original with a character that occurs nowhere is none.
+    ``known`` has the characters of the corpus: a possible original with a character that occurs nowhere is none. A certain one may hold
+    a new one, since a letter or emoji can be garbled wherever it occurs, unless the token has only usual characters or would mix scripts.
     """
     strict = sorted((x for x in learned if x[0] == "utf-8"), key=lambda x: -x[2])
     loose = [x for x in learned if x[0] != "utf-8"]
 
+    def sound(token: str, new: str) -> bool:
+        if fits(new) or BROKEN.search(new):
+            return not BROKEN.search(new)
+        # A quotation mark before an accented letter can look like bytes of UTF-8; what they give is no part of a word in Latin letters.
+        strange = {c: unicodedata.category(c) for c in new if c > "\x7f" and c not in known}
+        usual = all(c.lower() in LETTERS or c in USUAL for x in RUN.findall(token) for c in x)
+        mixed = any(v[0] in "LM" and not unicodedata.name(c, "").startswith("LATIN") and c not in EMOJI_PARTS for c, v in strange.items()) and re.search("[A-Za-z]", new)
+        return not usual and not mixed and not any(v in ("Cn", "Cc", "Cs", "Co") for v in strange.values())
+
     def fits(new: str) -> bool:
         return not BROKEN.search(new) and all(c < "\x80" or c in known for c in new)
 
-    def restore(token: str) -> tuple[str | None, list[str]]:
-        """(original, possible originals): the first only if bytes of UTF-8 came to light."""
+    def restore(token: str) -> tuple[tuple[str, str] | None, list[tuple[str, str]]]:
+        """((original, reading), possible ones): the first only if bytes of UTF-8 came to light."""
         runs = RUN.findall(token)
         for w, r, k in strict:
             new = RUN.sub(lambda m: v if (v := _apply(undo, m.group(), w, r, k)) is not None and v != m.group() else m.group(), token)
-            if new != token and len(new) < len(token) and fits(new):
-                return new, []
+            if new != token and len(new) < len(token) and sound(token, new):
+                return (new, f"{w} {r} {k}"), []
         # Part of a run may be clean, such as a quotation mark before the first garbled letter.
         for w, r, k in strict:
             if any(len(x) > 2 for x in runs):
                 new = RUN.sub(lambda m: _inside(m.group(), w, r, k), token)
-                if new != token and fits(new):
-                    return new, []
+                if new != token and sound(token, new):
+                    return (new, f"{w} {r} {k}"), []
         maybe = []
         for w, r, k in strict:
             if k == 1 and (last := _byte_table(r)[1][0xC3]) and token.endswith(last):
-                maybe.append(token[: -len(last)] + "à")  # the second byte was a no-break space, since lost as white space
+                maybe.append((token[: -len(last)] + "à", f"{w} {r} {k}"))  # the second byte was a no-break space, since lost as white space
         for w, r, k in loose:
             new = RUN.sub(lambda m: v if (v := undo(m.group(), w, r)) is not None else m.group(), token)
             if new != token and fits(new):
-                maybe.append(new)
+                maybe.append((new, f"{w} {r} {k}"))
         return None, maybe
 
     return restore
@@ -187,21 +213,25 @@ def _inside(run: str, written: str, read: str, times: int) -> str:
 def learn(windows: DataFrame, least_pairs: int = 2, least_support: int = 3) -> list[tuple[str, str, int]]:
     """The wrong readings that near-twins show, from rows (window, token, n).
 
-    A reading counts if it explains at least ``least_pairs`` different pairs of runs in ``least_support`` windows. The result has at
+    A reading counts if it explains at least ``least_pairs`` different pairs of runs in ``least_support`` windows; where bytes of UTF-8
+    explain a pair, which does not happen by chance, one is enough. The result has at
     most one row for each reading in ``readings()``, whatever the corpus' size.
     """
     a, b = windows.select("window", F.col("token").alias("a")), windows.select("window", F.col("token").alias("b"))
     pairs = a.join(b, "window").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
     shown = pairs.mapInPandas(_explained, "written string, read string, times int, odd string, clean string, n long")
     support = shown.groupBy("written", "read", "times").agg(F.count_distinct("odd").alias("pairs"), F.sum("n").alias("n"))
-    return [(r[0], r[1], r[2]) for r in support.where((F.col("pairs") >= least_pairs) & (F.col("n") >= least_support)).collect()]
+    return [(r[0], r[1], r[2]) for r in support.where((F.col("written") == "utf-8") | (F.col("pairs") >= least_pairs) & (F.col("n") >= least_support)).collect()]
 
 
-def garbled_tokens(windows: DataFrame, learned: list[tuple[str, str, int]]) -> DataFrame:
-    """(token, window, original): tokens that were read wrongly; a NULL original can't be restored.
+def garbled_tokens(held: DataFrame, windows: DataFrame, learned: list[tuple[str, str, int]]) -> DataFrame:
+    """(token, window, h, original): tokens that were read wrongly, everywhere, in one window or in one text; a NULL original can't be restored.
 
-    A token with a possible original only counts if the original is found at least three times as often in the same window, or, with
-    three letters of ASCII or more, in the whole corpus.
+    ``held`` has each token of each distinct text (h), ``windows`` the number of distinct texts of each token in each window. A token with a
+    possible original counts if the original is in at least three times as many texts in the same window, or, with three letters of
+    ASCII or more, in the corpus; or by its shape, if the corpus has the original in three texts. Otherwise its text decides: another of its
+    tokens must be restored by the same reading, and the token must lose signs of a wrong reading, or have its original in the corpus and
+    stand mostly in such texts.
     """
 
     # At most one row for each character of Unicode.
@@ -215,19 +245,36 @@ def garbled_tokens(windows: DataFrame, learned: list[tuple[str, str, int]]) -> D
             for token in part["token"]:
                 sure, maybe = restore(token)
                 if sure is not None or LOST in token or BROKEN.search(token):
-                    out.append((token, sure, True))
-                out += [(token, m, False) for m in dict.fromkeys(maybe)] if sure is None else []
-            yield pd.DataFrame(out, columns=["token", "original", "sure"])
-
-    counts = materialise(windows.groupBy("token").agg(F.sum("n").alias("n")))
-    judged = materialise(counts.select("token").mapInPandas(judge, "token string, original string, sure boolean"))
-    sure = judged.where("sure").select("token", F.lit(None).cast("string").alias("window"), "original")
-    maybe = judged.where("not sure").select("token", "original")
+                    out.append((token, *(sure or (None, None)), True, 0, 0))
+                shape, odd = oddness(token)
+                for new, reading in dict.fromkeys(maybe) if sure is None else ():
+                    new_shape, new_odd = oddness(new)
+                    out.append((token, new, reading, False, shape - new_shape, odd - new_odd))
+            yield pd.DataFrame(out, columns=["token", "original", "reading", "sure", "shape", "odd"])
+
+    counts = materialise(held.groupBy("token").agg(F.count("*").alias("n")))
+    judged = materialise(counts.select("token").mapInPandas(judge, "token string, original string, reading string, sure boolean, shape int, odd int"))
     often = counts.select(F.col("token").alias("original"), F.col("n").alias("m"))
-    by_word = maybe.where(F.length(F.regexp_replace("token", r"[^a-zA-Z]", "")) >= 3).join(often, "original").join(counts, "token").where("m >= 3 * n and m >= 3")
+    wordy = F.length(F.regexp_replace("token", r"[^a-zA-Z]", "")) >= 3
+    rated = judged.where("not sure").join(often, "original", "left").fillna(0, ["m"]).where("m > 0 or odd > 0").join(counts, "token")
+    maybe = materialise(rated.withColumn("alone", wordy & F.expr("m >= 3 and (m >= 3 * n or shape > 0)")).withColumn("support", F.col("alone") | wordy & F.expr("m >= 1 and odd > 0")))
     here = windows.select("window", F.col("token").alias("original"), F.col("n").alias("m"))
-    by_window = maybe.join(windows, "token").join(here, ["window", "original"]).where("m >= 3 * n and m >= 3")
-    return sure.unionByName(by_word.select("token", F.lit(None).cast("string").alias("window"), "original")).unionByName(by_window.select("token", "window", "original")).distinct()
+    by_window = judged.where("not sure").select("token", "original").distinct().join(windows, "token").join(here, ["window", "original"]).where("m >= 3 * n and m >= 3")
+    # The evidence of a text for a reading: how many of its tokens the reading restores by themselves.
+    signs = judged.where("sure and reading is not null").select("token", "reading").union(maybe.where("support").select("token", "reading")).distinct()
+    evidence = materialise(held.join(signs, "token").groupBy("h", "reading").agg(F.count("*").alias("signs")))
+    asked = maybe.where("not alone and odd >= 0").select("token", "original", "reading", "m", "n", "odd", F.col("support").cast("int").alias("own"))
+    evident = materialise(held.join(asked, "token").join(evidence, ["h", "reading"]).where("signs - own >= 1"))
+    mostly = evident.groupBy("token", "reading").agg(F.count_distinct("h").alias("texts"))
+    by_text = evident.join(mostly, ["token", "reading"]).where("odd > 0 or m > 0 and 2 * texts >= n and signs - own >= 2")
+    nowhere, no_text = F.lit(None).cast("string").alias("window"), F.lit(None).cast("long").alias("h")
+    parts = [
+        judged.where("sure").select("token", nowhere, no_text, "original"),
+        maybe.where("alone").select("token", nowhere, no_text, "original"),
+        by_window.select("token", "window", no_text, "original"),
+        by_text.select("token", nowhere, "h", "original"),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts).distinct()
 
 
 def find_garbled(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -237,12 +284,14 @@ def find_garbled(df: DataFrame, key: str, col: str) -> DataFrame:
     of any length are read whole; other columns are ignored.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(col).alias("text"))
-    tokens = materialise(rows.mapInArrow(_tokens, "doc long, token string, window string, n long"))
-    windows = materialise(tokens.groupBy("window", "token").agg(F.sum("n").alias("n")))
-    bad = materialise(garbled_tokens(windows, learn(windows)))
-    anywhere = tokens.join(bad.where("window is null").select("token", "original"), "token").select("doc", "token", "original")
-    there = tokens.join(bad.where("window is not null"), ["token", "window"]).select("doc", "token", "original")
-    return anywhere.union(there).distinct()
+    tokens = materialise(rows.mapInArrow(_tokens, "doc long, h long, token string, window string"))
+    windows = materialise(tokens.select("window", "token", "h").distinct().groupBy("window", "token").agg(F.count("*").alias("n")))
+    held = materialise(tokens.select("h", "token").distinct())
+    bad = materialise(garbled_tokens(held, windows, learn(windows)))
+    anywhere = tokens.join(bad.where("window is null and h is null").select("token", "original"), "token").select("doc", "token", "original")
+    there = tokens.join(bad.where("window is not null").drop("h"), ["token", "window"]).select("doc", "token", "original")
+    within = tokens.join(bad.where("h is not null").drop("window"), ["h", "token"]).select("doc", "token", "original")
+    return anywhere.union(there).union(within).distinct()
 
 
 def restored_texts(df: DataFrame, key: str, col: str) -> DataFrame:

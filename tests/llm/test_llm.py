@@ -221,6 +221,25 @@ def test_garbled(spark):
     assert restored[41] == clean[0] and restored[42] == clean[1] and restored[43] == clean[2]
 
 
+def test_garbled_in_copied_and_rare_texts(spark):
+    clean = ["Der Händler erklärte, die Gebühr sei für alle", "été ici, le modèle a été testé par l'équipe"]
+    wrong = [mojibake.misread(x, "cp1252", "mac_roman") for x in clean]
+    # One garbled text copied more often than its words occur, and a name that occurs nowhere else beside other restored words.
+    rare = mojibake.misread("Der Händler Grünwäldchen erklärte nichts", "cp1252", "mac_roman")
+    emoji = mojibake.misread("été 🦉 ici", "utf-8", "cp1252")
+    texts = clean * 2 + [f"{x} {i}" for i, x in enumerate(clean * 3)] + wrong * 30 + [rare, emoji, "Łukasz aus Gdańsk kennt den Händler"]
+    restored = {r["doc"]: r["restored_text"] for r in mojibake.restored_texts(posts(spark, texts), "id", "posts").collect()}
+    assert set(restored) == set(range(11, 73))
+    assert restored[11] == clean[0] and restored[12] == clean[1]
+    assert restored[71] == "Der Händler Grünwäldchen erklärte nichts" and restored[72] == "été 🦉 ici"
+
+
+def test_quoted_accents_are_not_bytes():
+    restore = mojibake.restorations([("utf-8", "mac_roman", 1), ("utf-8", "cp1252", 1)], frozenset("’é“Ü"))
+    assert [restore(x)[0] for x in ("l’équipe", "“Über")] == [None, None]
+    assert restore(mojibake.misread("🦉", "utf-8", "cp1252"))[0][0] == "🦉"
+
+
 def test_undo_is_the_inverse_of_misread():
     text = "ÀÉÎõü ñ ß € “x” — 😂"
     for written, read, times in mojibake.readings():
