@@ -1,7 +1,9 @@
 """Problem 7: abusive, hateful and sexual sentences.
 
 Every distinct word is matched with the lexicon by a Levenshtein automaton run through a trie of the lexicon's terms, after spelling tricks
-(digits and signs for letters, spaced or dotted letters, stretched or starred letters) are undone. Terms then have to stand in a context: an insult near people it is
+(digits and signs for letters, spaced or dotted letters, stretched or starred letters) are undone. From four letters on, a word of letters may be one edit from a
+term anywhere in the lexicon (two neighbours that change places are one edit), from nine letters on two; terms that share what is left of the word after so many
+deletions are looked up and compared. A word that the corpus has about as often as the term is no misspelling of it. Terms then have to stand in a context: an insult near people it is
 aimed at, a threat or an explicit act as a sequence of terms. Windows that quote or reject such language, or speak of products, lower the score.
 """
 
@@ -87,10 +89,38 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c)).replace("ß", "ss").replace("œ", "oe")
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def edits(a: str, b: str) -> int:
+    """Edits between two words; two neighbours that change places are one."""
+    before: list[int] = []
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            v = min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                v = min(v, before[j - 2] + 1)
+            new.append(v)
+        before, row = row, new
+    return row[-1]
+
+
 class Lexicon:
-    """The terms of the patterns in a trie, and the patterns over them."""
+    """The terms of the patterns in a trie, and the patterns over them.
 
-    def __init__(self):
+    ``counts`` has how many texts of the corpus hold a word, for terms and words near them.
+    """
+
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.counts = counts or {}
         self.patterns: list[tuple[str, list[frozenset[str] | int]]] = []
         insults, groups = frozenset(map(fold, INSULTS)), frozenset(GROUPS)
         for category, text in PATTERNS.items():
@@ -112,6 +142,11 @@ class Lexicon:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
+        self.shorter: dict[int, dict[str, set[str]]] = {1: {}, 2: {}}
+        for most, index in self.shorter.items():
+            for t in strong:
+                for k in shortened(t, most) if len(t) >= (3 if most == 1 else 7) else ():
+                    index.setdefault(k, set()).add(t)
         self.first: dict[str, list[int]] = {}
         for i, (_, steps) in enumerate(self.patterns):
             for t in steps[0]:
@@ -137,6 +172,19 @@ class Lexicon:
                         stack.append((below, new))
         return found
 
+    def close(self, word: str) -> set[str]:
+        """Terms that the word is a misspelling of by its letters: within one edit from four letters on, two from nine."""
+        most = 0 if len(word) < 4 else 1 if len(word) < 9 else 2
+        if not most:
+            return self.near(word, 0)
+        index = self.shorter[most]
+        return {t for t in {t for k in shortened(word, most) for t in index.get(k, ())} if edits(word, t) <= most}
+
+    def rarer(self, word: str, terms: set[str]) -> set[str]:
+        """The terms that the corpus has more than twice as often as the word; all of them if it has the word only once or twice."""
+        n = self.counts.get(word, 0)
+        return terms if n <= 2 else {t for t in terms if self.counts.get(t, 0) > 2 * n}
+
     def terms(self, token: str) -> frozenset[str]:
         """The terms a token can stand for."""
         plain = fold(token.strip(STRIP + "*"))
@@ -155,7 +203,7 @@ class Lexicon:
             if sum(c.isalpha() for c in plain) >= 1 and len(word) >= 3 and sum(c.isdigit() for c in plain) < len(plain):
                 out |= self.near(word, 0) or (self.near(word, 1) if len(word) >= 6 else set())
         else:
-            out |= self.near(word, 0 if len(word) < 6 else 1 if len(word) < 9 else 2)
+            out |= self.rarer(plain, self.close(word)) | self.near(word, 0)
         for a, b in SOUNDS:
             if a in word:
                 out |= self.near(word.replace(a, b), 0)
@@ -169,8 +217,8 @@ def _joined(m: re.Match) -> str:
 class Scorer:
     """Scores sentences; what a word stands for is worked out once for each distinct word."""
 
-    def __init__(self):
-        self.lexicon = Lexicon()
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.lexicon = Lexicon(counts)
         self.known: dict[str, frozenset[str]] = {}
 
     def _terms(self, token: str) -> frozenset[str]:
@@ -226,11 +274,32 @@ class Scorer:
         return out
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer()
-    for batch in batches:
-        found = [scorer.text(t) if t else {} for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(np.array([f.get(c, 0.0) for f in found])) for c in CATEGORIES]], ["key", *CATEGORIES])
+def _score(counts):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(counts.value)
+        for batch in batches:
+            found = [scorer.text(t) if t else {} for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(np.array([f.get(c, 0.0) for f in found])) for c in CATEGORIES]], ["key", *CATEGORIES])
+
+    return score
+
+
+def word_counts(rows: DataFrame) -> dict[str, int]:
+    """In how many texts the terms, and words that could be misspellings of them, occur; from rows (text), words of three texts or more.
+
+    The words near the lexicon are bounded by its size, whatever the corpus' size.
+    """
+
+    def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon()
+        for part in parts:
+            folded = [fold(w) for w in part["word"].to_pylist()]
+            keep = [i for i, w in enumerate(folded) if w in lexicon.exact or lexicon.close(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([folded[i] for i in keep], pa.string()), part["n"].take(pa.array(keep, pa.int64()))], ["word", "n"])
+
+    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))).alias("word")).where("length(word) between 4 and 40")
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
+    return {r[0]: r[1] for r in counts.mapInArrow(near, "word string, n long").groupBy("word").agg(F.sum("n")).collect()}
 
 
 def score_texts(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -240,7 +309,8 @@ def score_texts(df: DataFrame, key: str, col: str) -> DataFrame:
     sees them (problem 1), whole. Repeated keys give a row each; an empty table gives an empty result.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(col).alias("text"))
-    return canonicalise(rows, "text", "text").mapInArrow(_score, "key long, abuse double, hate double, sexual double")
+    counts = df.sparkSession.sparkContext.broadcast(word_counts(rows.select("text")))
+    return canonicalise(rows, "text", "text").mapInArrow(_score(counts), "key long, abuse double, hate double, sexual double")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

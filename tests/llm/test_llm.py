@@ -156,6 +156,18 @@ def test_abuse(text, found):
     assert {c for c, v in abuse.Scorer().text(text).items() if v >= 0.5} == found
 
 
+@pytest.mark.parametrize(("word", "term"), [("idoit", "idiot"), ("morn", "moron"), ("losr", "loser"), ("nakd", "naked"), ("vermn", "vermin"), ("idoits", "idiots"), ("diot", "idiot"), ("noron", "moron")])
+def test_short_misspellings(word, term):
+    assert term in abuse.Lexicon().terms(word)
+    # A word that is as usual in the corpus as the term is a word of its own.
+    assert term not in abuse.Lexicon({word: 10, term: 12}).terms(word)
+
+
+def test_scores_of_misspelled_words(spark):
+    texts = ["Listen, you idoit.", "Every one of you is a losr.", "The later the better, you said."]
+    assert [r["abuse"] for r in abuse.score_texts(posts(spark, texts), "id", "posts").orderBy("key").collect()] == [1.0, 1.0, 0.0]
+
+
 def test_automaton_is_brute_force():
     lexicon = abuse.Lexicon()
 
