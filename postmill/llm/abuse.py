@@ -4,7 +4,8 @@ Every distinct word is matched with the lexicon by a Levenshtein automaton run t
 (digits and signs for letters, spaced or dotted letters, stretched or starred letters) are undone. From four letters on, a word of letters may be one edit from a
 term anywhere in the lexicon (two neighbours that change places are one edit), from nine letters on two; terms that share what is left of the word after so many
 deletions are looked up and compared. A word that the corpus has about as often as the term is no misspelling of it. Terms then have to stand in a context: an insult near people it is
-aimed at, a threat or an explicit act as a sequence of terms. Windows that quote or reject such language, or speak of products, lower the score.
+aimed at, a threat or an explicit act as a sequence of terms. A match that a quotation encloses, or a rejection in the words around it, has a lower score. There
+is no rule for products: words about things match no pattern, since the patterns ask for people.
 """
 
 from __future__ import annotations
@@ -72,6 +73,10 @@ REJECT = re.compile(
     r"\b(?:nobody|no one|noone|nadie|niemand|personne|nessuno|ninguem) (?:should|must|ought|has the right|deberia|debe|sollte|darf|ne devrait|ne doit|dovrebbe|deve|deveria|devia)\b|\b(?:i|we|and) (?:have )?(?:reported|flagged|blocked)\b|\bi reported\b|\b(?:wrote|called|calls|calling|says|said|shouted|posted|commented)\s+(?:me |us |him |her |them |someone )?[\"'“‘«(]"
     r"|\b(?:denuncie|reporte|gemeldet|signale|segnalato|denunciei|reportei)\b|\b(?:escribio|llamo|schrieb|nannte|a ecrit|m a traite|ha scritto|escreveu|chamou)\s+(?:me |mich |mir )?[\"'“‘«„(]|\bnot ok(?:ay)? to call\b|\bunacceptable\b|\b(?:insult|insults|slur|slurs)\b|\bplease (?:stop|don t)\b"
 )
+#: Where the reach of a rejection ends: before the match at words to somebody, after it at any pause.
+ADDRESSED = re.compile(r"[;:]|, ?(?:and |y |und |et |e )?(?:you|u|du|ihr|sie|tu|te|usted|ustedes|vosotros|vous|voi|lei|voce|voces)\b")
+PAUSE = re.compile(r"[,;:]|\b(?:and|but|und|aber|y|pero|et|mais|e|ma|mas)\b")
+OPENERS, CLOSERS = "\"“„«‘(", {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "(": ")"}
 # Digits and signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "€": "e", "£": "l"}
 # Spellings of the same sound.
@@ -214,6 +219,43 @@ def _joined(m: re.Match) -> str:
     return re.sub(r"[ .*_-]", "", m.group())
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The stretches between quotation marks or brackets; one that is not closed ends with the text."""
+    out, i = [], 0
+    while i < len(text):
+        if text[i] in OPENERS or text[i] == "'" and (i == 0 or text[i - 1] in " ("):
+            close = CLOSERS.get(text[i], "'")
+            # An apostrophe inside a word closes nothing.
+            end = next((j for j in range(i + 1, len(text)) if text[j] in close and not (text[j] in "'’" and text[j + 1 : j + 2].isalnum())), len(text))
+            out.append((i, end))
+            i = end
+        i += 1
+    return out
+
+
+def rejected(text: str, start: int, stop: int, reach: int = 12) -> bool:
+    """Whether the match from ``start`` to ``stop`` of a folded sentence is quoted or rejected.
+
+    A quotation counts if it encloses the match and the sentence rejects or tells who said it; a rejection, if it stands within ``reach`` words
+    before the match and nobody is spoken to in between, or within as many after it without a pause.
+    """
+    cues = [m.span() for m in REJECT.finditer(text)]
+    if not cues:
+        return False
+    if any(a <= start and stop <= b for a, b in quotations(text)):
+        return True
+    for a, b in cues:
+        if text[b - 1] in "\"'“‘«„(":
+            continue
+        if b <= start and len(text[b:start].split()) <= reach and not any(m.start() < start for m in ADDRESSED.finditer(text, b)):
+            return True
+        elif stop <= a and len(text[stop:a].split()) <= reach and not PAUSE.search(text[stop:a]):
+            return True
+        elif a < stop and start < b:
+            return True
+    return False
+
+
 class Scorer:
     """Scores sentences; what a word stands for is worked out once for each distinct word."""
 
@@ -244,25 +286,51 @@ class Scorer:
                 if t in spaced.values() and not hits[i]:
                     hits[i] = frozenset(x for k in (1, 2) for x in self.lexicon.near(fold(t)[k:], 0))
         out: dict[str, float] = {}
+        spots = None
         for i, h in enumerate(hits):
             for t in h:
                 for p in self.lexicon.first.get(t, ()):
                     category, steps = self.lexicon.patterns[p]
-                    if out.get(category) != 1.0 and self._follows(hits, i + 1, steps, 1):
-                        out[category] = 1.0
-        if out and REJECT.search(fold(text)):
-            out = {c: 0.3 for c in out}
+                    if out.get(category) == 1.0:
+                        continue
+                    for last in self._ends(hits, i + 1, steps, 1):
+                        if spots is None:
+                            folded = fold(text)
+                            spots = self._spots(folded, tokens, spaced)
+                        if not rejected(folded, spots[i][0], spots[last][1]):
+                            out[category] = 1.0
+                            break
+                        out[category] = 0.3
         return out
 
-    def _follows(self, hits, at: int, steps, k: int) -> bool:
+    @staticmethod
+    def _spots(folded: str, tokens: list[str], spaced: dict[str, str]) -> list[tuple[int, int]]:
+        """Where each token stands in the folded sentence."""
+        out, at = [], 0
+        written = {v: k for k, v in spaced.items()}
+        for t in tokens:
+            w = fold(written.get(t, t))
+            i = folded.find(w, at)
+            i = at if i < 0 else i
+            core = len(w) - len(w.lstrip(STRIP))
+            at = min(len(folded), i + len(w))
+            out.append((i + core, max(i + core, i + len(w.rstrip(STRIP)))))
+        return out
+
+    def _ends(self, hits, at: int, steps, k: int) -> Iterator[int]:
+        """The last token of each way in which the pattern goes on from ``at``."""
         if k == len(steps):
-            return True
+            yield at - 1
+            return
         reach = 1
         if isinstance(steps[k], int):
             k, reach = k + 1, 1 + steps[k]
             if k == len(steps):
-                return True
-        return any(steps[k] & hits[j] and self._follows(hits, j + 1, steps, k + 1) for j in range(at, min(len(hits), at + reach)))
+                yield at - 1
+                return
+        for j in range(at, min(len(hits), at + reach)):
+            if steps[k] & hits[j]:
+                yield from self._ends(hits, j + 1, steps, k + 1)
 
     def text(self, text: str) -> dict[str, float]:
         """Category -> the highest score of its sentences."""

@@ -156,6 +156,22 @@ def test_abuse(text, found):
     assert {c for c, v in abuse.Scorer().text(text).items() if v >= 0.5} == found
 
 
+@pytest.mark.parametrize(
+    ("text", "abusive"),
+    [
+        ("You idiot, this service is unacceptable.", True),
+        ("You are a moron and an insult to the shop, says the rep.", True),
+        ("Listen, you idiot, I reported this twice.", True),
+        ("The reply said (again) nothing, so listen, you moron.", True),
+        ("Someone wrote “you idiot” and I reported it.", False),
+        ("Nobody should call the staff idiots.", False),
+        ("He called me \"you idiot\" on the phone.", False),
+    ],
+)
+def test_only_enclosing_quotes_and_rejections_lower_the_score(text, abusive):
+    assert (abuse.Scorer().text(text).get("abuse", 0) >= 0.5) == abusive
+
+
 @pytest.mark.parametrize(("word", "term"), [("idoit", "idiot"), ("morn", "moron"), ("losr", "loser"), ("nakd", "naked"), ("vermn", "vermin"), ("idoits", "idiots"), ("diot", "idiot"), ("noron", "moron")])
 def test_short_misspellings(word, term):
     assert term in abuse.Lexicon().terms(word)
