@@ -19,6 +19,7 @@ second, independent split, which covers every pair as well, and what is still lo
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,7 +187,7 @@ def _spots(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Differences of sorted numbers, the bytes of one rank together, so that compression finds the empty ones."""
-    return np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zlib.compress(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _fingerprints(least: int, similarity: float, ranges: int):
@@ -208,7 +209,7 @@ def _fingerprints(least: int, similarity: float, ranges: int):
 
 def _elsewhere(part: pd.DataFrame) -> pd.DataFrame:
     """For each chunk's fingerprints in one range: one bit, whether several sets have it."""
-    each = [np.cumsum(np.frombuffer(p, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32) for p in part["prints"]]
+    each = [np.cumsum(np.frombuffer(zlib.decompress(p), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32) for p in part["prints"]]
     values = np.concatenate(each)
     order = np.argsort(values, kind="stable")
     same = values[order][1:] == values[order][:-1]
@@ -311,22 +312,32 @@ def _pairs(bucket: int, similarity: float):
                 rows = [r[~hot] for r in rows]
             key, s, x, y = rows
             x, y = np.ascontiguousarray(x).view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
-            n = (x & np.uint64(FULL)).astype(np.int32)
-            bits = x >> np.uint64(12)
-            left = np.flatnonzero(key[1:] == key[:-1])
-            step = 1
-            while len(left):
-                right = left + step
-                both = n[left] + n[right]
-                most = np.where((n[left] == FULL) | (n[right] == FULL), 128, both * per_word + 1e-9)
-                near = np.flatnonzero(np.bitwise_count(bits[left] ^ bits[right]) <= most)
-                a, b = left[near], right[near]
+            n = (x & np.uint64(FULL)).astype(np.int64)
+            bits, words = x >> np.uint64(12), np.where(n == FULL, 1e9, n * per_word + 5e-10).astype(np.float32)
+
+            def checked(a, b):
                 apart = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int32) + np.bitwise_count(y[a] ^ y[b])
                 low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-                good = (apart <= most[near]) & ((low >= similarity * high - 1e-9) | (high == FULL))
-                if good.any():
-                    a, b = a[good], b[good]
-                    yield out(PAIR, key[a], s[a], s[b], s[b])
+                good = (apart <= (low + high) * per_word + 1e-9) & (low >= similarity * high - 1e-9) | (high == FULL)
+                a, b = a[good], b[good]
+                return out(PAIR, key[a], s[a], s[b], s[b])
+
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
+            sizes = np.diff(starts)
+            # Long runs by blocks of a matrix, short ones all together, by the distance of their rows.
+            for lo, hi in zip(starts[:-1][sizes > 32], starts[1:][sizes > 32]):
+                for i in range(lo, hi, 256):
+                    top = min(hi, i + 256)
+                    near = np.bitwise_count(bits[i:top, None] ^ bits[None, i:hi]) <= words[i:top, None] + words[None, i:hi] + np.float32(1e-3)
+                    a, b = np.nonzero(near)
+                    keep = b > a
+                    yield checked(a[keep] + i, b[keep] + i)
+            short = np.repeat(sizes <= 32, sizes)
+            left = np.flatnonzero((key[1:] == key[:-1]) & short[1:]) if len(key) else np.zeros(0, np.int64)
+            step = 1
+            while len(left):
+                near = np.bitwise_count(bits[left] ^ bits[left + step]) <= words[left] + words[left + step] + np.float32(1e-3)
+                yield checked(left[near], left[near] + step)
                 step += 1
                 left = left[left + step < len(key)]
                 left = left[key[left] == key[left + step]]
@@ -356,23 +367,23 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(chunk.sets.view(np.int64)), lists], ["s", "w"])
 
 
-def similar_sets(df: DataFrame, key: str, col: str, similarity: float = 0.8, least: int = 30, bucket: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """Links between different sets of words, and the texts of each set.
+def similar_sets(df: DataFrame, key: str, col: str, similarity: float = 0.8, least: int = 30, bucket: int = 16384) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links between different sets of words, the texts of each set, and the sets.
 
     Returns ``links(a, b, shared, either)``, a < b, one row for each two sets whose similarity is at least
-    ``similarity``, and ``members(id, c, s)``: rows, the class of equal texts each is in, and the set of their words. Only texts with at least ``least`` distinct words, as a reader sees them, take part;
+    ``similarity``, ``members(id, c, s)``: rows, the class of equal texts each is in, and the set of their words, and
+    ``sets(s, lo, hi)``: each set with the least and largest of its classes. Only texts with at least ``least`` distinct words, as a reader sees them, take part;
     NULL, empty and blank texts therefore never do. Classes are named by the 64-bit hash of the canonical text, sets by one of their words. Rows
-    repeated under one id count once. An empty table gives two empty results.
+    repeated under one id count once. An empty table gives empty results.
     """
     text = canonicalise(df.select(F.col(key).cast("long").alias("id"), F.col(col).alias("text")), "text", "text")
     text = text.where("id is not null and text <> ''").select("id", F.xxhash64("text").alias("c"), "text")
     packed = materialise(text.mapInArrow(_pack(least, similarity), CHUNKS))
     rows, chunks = packed.where("sets is null"), packed.where("sets is not null").select("chunk", "sets", "sizes", "codes", "vocab")
     ranges = max(8, -(-(packed.agg(F.sum("keys")).first()[0] or 0) // RANGE))
-    places = rows.groupBy("s").agg(F.min("chunk").alias("own"), F.max("chunk").alias("last"))
+    places = materialise(rows.groupBy("s").agg(F.min("chunk").alias("own"), F.max("chunk").alias("last"), F.min("c").alias("lo"), F.max("c").alias("hi")))
     twice = places.where("own < last").select("s", "own")
-    others = rows.select("s", "chunk").distinct().join(if_small(twice), "s").where("chunk <> own").groupBy("chunk").agg(F.collect_list("s").alias("others"))
-    others = materialise(others)
+    others = materialise(rows.select("s", "chunk").join(if_small(twice), "s").where("chunk <> own").groupBy("chunk").agg(F.collect_set("s").alias("others")))
     mine = chunks.join(if_small(others, F.size("others") * 8), "chunk", "left")
     prints = mine.mapInArrow(_fingerprints(least, similarity, ranges), "range long, chunk long, prints binary, several binary")
     bits = materialise(prints.groupBy("range").applyInPandas(_elsewhere, "chunk long, range long, bits binary"))
@@ -389,8 +400,8 @@ def similar_sets(df: DataFrame, key: str, col: str, similarity: float = 0.8, lea
         if not still.isEmpty():
             pairs = pairs.union(_blocks(still, similarity))
     pairs = materialise(pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct())
-    used = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct().join(places, "s").groupBy(F.col("own").alias("chunk")).agg(F.collect_list("s").alias("wanted"))
-    words = materialise(chunks.join(used, "chunk").mapInArrow(_words, "s long, w array<long>"))
+    used = if_small(materialise(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())).join(places, "s").groupBy(F.col("own").alias("chunk")).agg(F.collect_list("s").alias("wanted"))
+    words = materialise(chunks.join(if_small(materialise(used), F.size("wanted") * 8), "chunk").mapInArrow(_words, "s long, w array<long>"))
     both = F.size(F.array_intersect("wa", "wb"))
     checked = (
         pairs.join(words.select(F.col("s").alias("a"), F.col("w").alias("wa")), "a")
@@ -399,7 +410,7 @@ def similar_sets(df: DataFrame, key: str, col: str, similarity: float = 0.8, lea
         .select("a", "b", "shared", (F.col("all") - F.col("shared")).alias("either"))
     )
     links = materialise(checked.where(F.col("shared") >= similarity * F.col("either") - 1e-9))
-    return links, rows.select("id", "c", "s").distinct()
+    return links, rows.select("id", "c", "s"), places.select("s", "lo", "hi")
 
 
 def _blocks(still: DataFrame, similarity: float, block: int = 2000) -> DataFrame:
@@ -417,12 +428,12 @@ def _blocks(still: DataFrame, similarity: float, block: int = 2000) -> DataFrame
 
 def near_duplicate_pairs(df: DataFrame, key: str, col: str, **options) -> DataFrame:
     """Pairs (id_a < id_b) of rows with different but similar texts; see ``similar_sets``."""
-    links, members = similar_sets(df, key, col, **options)
-    members = materialise(members)
-    across = links.join(members.select(F.col("s").alias("a"), F.col("id").alias("i")), "a").join(members.select(F.col("s").alias("b"), F.col("id").alias("j")), "b")
+    links, members, sets = similar_sets(df, key, col, **options)
+    linked = if_small(materialise(links.select(F.explode(F.array("a", "b")).alias("s")).distinct()))
+    rows = materialise(members.join(linked, "s").select("s", "id").distinct())
+    across = links.join(rows.select(F.col("s").alias("a"), F.col("id").alias("i")), "a").join(rows.select(F.col("s").alias("b"), F.col("id").alias("j")), "b")
     # Texts of the same words in another order, number or punctuation.
-    several = members.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("s")
-    same = members.join(several, "s")
+    same = materialise(members.join(if_small(sets.where("lo < hi").select("s")), "s").select("s", "c", "id").distinct())
     classes = same.select("s", "c").distinct()
     within = classes.join(classes.select("s", F.col("c").alias("d")), "s").where("c < d").join(same.select("c", F.col("id").alias("i")), "c").join(same.select(F.col("c").alias("d"), F.col("id").alias("j")), "d")
     return across.select("i", "j").union(within.select("i", "j")).select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
@@ -434,8 +445,8 @@ def near_duplicate_groups(df: DataFrame, key: str, col: str, **options) -> DataF
     ``class_id`` and ``group_id`` are the least ids of the rows with an equal text, and of all texts linked directly or
     through others; ``links`` counts the different texts directly linked to the row's own.
     """
-    links, members = similar_sets(df, key, col, **options)
-    members = materialise(members)
+    links, members, _ = similar_sets(df, key, col, **options)
+    members = materialise(members.distinct())
     classes = materialise(members.groupBy("s", "c").agg(F.min("id").alias("class_id")))
     sets = materialise(classes.groupBy("s").agg(F.min("class_id").alias("g"), F.count("*").alias("texts")))
     edges = materialise(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"))

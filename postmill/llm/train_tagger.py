@@ -1,7 +1,9 @@
-"""Makes labelled spans and trains the tagger: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [STEPS [WEIGHTS]].
+"""Makes labelled text and trains both models of problem 4: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [STEPS [WEIGHTS]].
 
-With WEIGHTS, training goes on from there, at a lower rate and on other windows. The spans are made here from formats and frames in six languages, never read from anywhere; posts without long numbers or at-signs serve as the
-text around them (at most 20,000 sentences).
+Spans come from formats and name lists, the words around them from cues, leads and tails in six languages, all of them written for this
+module and not taken from any data. ``HELD_OUT`` has sentences of other wording that training never sees; ``held_out`` reports
+the recall of each kind in each language on them. At most 20,000 sentences of posts (``carriers``) without long numbers, at-signs or pairs of capitals
+serve as text around the made sentences. With WEIGHTS, training goes on from there at a lower rate.
 """
 
 from __future__ import annotations
@@ -12,23 +14,91 @@ import sys
 
 import numpy as np
 
-from postmill.llm.tagger import KINDS, encode, train
-
-WIDTH = 64
-# Given names, common family names and name parts.
-GIVEN = "Anna Maria Paul Peter Laura Lukas Julia Sophie Carlos Lucia Marco Giulia Pedro Ines Joao Rui Hugo Marie Pierre Camille Jean Luc Emma Noah Liam Olivia Ethan Grace Henry Alice Oscar Clara Jonas Felix Nina Sara David Daniel Elena Irene Pablo Javier Sofia Matteo Chiara Luca Paolo Tiago Beatriz Silvio Anton Ingrid Birgit Sanne Wanda Ravi Priya Arjun Noor Leila Omar Elif Emeka Amara Yuki Mei Chen Ivan Olga Pilar Maya Edwin Ruth Karl Greta Jürgen Zoë André Renée José Núria Mónica Åsa Søren".split()
-FAMILY = "Smith Jones Brown Taylor Wilson Clark Müller Schmidt Weber Fischer Wagner Becker García López Martínez Sánchez Romero Martin Bernard Dubois Moreau Laurent Rossi Russo Ferrari Bianchi Romano Silva Santos Ferreira Pereira Oliveira Costa Kumar Patel Singh Khan Yilmaz Okafor Nguyen Tanaka Wang Kowalski Novak Ivanov Jensen Larsen Berg".split()
-SYLLABLES = "bra ken dor vel tor wex nav sul yar ost zim gren hal mas qui rul den dry vik gard lin sen ova rro rud tor mi das fel kor nel pra stu wen cal ber ran dil ist ton ley ham bor ash mund stein hof rich wald".split()
-STREETS_EN = "Street St St. Road Rd Rd. Avenue Ave Ave. Lane Ln Terrace Drive Close Court Square Way Crescent".split()
-# Sentences around spans; E, P, I, A, N stand for the kinds, others for what is none of them.
-FRAMES = """
-Please write to {E} if you have the receipt.|You can reach me at {E} any time.|My account mail is {E} and it is still locked.|dm me or {E}, whichever is easier.|mail {E}|Contact: {E}|Send it to {E} please.|Schreibt mir bitte an {E} wegen der Rechnung.|Mein Konto läuft auf {E} und ist gesperrt.|Meine Adresse ist {E}.|Escribidme a {E} si tenéis el recibo.|Mi cuenta es {E} y sigue bloqueada.|Mi correo es {E}.|Écrivez-moi à {E} si vous avez le reçu.|Mon compte est {E} et il reste bloqué.|Scrivetemi a {E} se avete lo scontrino.|Il mio account è {E} ed è bloccato.|Escrevam para {E} se tiverem o recibo.|Minha conta é {E} e continua bloqueada.|O meu email é {E}.
-Call me on {P} after six.|My number is {P}, ask for the night desk.|They keep ringing {P} even though I opted out.|txt {P} pls|Tel. {P}|phone: {P}|Text or call {P} tonight.|Ruft mich unter {P} an, am besten abends.|Meine Nummer lautet {P}, bitte nicht vor neun.|Telefon {P}|Llamadme al {P} después de las seis.|Mi número es {P}, solo tardes.|Mi teléfono es {P}.|Appelez-moi au {P} après dix-huit heures.|Mon numéro est le {P}, le soir de préférence.|Chiamatemi al {P} dopo le sei.|Il mio numero è {P}, meglio la sera.|Liguem para {P} depois das seis.|O meu número é {P}, só à noite.|Meu telefone é {P}.
-They asked for my national ID and I sent {I} like a fool.|The form even shows my social security number {I} in clear.|Passport {I} was printed on the label.|My tax id is {I}, use that to find the claim.|SSN {I}|My insurance number {I} is on the form.|Passport no. {I} expired.|Meine Ausweisnummer {I} wurde einfach kopiert.|Auf dem Brief stand meine Steuer-ID {I} im Klartext.|Reisepass {I} lag offen.|Meine Versicherungsnummer {I} stand drauf.|En la etiqueta salía mi documento de identidad {I} a la vista.|Mi DNI {I} aparece en la caja.|Me pidieron el pasaporte y mandé {I}.|Mi número de la seguridad social {I} salía en la carta.|Mon numéro de sécurité sociale {I} figurait sur le colis.|Mon passeport {I} est sur la facture.|Mon numéro fiscal {I} est visible.|Il mio codice fiscale {I} era stampato sul pacco.|Il passaporto {I} era visibile.|Na etiqueta estava o meu número de contribuinte {I} bem visível.|Meu CPF {I} apareceu na caixa.|O meu passaporte {I} estava na carta.
-I live at {A}, two minutes from the depot.|They shipped it to {A} instead of my new flat.|Come and see the damage yourself: {A}.|Send it to {A}.|Address: {A}|It went to {A} again.|Ich wohne in der {A}, direkt am Lager.|Geliefert wurde an {A} statt zu mir.|Die Adresse ist {A}.|Lo mandaron a {A} y no a mi piso nuevo.|Vivo en {A}, al lado del almacén.|La dirección es {A}.|Ils ont livré au {A} et non chez moi.|J'habite au {A}, juste à côté du dépôt.|Hanno spedito in {A} e non a casa mia.|Abito in {A}, vicino al magazzino.|Mandaram para {A} e não para a minha casa.|Moro na {A}, ao lado do depósito.
-My name is {N} and I want an answer.|Signed, {N}, your former fan.|The agent, {N}, hung up on me.|I spoke to {N} on the phone.|Yours, {N}|Thanks to {N} for the help.|Ask for {N} at the desk.|Mein Name ist {N} und ich erwarte eine Antwort.|Der Berater, {N}, hat aufgelegt.|Gezeichnet, {N}, kein Fan mehr.|Me llamo {N} y espero una respuesta.|El agente, {N}, me colgó.|Firmado, {N}, antes cliente fiel.|Je m'appelle {N} et j'attends une réponse.|Le conseiller, {N}, a raccroché.|Signé, {N}, ancien client.|Mi chiamo {N} e aspetto una risposta.|L'operatore, {N}, ha riattaccato.|Firmato, {N}, ex cliente.|Meu nome é {N} e espero uma resposta.|O atendente, {N}, desligou na minha cara.|Assinado, {N}, ex-cliente.
-Order {o} has been stuck since the weekend.|Tracking {o} has not moved at all.|Lot {o} and serial {o} are both affected.|Invoice {o}|Die Bestellung {o} hängt seit dem Wochenende fest.|Sendung {o} bewegt sich nicht.|El pedido {o} lleva parado desde el sábado.|El envío {o} no se mueve.|La commande {o} est bloquée depuis samedi.|Le colis {o} ne bouge plus.|L'ordine {o} è fermo da sabato.|Il pacco {o} non si muove.|O pedido {o} está parado desde sábado.|A encomenda {o} não anda.|Model {m} keeps losing the connection.|Batch {m} had been recalled.|Modell {m} ist jeden Cent wert.|Firmware {v} broke the timer for me.|Follow {h} for the full teardown.|via {h}|RT {h}:|Thanks to {g} for the quick call.|{l}|See {l} for photos.|Ask {g} at the desk, always helpful.|Fragt {g} am Schalter, immer nett.|Preguntad por {g} en el mostrador.|Demandez {g} au guichet.|Chiedete di {g} al banco.|Perguntem por {g} no balcão.|The shop on {s} closes early now.|Der Laden in der {t} hat zu.|La tienda de la {c} cierra pronto.|La boutique de la {r} ferme tôt.|Il negozio di {w} chiude presto.|The {b} headset was a gift.|{b} never answered my call.|The help page at {b} told me the fee only applies abroad.|Der Verkäufer von {b} schwor, die Gebühr gelte nur im Ausland.|La hotline de {b} a avoué que les frais sont gratuits.|A central da {b} jurou que o preço cai.|Il commesso di {b} ha ammesso tutto.|I paid {p} for it on {d}.|It arrived {n} days early from the shop near {T}.|A trainee in {T} at {b} joked about it.|© {y} {b}. All rights reserved.|{n} comments · {n} shares|Half past {n} at the {T} outlet.
-""".replace("\n", "|").strip("|").split("|")
+from postmill.llm.tagger import KINDS, WIDTH, encode, fit_scorer, train
+
+# Given names, family names and name parts from several regions.
+GIVEN = "Anna Maria Paul Peter Laura Lukas Julia Sophie Carlos Lucia Marco Giulia Pedro Ines Joao Rui Hugo Marie Pierre Camille Jean Luc Emma Noah Liam Olivia Ethan Grace Henry Alice Oscar Clara Jonas Felix Nina Sara David Daniel Elena Irene Pablo Javier Sofia Matteo Chiara Luca Paolo Tiago Beatriz Anton Birgit Ravi Arjun Noor Leila Omar Elif Emeka Amara Yuki Mei Chen Ivan Olga Pilar Maya Ruth Karl Greta Jürgen Zoë André Renée José Núria Mónica Åsa Søren Fatima Hassan Kwame Thabo Dmitri Katarzyna Piotr Zsófia Mehmet Aisha Tomás Heike Uwe Dieter Claire Benoît Nicola Fabio Gonçalo Rafael Megan Declan Aoife Hiroshi Linh Minh Sunita Deepak".split()
+FAMILY = "Smith Jones Brown Taylor Wilson Clark Müller Schmidt Weber Fischer Wagner Becker García López Martínez Sánchez Romero Martin Bernard Dubois Moreau Laurent Rossi Russo Ferrari Bianchi Romano Silva Santos Ferreira Pereira Oliveira Costa Kumar Patel Singh Khan Yilmaz Okafor Tanaka Wang Kowalski Novak Ivanov Jensen Larsen Berg Murphy O'Brien D'Angelo Petrov Nagy Haddad Mensah Dlamini Tran Pham Sharma Iyer Venkataraman Fernandes Carvalho Conti Greco Lefèvre Girard Zimmermann Hoffmann".split()
+SYLLABLES = "bra ken dor vel tor wex nav sul yar ost zim gren hal mas qui rul den dry vik gard lin sen ova rro rud tor mi das fel kor nel pra stu wen cal ber ran dil ist ton ley ham bor ash mund stein hof rich wald ra gu na than esh wari kov ski ez ini etti eau".split()
+WORDS = "sun river apple green tiger cloud north paper stone happy blue lemon music coffee garden silver winter book sky fox bird tree light moon".split()
+
+# What leads to a span of each kind, by language; {} is the span.
+CUES = {
+    "en": {
+        "E": "email me at {}|drop me a line: {}|you will find me under {}|forward everything to {}|my address for mail is {}|replies to {} only|I registered with {}|the login was {}|questions? {}|get in touch via {}|E-mail: {}|she gave out {} as her contact",
+        "P": "ring me at {}|my mobile: {}|give me a bell on {}|the number I left was {}|reach me by phone on {}|Phone {}|mobile {}|you can dial {}|WhatsApp {}|tel {}|a text to {} will do|my landline {} is dead",
+        "I": "social security no. {}|my passport number, {},|passport: {}|the tax office knows me as {}|national insurance number {}|ID card no. {}|my SSN is {}|tax number {}|NI no. {}|identity number: {}|driver ID {} of mine|insured under {}",
+        "A": "deliver to {}|we moved to {}|our house at {}|my place is {}|pick it up from {}|the invoice says {}|ship to: {}|home address {}|right next to {}|come by, {}|the van stopped at {}|we are at {}",
+        "N": "I am {}|this is {} speaking|a man named {}|{} was lovely|the agent {} helped|regards, {}|{} from support|ask {} about it|my neighbour {}|thank you {}|{} took my call|written by {}|best wishes, {}|a lady called {}|{} signed for it|my wife {}",
+    },
+    "de": {
+        "E": "mailt mir an {}|erreichbar bin ich über {}|alles bitte an {}|E-Mail: {}|registriert bin ich mit {}|meine Mail lautet {}|Rückfragen an {}|angemeldet unter {}|Kontakt {}",
+        "P": "ruf mich an: {}|Handy {}|mobil {}|ihr erreicht mich unter der {}|Tel.: {}|die Rufnummer {} gehört mir|Festnetz {}|meine Handynummer ist {}|Rückruf bitte an {}|Fon {}",
+        "I": "Steuer-ID {}|Steuernummer {}|Personalausweis {}|Ausweis-Nr. {}|Sozialversicherungsnummer {}|Passnummer {}|meine Krankenversichertennummer {}|Pass {}|Rentenversicherungsnummer: {}",
+        "A": "wohnhaft {}|liefert bitte in die {}|mein Haus steht in der {}|Anschrift: {}|abzuholen bei {}|wir sind umgezogen, {}|das Paket liegt {}|zu Hause: {}|Rechnung an {}",
+        "N": "ich bin {}|ich heiße {}|Gruß, {}|mit freundlichen Grüßen {}|{} vom Kundendienst|ein Herr namens {}|Frau {} war nett|mein Kollege {}|danke an {}|Ihre {}|{} hat unterschrieben|unser Nachbar {}|laut {}|geschrieben von {}",
+    },
+    "es": {
+        "E": "mi email es {}|podéis responder a {}|contacto: {}|escribe a {}|registrado con {}|correo electrónico {}|mandadlo todo a {}|dudas a {}|la cuenta {} es mía",
+        "P": "mi móvil es {}|llamad al {}|teléfono: {}|tel. {}|mi número de contacto, {}|por WhatsApp al {}|me localizan en el {}|fijo {}|marcad el {}",
+        "I": "mi DNI {}|NIE {}|pasaporte número {}|número de la seguridad social {}|mi NIF es {}|documento nacional {}|pasaporte {}|identificación fiscal {}|cédula {}",
+        "A": "vivimos en {}|mi casa está en {}|entregar en {}|dirección: {}|domicilio {}|recogida en {}|nos mudamos a {}|enviadlo a {}|mi piso, {},",
+        "N": "soy {}|mi nombre: {}|atentamente, {}|un tal {}|{} fue muy amable|me atendió {}|gracias a {}|la señora {}|mi vecino {}|{} de atención al cliente|saludos, {}|según {}|hablé con {}|firmó {}",
+    },
+    "fr": {
+        "E": "mon mail : {}|répondez à {}|mon adresse mail est {}|contact {}|inscrit avec {}|e-mail : {}|tout envoyer à {}|questions à {}|joignable via {}",
+        "P": "mon portable est le {}|téléphone : {}|tél. {}|rappelez au {}|joignable au {}|mon fixe, le {}|appelez le {}|WhatsApp {}|un SMS au {} suffit",
+        "I": "numéro de sécu {}|mon numéro de passeport {}|passeport n° {}|carte d'identité {}|numéro fiscal de référence {}|mon NIR est {}|identifiant fiscal {}|sécurité sociale : {}",
+        "A": "nous habitons {}|livrez au {}|adresse : {}|ma maison se trouve {}|domicilié {}|à retirer au {}|nous avons déménagé au {}|mon appartement, {},|facture envoyée au {}",
+        "N": "je suis {}|mon nom est {}|cordialement, {}|une certaine {}|{} a été charmante|j'ai parlé avec {}|merci à {}|monsieur {}|ma voisine {}|{} du service client|selon {}|bien à vous, {}|écrit par {}",
+    },
+    "it": {
+        "E": "la mia mail: {}|rispondete a {}|email {}|contatto: {}|registrato con {}|mandate tutto a {}|domande a {}|posta elettronica {}|mi trovate su {}",
+        "P": "il mio cellulare è {}|telefono: {}|tel. {}|chiamate il {}|fisso {}|richiamatemi allo {}|raggiungibile al {}|WhatsApp {}|un SMS al {}",
+        "I": "codice fiscale {}|il mio passaporto numero {}|carta d'identità {}|passaporto: {}|C.F. {}|tessera sanitaria {}|documento {}|numero di previdenza sociale {}",
+        "A": "abitiamo in {}|consegnare in {}|indirizzo: {}|casa mia è in {}|residente in {}|ritiro in {}|ci siamo trasferiti in {}|il mio appartamento, {},|fattura a {}",
+        "N": "sono {}|il mio nome è {}|cordiali saluti, {}|un certo {}|{} è stata gentilissima|ho parlato con {}|grazie a {}|la signora {}|il mio vicino {}|{} dell'assistenza|secondo {}|distinti saluti {}|scritto da {}",
+    },
+    "pt": {
+        "E": "meu e-mail: {}|respondam para {}|contato: {}|email {}|registado com {}|mandem tudo para {}|dúvidas para {}|correio eletrónico {}|cadastrado como {}",
+        "P": "meu celular é {}|telefone: {}|tel. {}|telemóvel {}|me liguem no {}|fixo {}|contacto {}|WhatsApp {}|um SMS para o {}",
+        "I": "meu CPF é {}|NIF {}|passaporte número {}|RG {}|cartão de cidadão {}|segurança social {}|passaporte: {}|documento {}|contribuinte n.º {}",
+        "A": "vivemos na {}|entregar na {}|endereço: {}|a minha casa fica na {}|morada: {}|retirada em {}|mudámos para a {}|meu apartamento, {},|fatura para {}",
+        "N": "sou {}|o meu nome: {}|atenciosamente, {}|um tal de {}|{} foi muito gentil|falei com {}|obrigado a {}|a senhora {}|o meu vizinho {}|{} do apoio ao cliente|segundo {}|cumprimentos, {}|escrito por {}",
+    },
+}
+# What stands before and after such a clause.
+AROUND = {
+    "en": ("Honestly, |For the record, |If anyone cares, |Still waiting; |As I told them, |Hi all, |PS: |Update: |||||", ".|!| - thanks.|, please.| and nothing happened.| since last year.| (again).|, as always.| but nobody reacted.| for three days.|||"),
+    "de": ("Ehrlich gesagt, |Zur Info: |Nur so viel: |Hallo zusammen, |Nachtrag: |Wie gesagt, |||||", ".|!|, danke.|, aber nichts passiert.| seit Mai.| (schon wieder).|, wie immer.| und keiner meldet sich.|||"),
+    "es": ("La verdad, |Para que conste, |Hola a todos, |Como dije, |Nota: |||||", ".|!|, gracias.| y nada.| desde mayo.| (otra vez).|, como siempre.| pero nadie responde.|||"),
+    "fr": ("Franchement, |Pour info, |Bonjour à tous, |Comme je disais, |PS : |||||", ".|!|, merci.| et rien.| depuis mai.| (encore).|, comme toujours.| mais personne ne réagit.|||"),
+    "it": ("Sinceramente, |Per la cronaca, |Ciao a tutti, |Come dicevo, |Nota: |||||", ".|!|, grazie.| e niente.| da maggio.| (di nuovo).|, come sempre.| ma nessuno risponde.|||"),
+    "pt": ("Sinceramente, |Para constar, |Olá a todos, |Como eu disse, |Nota: |||||", ".|!|, obrigado.| e nada.| desde maio.| (de novo).|, como sempre.| mas ninguém responde.|||"),
+}
+# Clauses with what is easily taken for a span; letters name what ``Maker.fill`` puts in.
+OTHERS = {
+    "en": "my order {o} is lost|parcel {o} went missing|the {m} makes noise|serial number {o}|invoice no. {o}|{h} posted about it|see {l}|{g} was kind|the shop on {s}|the branch in {T}|{b} sold it to me|I paid {p}|on {d} at {z}|{n} stars|the {b} app|{b} and {b}|firmware {v}|room {n}, floor {n}|the road to {T}|{T} is far|ask {g} or {g}|ticket {o}|version {v} of {b}|flight {m}|from {n} to {n} people|{b} {m} review|{y} was better|page {n} of {n}|Happy {w} everyone|read the {w} {w} guide|won {n}-{n}|batteries last {n} hours|model {m}{m}|bank transfer {o}|the {T} {w} centre",
+    "de": "meine Bestellung {o} fehlt|Sendungsnummer {o}|das {m} brummt|Seriennummer {o}|Rechnung Nr. {o}|{h} schrieb darüber|siehe {l}|{g} war nett|der Laden in der {t}|die Filiale in {T}|{b} hat es verkauft|kostet {p}|am {d} um {z}|{n} Sterne|die App von {b}|Vorgang {o}|Version {v}|das neue {b} {m}|Frau {f} war nett|der Herr {f} nicht|Zimmer {n}|Modell {m}|Der Kundendienst schweigt|Das Gerät von {b}|Die Hotline in {T}|{n} von {n} Punkten",
+    "es": "mi pedido {o} no llega|seguimiento {o}|el {m} hace ruido|número de serie {o}|factura {o}|{h} lo contó|mirad {l}|{g} fue amable|la tienda de la {c}|la oficina de {T}|{b} me lo vendió|cuesta {p}|el {d} a las {z}|{n} estrellas|la app de {b}|versión {v}|el {b} {m}|incidencia {o}|señor {f}|habitación {n}|modelo {m}",
+    "fr": "ma commande {o} est perdue|suivi {o}|le {m} fait du bruit|numéro de série {o}|facture {o}|{h} en a parlé|voir {l}|{g} était gentil|la boutique de la {r}|l'agence de {T}|{b} me l'a vendu|coûte {p}|le {d} à {z}|{n} étoiles|l'appli {b}|version {v}|le {b} {m}|dossier {o}|madame {f}|chambre {n}|modèle {m}",
+    "it": "il mio ordine {o} è perso|spedizione {o}|il {m} fa rumore|numero di serie {o}|fattura {o}|{h} ne ha parlato|vedi {l}|{g} è stato gentile|il negozio di {w2}|la filiale di {T}|{b} me l'ha venduto|costa {p}|il {d} alle {z}|{n} stelle|l'app {b}|versione {v}|il {b} {m}|pratica {o}|signora {f}|camera {n}|modello {m}",
+    "pt": "meu pedido {o} sumiu|rastreio {o}|o {m} faz barulho|número de série {o}|fatura {o}|{h} comentou|vejam {l}|{g} foi gentil|a loja da {u}|a agência de {T}|{b} me vendeu|custa {p}|em {d} às {z}|{n} estrelas|o app da {b}|versão {v}|o {b} {m}|processo {o}|dona {f}|quarto {n}|modelo {m}",
+}
+# Sentences for testing only, of other wording than the cues.
+HELD_OUT = {
+    "en": {"E": "If that fails there is always {}, I check it daily.|The receipt went to {} by mistake.", "P": "Nobody picked up when I left {} on their machine.|For refunds they want {} on file, so there it is.", "I": "The clerk typed {} from my passport into the system.|My social security card reads {} and they photographed it.", "A": "A courier left the box in the rain outside {} yesterday.|Our family has lived at {} for ages.", "N": "Yesterday {} finally repaired the heater.|The letter was addressed to {} and opened."},
+    "de": {"E": "Die Quittung ging aus Versehen an {} raus.|Sonst gibt es noch {}, das lese ich täglich.", "P": "Auf dem Band habe ich {} hinterlassen.|Für die Erstattung wollten sie {} als Nummer.", "I": "Im Formular war mein Pass mit {} schon eingetragen.|Die Steuer-ID {} steht offen im Brief.", "A": "Der Bote stellte den Karton bei {} in den Regen.|Seit Jahren lebt meine Familie in der {}.", "N": "Gestern hat {} endlich die Heizung repariert.|Der Brief war an {} gerichtet."},
+    "es": {"E": "El recibo llegó por error a {} ayer.|Si no, siempre queda {}, lo miro a diario.", "P": "Dejé {} en el contestador y nada.|Para devolver el dinero querían {} de contacto.", "I": "El empleado copió {} de mi pasaporte.|Mi DNI con {} salía en la foto.", "A": "El repartidor dejó la caja en {} bajo la lluvia.|Mi familia lleva años en {}.", "N": "Ayer {} arregló por fin la caldera.|La carta iba dirigida a {} y llegó abierta."},
+    "fr": {"E": "Le reçu est parti par erreur à {} hier.|Sinon il reste {}, je le lis chaque jour.", "P": "J'ai laissé {} sur leur répondeur.|Pour le remboursement ils voulaient {} comme numéro.", "I": "L'employé a recopié {} de mon passeport.|Ma carte de sécurité sociale porte {} en clair.", "A": "Le livreur a laissé le carton devant {} sous la pluie.|Ma famille vit depuis des années au {}.", "N": "Hier {} a enfin réparé le chauffage.|La lettre était adressée à {} et ouverte."},
+    "it": {"E": "La ricevuta è finita per errore a {} ieri.|Altrimenti resta {}, lo leggo ogni giorno.", "P": "Ho lasciato {} in segreteria.|Per il rimborso volevano {} come recapito.", "I": "L'impiegato ha copiato {} dal mio passaporto.|Il codice fiscale {} era in chiaro.", "A": "Il corriere ha lasciato la scatola davanti a {} sotto la pioggia.|La mia famiglia vive da anni in {}.", "N": "Ieri {} ha finalmente riparato la caldaia.|La lettera era indirizzata a {} e aperta."},
+    "pt": {"E": "O recibo foi por engano para {} ontem.|Senão resta {}, leio todos os dias.", "P": "Deixei {} na secretária eletrónica.|Para o reembolso queriam {} como contato.", "I": "O funcionário copiou {} do meu passaporte.|O CPF {} aparecia em claro.", "A": "O estafeta deixou a caixa à porta da {} à chuva.|A minha família vive há anos na {}.", "N": "Ontem {} finalmente consertou o aquecedor.|A carta era dirigida a {} e veio aberta."},
+}
+STREET = {
+    "en": "Street St St. Road Rd Rd. Avenue Ave Ave. Lane Ln Terrace Drive Close Court Square Way Crescent Hill Place Gardens Grove Walk".split(), "de": "straße strasse str. weg allee platz gasse ring ufer damm steig".split(),
+    "es": ["Calle", "C/", "Avenida", "Avda.", "Plaza", "Paseo", "Camino", "Ronda", "Av."], "fr": ["rue", "avenue", "boulevard", "chemin", "place", "quai", "allée", "impasse", "bd", "cours"],
+    "it": ["Via", "Viale", "Piazza", "Corso", "Vicolo", "Largo", "Strada", "V."], "pt": ["Rua", "Avenida", "Travessa", "Praça", "Largo", "R.", "Alameda", "Av."],
+}
 
 
 class Maker:
@@ -43,121 +113,195 @@ class Maker:
     def digits(self, pattern: str) -> str:
         return "".join(str(self.r.randint(0, 9)) if c == "9" else self.r.choice("ABCDEFGHJKLMNPRSTXYZQ") if c == "A" else c for c in pattern)
 
-    def E(self):  # noqa: N802
-        r, words = self.r, "sunny pixel mango turbo kettle berry ghost noodle lucky velvet anna max info jsmith maria office panda rain comet tulip salty maple luca contact".split()
-        local = r.choice(words) + r.choice(["", ".", "_", "-", "+", ""]) + r.choice(words + ["", ""]) + r.choice(["", str(r.randint(0, 99)), ""])
-        local = local.strip(".-_+")
-        domain = r.choice(["mail", "correo", "inboxly", "my-letters", "web.briefe", "postino", "quickmail", "example", self.word().lower(), "gmail", "web"]) + "." + r.choice(["com", "de", "org", "es", "fr", "it", "net", "test", "example", "invalid", "com.br", "co.uk"])
+    def E(self, lang):  # noqa: N802
+        r = self.r
+        part = lambda: r.choice([r.choice(WORDS), self.word(1, 2).lower(), r.choice(GIVEN).lower(), r.choice(FAMILY).lower()])
+        local = [part()] + [part() for _ in range(r.random() < 0.6)] + [str(r.randint(1, 999))] * (r.random() < 0.3)
+        domain = [part() + r.choice(["", "", "mail", "post", "box", "net"])] + r.choice([[], [], [part()]]) + [r.choice("com de org es fr it net test example invalid com.br co.uk pt eu io".split())]
+        domain = ".".join(domain).split(".")
         form = r.random()
         if form < 0.45:
-            out = f"{local}@{domain}"
+            out = r.choice("._-+").join(local) if r.random() < 0.7 else "".join(local)
+            out += "@" + ".".join(domain)
         else:
-            at, dot = r.choice([(" (at) ", "."), (" [at] ", "."), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", "(dot)"), (" @ ", "."), (" arroba ", " punto "), (" (arroba) ", "."), (" chiocciola ", " punto "), (" ät ", " punkt "), (" (at) ", " Punkt "), (" arobase ", " point "), (" arroba ", " ponto "), ("(at)", "."), ("[at]", "[dot]"), (" AT ", " DOT ")])
-            out = f"{local}{at}{domain.replace('.', dot)}"
-        out = r.choice(["", "", "", "mailto:", "<"]) + out
-        out = out + ">" if out[0] == "<" else out
-        return out.upper() if r.random() < 0.12 else out
+            at_word, dot_word = {"en": ("at", "dot"), "de": (r.choice(["at", "ät", "klammeraffe"]), r.choice(["punkt", "Punkt", "dot"])), "es": (r.choice(["arroba", "at"]), "punto"), "fr": (r.choice(["arobase", "at", "chez"]), "point"), "it": (r.choice(["chiocciola", "at"]), "punto"), "pt": (r.choice(["arroba", "at"]), "ponto")}[lang]
+            at = r.choice([f" {at_word} ", f" ({at_word}) ", f"({at_word})", f"[{at_word}]", f" [{at_word}] ", " @ ", " (@) ", f" {{{at_word}}} ", f" {at_word.upper()} ", f"_{at_word}_", f" <{at_word}> "])
+            dot = r.choice([".", ".", f" {dot_word} ", f"({dot_word})", f" [{dot_word}] ", f"[{dot_word}]", " . ", f" ({dot_word}) "])
+            out = r.choice([".", "_", dot if len(dot) > 2 else ".", ""]).join(local) + at + dot.join(domain)
+        out = out.upper() if r.random() < 0.08 else out.title() if r.random() < 0.03 else out
+        return r.choice(["", "", "", "", "mailto:", "<"]) + out
 
-    def P(self):  # noqa: N802
-        return self.digits(self.r.choice(["+1 999 555 9999", "999-555-9999", "(999) 555-9999", "9995559999", "1.999.555.9999", "555 9999", "555-9999", "+44 1632 960 999", "01632 960999", "01632 960 999", "+49 (0)30 23125 999", "030 23125 999", "030 23125999", "0049 30 23125-999", "+49 30 23125999", "+34 999 999 999", "999 99 99 99", "999 999 999", "0199.00.99.99", "01 99 00 99 99", "+33 1 99 00 99 99", "+33 (0)1 99 00 99 99", "+39 555 9999999", "555 9999 999", "+39 06 5559999", "(55) 5555-9999", "+351 555 999 999", "+55 11 95555-9999", "555 999 999", "0171 9999999", "+44 (0)20 7946 0999", "1-800-555-9999", "+1-999-555-9999", "0555 999999"]))
+    def P(self, lang):  # noqa: N802
+        r = self.r
+        if r.random() < 0.45:
+            sep = r.choice(" -./ ")
+            groups = r.choice([(3, 3, 4), (3, 4), (2, 2, 2, 2, 2), (3, 3, 3), (3, 2, 2, 2), (4, 6), (4, 3, 3), (2, 4, 4), (5, 6), (3, 5, 3), (3, 2, 2), (2, 3, 2, 2), (4, 7), (3, 7), (2, 5, 4), (5, 4), (4, 4), (10,), (9,), (11,)])
+            body = sep.join("9" * g for g in groups)
+            head = r.choice(["", "", "", "+9 ", "+99 ", "+999 ", "0099 ", "+99", "(099) ", "+99 (0)", "0", "(99) ", "1-", "+1 ", "1 "])
+            return self.digits(head + body).strip()
+        own = {
+            "en": "+1 (999) 555-9999|999-555-9999|(999) 555-9999|1.999.555.9999|+44 20 7946 0999|01632 960 999|07700 900999|020 7946 0999|+44 (0)1632 960999|+353 20 915 9999|555-9999|555 9999|1-800-555-9999",
+            "de": "030 23125 999|+49 30 23125-999|0171 3920999|0049 (0)69 90009 999|089/99998999|+49 (0)171 39209 99|(030) 23125999|+43 1 9999999|0151-99999999|040 66969 999",
+            "es": "+34 699 999 999|699 99 99 99|91 999 99 99|699999999|0034 699 999 999|93 999 99 99|+34 91 999 99 99|+52 55 9999 9999|955 555 999",
+            "fr": "01 99 00 99 99|06.39.98.99.99|+33 6 39 98 99 99|+33 (0)1 99 00 99 99|0199009999|07-39-98-99-99|0033 1 99 00 99 99|02 61 91 99 99",
+            "it": "+39 06 9999 9999|06 5559999|349 999 9999|3499999999|+39 349 9999999|02/5559999|0039 02 99999999|055 999 9999",
+            "pt": "+351 919 999 999|919 999 999|21 999 99 99|(11) 95555-9999|+55 11 99999-9999|11 5555-9999|919999999|(21) 99999 9999|00351 21 999 9999",
+        }[lang]
+        return self.digits(r.choice(own.split("|")))
 
-    def I(self):  # noqa: E743, N802
-        return self.digits(self.r.choice(["999-99-9999", "999 99 9999", "999999999", "QQ 99 99 99 A", "QQ999999A", "A9999999", "99999999A", "99999999-A", "9999 9999 9999", "99 999 999 999", "99999999999", "99 999999 A 999", "9 99 99 99 999 999 99", "999999999999999", "9 99 99 99 999 999", "AAAAAA99A99A999A", "AAA AAA 99A99 A999A", "AAAAAA 99A99 A999A", "QQ 99 99 99 A", "QQ999999A", "999-99-9999", "A9999999", "999 999 999", "A999999AA", "AA9999999", "999.999.999-99", "99.999.999-9", "C99A99A99", "999 9999 999"]))
+    def I(self, lang):  # noqa: E743, N802
+        passport = "A9999999|AA9999999|999999999|A99999999|99AA99999|AA999999|C99A99A99|AAA999999|A999999AA"
+        own = {
+            "en": "999-99-9999|999 99 9999|QQ 99 99 99 A|QQ999999A|999999999|999-999-999|AB 99 99 99 C|99999 99999", "de": "99 999 999 999|99999999999|99/999/99999|99 999999 A 999|A999999999|99999999A999|999/999/9999|L99A99A999", "es": "99999999A|99999999-A|A9999999A|X-9999999-A|99.999.999-A|99/99999999/99|X9999999A|9.999.999",
+            "fr": "9 99 99 99 999 999 99|999999999999999|1 99 99 99 999 999|2999999999999|99 99 999 999 999|99AA99999|999999999999", "it": "AAAAAA99A99A999A|AAA AAA 99A99 A999A|AA9999999|CA99999AA|AAAAAA 99A99 A999A|AA99999AA", "pt": "999.999.999-99|99999999999|999 999 999|999999999|99.999.999-9|99999999 9 ZZ9|AA999999|99999999999",
+        }[lang]
+        return self.digits(self.r.choice((own if self.r.random() < 0.75 else passport).split("|")))
 
-    def A(self):  # noqa: N802
+    def A(self, lang):  # noqa: N802
         r = self.r
-        n, name, town = str(r.randint(1, 240)), self.word(), self.word()
-        n += r.choice(["", "", "", "a", "B"])
-        zip_ = self.digits("99999")
-        en = f"{n} {name} {r.choice(STREETS_EN)}"
-        out = r.choice([
-            en, en, en, f"No. {n}, {name} {r.choice(STREETS_EN)}", f"{en}, {town}", f"{en}, {town} {zip_}", f"Flat {r.randint(1, 20)}, {en}, {town}", f"{en}, Apt {r.randint(1, 30)}", f"No. {n}, {name} {r.choice(STREETS_EN)}", f"Flat {r.randint(1, 9)}, {en}, {town} {zip_}",
-            f"{name}-Str. {n}, {town}", f"{name}weg {n}, {zip_} {town}", f"{name}straße {n}", f"{name}strasse {n}, {zip_} {town}", f"{name}allee {n}", f"{name}platz {n}, {town}", f"{name}gasse {n}", f"{name}str. {n}",
-            f"Calle {name} {n}", f"Calle {name} {n}, {r.randint(1, 9)}º B", f"C/ {name}, nº {n}, {town}", f"Avenida {name} {n}", f"Plaza {name} {n}, {zip_} {town}", f"Calle {name}, {n}", f"Avda. {name} {n}",
-            f"{n} rue du {name}", f"{n} rue {name}", f"{n} bis, avenue {name}, {zip_} {town}", f"{n}, boulevard {name}", f"{n} chemin de {name}, {town}", f"{n}, rue de {name}, {zip_} {town}",
-            f"Via {name}, {n}", f"Viale {name} {n}, {zip_} {town}", f"Piazza {name} {n}", f"Via {name} {n}, {town}", f"Corso {name}, {n}",
-            f"Rua {name}, {n}", f"Avenida {name}, nº {n}, {town}", f"Rua {name} {n}, {town}", f"Travessa {name}, {n}", f"Rua {name}, no {n}",
-        ])
-        return out.lower() if r.random() < 0.25 else out
+        n, name, town = str(r.randint(1, 299)), self.word(), self.word()
+        if r.random() < 0.3:
+            name = r.choice([f"{name} {self.word()}", r.choice(FAMILY), f"{r.choice(GIVEN)} {r.choice(FAMILY)}", r.choice(WORDS).capitalize()])
+        n += r.choice(["", "", "", "", "a", "B", " b", "/2", "-3"])
+        zip_, s = self.digits(r.choice(["99999", "9999", "9999-999"])), r.choice(STREET[lang])
+        if lang == "en":
+            out = r.choice([f"{n} {name} {s}", f"{n} {name} {s}", f"{n}, {name} {s}", f"No. {n}, {name} {s}", f"Flat {r.randint(1, 30)}, {n} {name} {s}", f"{n} {name} {s}, Apt {r.randint(1, 40)}", f"Unit {r.randint(1, 9)}/{n} {name} {s}"])
+            out += r.choice(["", "", f", {town}", f", {town} {zip_}"])
+        elif lang == "de":
+            glue = r.choice(["", "", "-", " "]) if " " not in name else r.choice(["-", " "])
+            street = name + (s if glue == "" else glue + s.capitalize())
+            out = f"{r.choice([street, street, street, name + 'damm', 'Am ' + name, 'Unter den ' + name, 'Alte ' + name + 'gasse', name + 'er ' + s.capitalize()])} {n}" + r.choice(["", "", f", {town}", f", {zip_} {town}"])
+        elif lang == "fr":
+            of = r.choice(["", "", "du ", "de la ", "des ", "de ", "d'"])
+            out = f"{n}{r.choice(['', '', ',', ' bis', ' ter,'])} {s} {of}{name}" + r.choice(["", "", f", {town}", f", {zip_} {town}", f" {zip_} {town}"])
+        else:
+            of = r.choice(["", "", "", "de ", "del ", "da ", "dos "]) if lang != "it" else r.choice(["", "", "", "del ", "San ", "dei "])
+            out = f"{s}{'' if s == 'C/' and r.random() < 0.5 else ' '}{of}{name}{r.choice([' ', ' ', ', ', ', nº ', ' n. ', ' número '])}{n}"
+            out += r.choice(["", "", f", {town}", f", {zip_} {town}", f", {r.randint(1, 9)}º {r.choice('ABCD')}" if lang != "it" else f", {zip_} {town}"])
+        return out.lower() if r.random() < 0.15 else out.upper() if r.random() < 0.03 else out
 
     def family(self):
         r = self.r
-        one = r.choice(FAMILY) if r.random() < 0.25 else self.word(2, 4)
-        return one + "-" + self.word(2, 3) if r.random() < 0.15 else one
+        one = r.choice(FAMILY) if r.random() < 0.3 else self.word(2, 4)
+        return one + "-" + self.word(2, 3) if r.random() < 0.12 else one
 
-    def N(self):  # noqa: N802
+    def N(self, lang):  # noqa: N802
         r = self.r
-        g, f = r.choice(GIVEN), self.family()
-        out = r.choice([f"{g} {f}"] * 6 + [f"{g} {r.choice('ABCDEHJKLMRST')}. {f}", f"{f}, {g}", f"{g} {r.choice(GIVEN)} {f}", f"Dr. {g} {f}", f"{g} de {f}"])
-        return out.upper() if r.random() < 0.08 else out.lower() if r.random() < 0.1 else out
+        g = r.choice(GIVEN) if r.random() < 0.75 else self.word(1, 3)
+        f = self.family()
+        out = r.choice([f"{g} {f}"] * 8 + [f"{g} {r.choice('ABCDEHJKLMRST')}. {f}", f"{f}, {g}", f"{g} {r.choice(GIVEN)} {f}", f"{g}-{r.choice(GIVEN)} {f}", f"{g} {r.choice(['de', 'da', 'van', 'von', 'di', 'del', 'dos', 'bin', 'al', 'le'])} {f}", f"{g} {f} {self.family()}", f"{r.choice('ABCDEHJKLMRST')}. {g} {f}"])
+        return out.upper() if r.random() < 0.05 else out.lower() if r.random() < 0.07 else out
+
+    def brand(self):
+        r, name = self.r, self.word()
+        return r.choice([name, f"{name} & {self.word()}", f"{name}-{self.word()}", f"{name} {r.choice('Labs Mobile Home Foods Motors Bank Outdoor Air Energy Telecom Fitness Systems Kitchen Audio Sports Group Insurance'.split())}", f"{name} {self.word()}", f"{name} {r.randint(2, 99)}", f"{name}.{r.choice(['com', 'io'])}", f"{r.choice(WORDS)}{name.lower()}", f"{r.choice(WORDS).capitalize()} & {r.choice(WORDS).capitalize()}", f"{r.choice(WORDS).capitalize()}{name}", f"{r.choice(WORDS).capitalize()} {r.choice(WORDS).capitalize()}"])
 
     def fill(self, c: str) -> str:
         r = self.r
         name = self.word()
         return {
-            "o": lambda: self.digits(r.choice(["9999-9999-999", "9999 9999 9999", "999999999999", "ZX999999999Q", "AA999999999A", "99999999", "1Z99999999", "999-9999999-9999999", "#999999"])),
-            "m": lambda: self.digits(r.choice(["AA-999", "A999", "AA999", "AA-9999", "999A"])), "v": lambda: self.digits(r.choice(["9.9.9999", "2.9.9", "10.9.99"])), "h": lambda: "@" + r.choice(["kettle", "pixel", "mango", name.lower()]) + str(r.randint(0, 99)),
-            "l": lambda: f"https://{name.lower()}{r.randint(1, 99)}.example/{self.word().lower()}/{r.randint(1000, 99999)}", "g": lambda: r.choice(GIVEN), "s": lambda: f"{name} {r.choice(STREETS_EN)}", "t": lambda: f"{name}straße", "c": lambda: f"calle {name}", "r": lambda: f"rue {name}", "w": lambda: f"Via {name}",
-            "b": lambda: r.choice([name, f"{name} & {self.word()}", f"{name}-{self.word()}", f"{name} {r.choice(['Labs', 'Mobile', 'Home', 'Foods', 'Motors', 'Bank', 'Outdoor', 'Air'])}", f"{name} {r.randint(2, 99)}", f"{r.choice(GIVEN)} {name}made"]), "p": lambda: r.choice(["$9", "£99.50", "45,90 €", "€237", "314 euros"]),
-            "d": lambda: self.digits(r.choice(["12/09/2023", "2023-09-19", "9 May 2023"])), "n": lambda: str(r.randint(2, 299)), "T": lambda: name, "y": lambda: str(r.randint(2015, 2024)),
+            "o": lambda: self.digits(r.choice(["9999-9999-999", "9999 9999 9999", "999999999999", "ZX999999999Q", "AA999999999AA", "99999999", "1Z99999999", "999-9999999-9999999", "#999999", "A-99999", "999999", "AAA-9999-99", "9999999", "RE-2099-9999", "99-9999", "99999-99", "JJD9999999999", "SN99A9999", "999999999999999999"])),
+            "m": lambda: self.digits(r.choice(["AA-999", "A999", "AA999", "AA-9999", "999A", "A99", "AA99A"])), "v": lambda: self.digits(r.choice(["9.9.9999", "2.9.9", "10.9.99", "v9.9"])), "h": lambda: "@" + r.choice([*WORDS, name.lower()]) + r.choice(["", "_", ""]) + str(r.randint(0, 99)),
+            "l": lambda: r.choice(["https://", "www.", "http://"]) + f"{name.lower()}{r.randint(1, 99)}.example/{self.word().lower()}/{r.randint(1000, 99999)}", "g": lambda: r.choice(GIVEN), "f": lambda: r.choice(FAMILY) if r.random() < 0.5 else self.word(2, 4), "s": lambda: f"{name} {r.choice(STREET['en'])}", "t": lambda: name + r.choice(STREET["de"]),
+            "c": lambda: f"{r.choice(STREET['es']).lower()} {name}", "r": lambda: f"{r.choice(STREET['fr'])} {name}", "w2": lambda: f"{r.choice(STREET['it'])} {name}", "u": lambda: f"{r.choice(STREET['pt'])} {name}", "w": lambda: r.choice(WORDS).capitalize(), "b": self.brand,
+            "p": lambda: r.choice(["$9", "£99.50", "45,90 €", "€237", "314 euros", "1.299,00 €", "$1,299"]), "d": lambda: self.digits(r.choice(["12/09/2023", "2023-09-19", "9 May 2023", "19.09.2023", "3. Mai"])), "z": lambda: self.digits(r.choice(["19:99", "9 pm", "19h99"])), "n": lambda: str(r.randint(2, 299)),
+            "T": lambda: r.choice([name, name, f"{r.choice(['Bad', 'San', 'New', 'Porto', 'Saint', 'Santa', 'Los', 'Upper', 'Castel'])} {name}", f"{name}-{self.word()}", f"{name} am {self.word()}", f"{name}, {self.word()}"]), "y": lambda: str(r.randint(2015, 2024)),
         }[c]()
 
-    def sentence(self) -> tuple[str, list[int]]:
-        out, tags = "", []
-        for piece in re.split(r"(\{\w\})", self.r.choice(FRAMES)):
-            if re.fullmatch(r"\{\w\}", piece):
-                c = piece[1]
-                if c in "EPIAN":
-                    span, k = getattr(self, c)(), "EPIAN".index(c)
-                    out += span
-                    tags += [1 + 2 * k] + [2 + 2 * k] * (len(span) - 1)
-                    continue
-                piece = self.fill(c)
-            out += piece
-            tags += [0] * len(piece)
-        if self.r.random() < 0.2 and out[-1:] == ".":
-            out, tags = out[:-1] + self.r.choice(["", "!", "...", "!!"]), tags[:-1]
-            tags += [0] * (len(out) - len(tags))
-        return out, tags
-
-
-def carriers(path: str, most: int = 20_000) -> list[str]:
-    """Sentences of posts without at-signs and long numbers, at most ``most``."""
+    def clause(self, lang: str, kind: str | None) -> tuple[str, list[int]]:
+        r = self.r
+        if kind is None:
+            return (x := re.sub(r"\{(\w+)\}", lambda m: self.fill(m.group(1)), r.choice(OTHERS[lang].split("|")))), [0] * len(x)
+        before, after = r.choice(CUES[lang][kind].split("|")).split("{}")
+        if r.random() < 0.15:
+            before, after = r.choice([("", ""), ("(", ")"), (": ", ""), ("- ", ""), ("", ","), ("\n", "\n"), ("/ ", "")])
+        span, k = getattr(self, kind)(lang), "EPIAN".index(kind)
+        return before + span + after, [0] * len(before) + [1 + 2 * k] + [2 + 2 * k] * (len(span) - 1) + [0] * len(after)
+
+    def sentence(self, spans: float = 0.55) -> tuple[str, list[int]]:
+        r, lang = self.r, self.r.choice(list(CUES))
+        text, tags = self.clause(lang, r.choice("EPIAN") if r.random() < spans else None)
+        lead, tail = (r.choice(x.split("|")) for x in AROUND[lang])
+        if r.random() < 0.25:
+            more, marks = self.clause(lang, r.choice("EPIAN") if r.random() < spans else None)
+            glue = r.choice([", ", "; ", " - ", ". ", " / "])
+            text, tags = text + glue + more, tags + [0] * len(glue) + marks
+        if not lead and text[0].islower() and not tags[0] and r.random() < 0.8:
+            text = text[0].upper() + text[1:]
+        text, tags = lead + text + tail, [0] * len(lead) + tags + [0] * len(tail)
+        return text, tags
+
+
+def carriers(path: str, most: int = 20_000, seed: int = 5) -> list[str]:
+    """At most ``most`` sentences of posts that hold no at-sign, no long number, no number beside a capital, and no pair of capitals but at their start."""
     import pyarrow.parquet as pq
 
     out: list[str] = []
-    for batch in pq.ParquetFile(path).iter_batches(5000, columns=["posts"]):
+    odd = re.compile(r"@|\bat\b|\d{4}|\d[ .-]\d{2}|\(at\)|\[at\]|\b[^\W\d_a-z]\w*,? \d|\d\w*,? [A-Z]|\S [A-ZÀ-Þ][\w'’-]+,? [A-ZÀ-Þ]")
+    given = {g.lower() for g in GIVEN}
+    for batch in pq.ParquetFile(path).iter_batches(20_000, columns=["posts"]):
         for text in batch["posts"].to_pylist():
             for s in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-                if len(s) > 5 and not re.search(r"@|\d{5}|\d[ .-]\d{3}|\(at\)|\[at\]|[A-Z]\w+ [A-Z]\w+[^&]*\band I want|name|Signed|agent|llamo|Stree|\bSt\b|Road|Lane|Ave|Terrace|Str\.|weg|Calle|C/|Rua|Via|rue|live at|555|Name|nome|chiamo|appelle|Firm|Assin|Gezeich|Berater|conseiller|atendente|operatore", s):
+                if len(s) > 5 and not odd.search(s) and s.split()[0].lower().strip(",.:") not in given:
                     out.append(s)
-                    if len(out) >= most:
-                        return out
-    return out
+        if len(out) >= 10 * most:
+            break
+    random.Random(seed).shuffle(out)
+    return out[:most]
 
 
-def windows(path: str, size: int, seed: int = 7):
-    """Endless batches of windows of text with their tags."""
-    make, around = Maker(seed), carriers(path)
+def labelled(make: Maker, around: list[str], least: int) -> tuple[str, list[int]]:
+    """Made sentences between carriers, at least ``least`` characters."""
     r = make.r
+    text, mark = make.sentence()
+    while len(text) < least:
+        s, t = make.sentence() if r.random() < 0.3 or not around else ((x := r.choice(around)), [0] * len(x))
+        glue = r.choice([" ", " ", " ", "\n"])
+        text, mark = (s + glue + text, t + [0] + mark) if r.random() < 0.5 else (text + glue + s, mark + [0] + t)
+    return text, mark
+
+
+def windows(around: list[str], size: int, seed: int = 7):
+    """Endless batches of windows of text with their tags."""
+    make = Maker(seed)
     while True:
         ids, tags = np.zeros((size, WIDTH), np.int16), np.zeros((size, WIDTH), np.int64)
         for i in range(size):
-            text, mark = make.sentence()
-            while len(text) < WIDTH + 40:
-                s, t = make.sentence() if r.random() < 0.35 else ((x := r.choice(around)), [0] * len(x))
-                text, mark = (s + " " + text, t + [0] + mark) if r.random() < 0.5 else (text + " " + s, mark + [0] + t)
-            at = r.randint(0, len(text) - WIDTH)
+            text, mark = labelled(make, around, WIDTH + 40)
+            # Most windows lie around a span.
+            spots = [j for j, t in enumerate(mark) if t % 2]
+            at = make.r.randint(0, len(text) - WIDTH) if not spots or make.r.random() < 0.3 else max(0, min(len(text) - WIDTH, make.r.choice(spots) - make.r.randint(0, WIDTH - 12)))
             ids[i], tags[i] = encode(text)[at : at + WIDTH], mark[at : at + WIDTH]
         yield ids, tags
 
 
+def held_out(read, each: int = 40, seed: int = 99) -> dict[tuple[str, str], float]:
+    """The share of spans found with their kind, by kind and language, in sentences of wording that training never saw."""
+    make, out = Maker(seed), {}
+    for lang, kinds in HELD_OUT.items():
+        for kind, frames in kinds.items():
+            texts, spans = [], []
+            for i in range(each):
+                before, after = frames.split("|")[i % 2].split("{}")
+                span = getattr(make, kind)(lang)
+                texts.append(before + span + after)
+                spans.append((len(before), len(before) + len(span)))
+            name = KINDS["EPIAN".index(kind)]
+            hits = [any(k == name and a < hi and b > lo for k, a, b in found) for found, (lo, hi) in zip(read(texts), spans)]
+            out[name, lang] = sum(hits) / each
+    return out
+
+
 if __name__ == "__main__":
     steps = int(sys.argv[3]) if len(sys.argv) > 3 else 2500
     before = None
+    around = carriers(sys.argv[1])
     if len(sys.argv) > 4:
         with np.load(sys.argv[4]) as f:
-            before = {k: f[k].astype(np.float32) for k in f.files}
-    weights = train(windows(sys.argv[1], 128, 7 + (before is not None)), before, 0.01 if before is None else 0.004, steps=steps, say=lambda x: print(x, flush=True))
-    np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in weights.items()})
+            before = {k: f[k] for k in f.files}
+    make = Maker(31)
+    scorer = fit_scorer([labelled(make, around, 200) for _ in range(12_000)], say=lambda x: print(x, flush=True))
+    w = None if before is None else {k: v.astype(np.float32) for k, v in before.items() if not k.startswith("scorer_")}
+    w = train(windows(around, 128, 7 if before is None else 8), w, 0.01 if before is None else 0.004, steps=steps, say=lambda x: print(x, flush=True))
+    np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in w.items()}, **scorer)
     print("kinds:", *KINDS)
