@@ -25,7 +25,10 @@ LOOK_ALIKE = {
     "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j", "Α": "A",
     "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
     "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "օ": "o", "ս": "u", "հ": "h", "ո": "n",
-    "ց": "g", "զ": "q", "Ս": "U", "Օ": "O", "Տ": "S", "Լ": "L", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-",
+    "ց": "g", "զ": "q", "Ս": "U", "Օ": "O", "Տ": "S", "Լ": "L", "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E",
+    "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮥ": "S", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S",
+    "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U", "‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-",
 }
 
 # Kinds of compatibility decomposition that change width, weight or joining only.
@@ -39,7 +42,7 @@ LINE_BREAKS = "\r\v\f\x85  "
 ZWJ = 0x200D
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=4096)
 def _parts(ch: str) -> str:
     """The full decomposition of a character with look-alikes replaced; empty for what has no width."""
     if ch in LINE_BREAKS:
@@ -66,7 +69,8 @@ def _parts(ch: str) -> str:
     return ch if out.startswith(" ") and len(out) > 1 else out
 
 
-def fold_rows() -> list[tuple[str, str]]:
+@lru_cache(maxsize=1)
+def fold_rows() -> tuple[tuple[str, str], ...]:
     """(character, what it becomes) for every character that changes."""
     out = []
     for cp in range(0x110000):
@@ -75,7 +79,7 @@ def fold_rows() -> list[tuple[str, str]]:
         ch = chr(cp)
         if ch != "\n" and not 32 < cp < 127 and (d := _parts(ch)) != ch:
             out.append((ch, d))
-    return out
+    return tuple(out)
 
 
 @lru_cache(maxsize=1)
@@ -92,6 +96,31 @@ def compose_rows() -> tuple[tuple[str, str], ...]:
     return tuple(out.items())
 
 
+@lru_cache(maxsize=1)
+def mark_classes() -> tuple[str, str]:
+    """All marks, and for each a character that sorts as its combining class does."""
+    marks = [chr(cp) for cp in range(0x300, 0xE0200) if not 0x3400 <= cp < 0xA000 and not 0xAC00 <= cp < 0xE000 and unicodedata.category(chr(cp))[0] == "M"]
+    return "".join(marks), "".join(chr(0x100 + unicodedata.combining(c)) for c in marks)
+
+
+#: Hangul letters that join: a leading consonant and a vowel, perhaps with a final consonant; or a syllable and a final consonant.
+JAMO = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}][\x{11A8}-\x{11C2}]?|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
+
+
+def syllable(jamo: Column) -> Column:
+    """The one character of a sequence that matches ``JAMO``, by Unicode's arithmetic."""
+
+    def code(at: int) -> Column:
+        return F.ascii(F.substring(jamo, at, 1))
+
+    joined = F.when(code(1) >= 0xAC00, code(1)).otherwise(0xAC00 + ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28)
+    final = F.ascii(F.substring(jamo, -1, 1)) - 0x11A7
+    cp = joined + F.when((final > 0) & (final < 28) & ((code(1) < 0xAC00) | ((code(1) - 0xAC00) % 28 == 0)), final).otherwise(0)
+    # As three bytes of UTF-8.
+    raw = (F.shiftright(cp, 12) + 0xE0) * 0x10000 + (F.shiftright(cp, 6).bitwiseAND(0x3F) + 0x80) * 0x100 + cp.bitwiseAND(0x3F) + 0x80
+    return F.unhex(F.hex(raw)).cast("string")
+
+
 @lru_cache(maxsize=1)
 def plain_class() -> str:
     """A regular expression class of the common characters that are their own final form.
@@ -145,7 +174,7 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     easy = rows.where(F.coalesce(~other, F.lit(True))).select("_row", tidy(F.col("_t")).alias("_text"))
 
     # Positioned pieces: single code points, and runs of plain ones, which no later step changes, as one piece each.
-    fold = F.broadcast(spark.createDataFrame(fold_rows(), "_ch string, _to string"))
+    fold = F.broadcast(spark.createDataFrame(list(fold_rows()), "_ch string, _to string"))
     hard = rows.where(other).withColumn("_key", F.monotonically_increasing_id())
     points = F.regexp_extract_all(F.regexp_replace("_t", r"\r\n?", "\n"), F.lit(rf"(?s)(?:[{plain_class()}](?!\p{{M}}))+|."), F.lit(0))
     points = hard.select("_key", "_row", F.posexplode(points).alias("_at", "_ch"))
@@ -154,13 +183,16 @@ def canonicalise(df: DataFrame, col: str, out: str = "canonical") -> DataFrame:
     decomposed = _rebuilt(points, "_key", "_row")
 
     compose = F.broadcast(spark.createDataFrame(list(compose_rows()), "_ordered string, _to string"))
-    marked = F.col("_text").rlike(r"\p{M}")
-    clusters = F.when(marked, F.regexp_extract_all("_text", F.lit(r"(?s)\P{M}\p{M}+|(?:\P{M}(?!\p{M}))+|\p{M}+"), F.lit(0))).otherwise(F.array("_text"))
+    marked = F.col("_text").rlike(r"[\p{M}\x{1100}-\x{11FF}]")
+    pieces = F.regexp_extract_all("_text", F.lit(rf"(?s)\P{{M}}\p{{M}}+|{JAMO}|(?:(?!{JAMO})\P{{M}}(?!\p{{M}}))+|\p{{M}}+"), F.lit(0))
+    clusters = F.when(marked, pieces).otherwise(F.array("_text"))
     clusters = decomposed.select("_key", "_row", F.posexplode(clusters).alias("_at", "_c"))
-    classes = F.create_map(*[F.lit(x) for c in map(chr, range(0x300, 0x370)) for x in (c, unicodedata.combining(c))])
-    marks = F.transform(F.split(F.expr("substring(_c, 2)"), ""), lambda m, i: F.struct(F.coalesce(classes[m], F.lit(255)).alias("k"), i.alias("i"), m.alias("m")))
-    ordered = F.concat(F.substring("_c", 1, 1), F.array_join(F.transform(F.array_sort(marks), lambda x: x["m"]), ""))
-    clusters = clusters.withColumn("_ordered", F.when(F.col("_c").rlike(r"^\P{M}\p{M}{2,}$"), ordered).otherwise(F.col("_c")))
+    # Marks of a class above 0 are ordered by class; one of class 0 stays where it is, and none moves across it.
+    marks = F.transform(F.split(F.expr("substring(_c, 2)"), ""), lambda m, i: F.struct(i.alias("i"), F.translate(m, *mark_classes()).alias("k"), m.alias("m")))
+    blocks = F.transform(marks, lambda x: F.struct(F.size(F.filter(marks, lambda y: (y["i"] <= x["i"]) & (y["k"] == "\u0100"))).alias("b"), x["k"].alias("k"), x["i"].alias("i"), x["m"].alias("m")))
+    ordered = F.concat(F.substring("_c", 1, 1), F.array_join(F.transform(F.array_sort(blocks), lambda x: x["m"]), ""))
+    formed = F.when(F.col("_c").rlike(r"^\P{M}\p{M}{2,}$"), ordered).when(F.col("_c").rlike(f"^(?:{JAMO})$"), syllable(F.col("_c"))).otherwise(F.col("_c"))
+    clusters = clusters.withColumn("_ordered", formed)
     clusters = clusters.join(compose, "_ordered", "left").select("_key", F.when(F.col("_at") == 0, F.col("_row")).alias("_row"), "_at", F.coalesce("_to", "_ordered").alias("_piece"))
     done = _rebuilt(clusters, "_key", "_row").select("_row", tidy(F.col("_text")).alias("_text"))
     return easy.unionByName(done).select("_row.*", F.col("_text").alias(out))

@@ -34,6 +34,16 @@ def test_canonical_orders_marks_and_keeps_case(spark):
     assert canonical(spark, long) == ["a" * 50_000]
 
 
+def test_canonical_marks_of_all_classes_and_hangul(spark):
+    import unicodedata
+
+    korean = "한국어 값을 뷁"
+    a, b, c, d, e, f, g = canonical(spark, "\u0627\u064b\u0651", "\u0627\u0651\u064b", korean, unicodedata.normalize("NFD", korean), "\uac00\u11a8", "ᎳᎪ", "\u0915\u093e\u093c")
+    assert a == b and c == d == korean and e == "\uac01" and f[0] == "W"
+    # A mark of class 0 stays before the ones that follow it.
+    assert g == unicodedata.normalize("NFC", "\u0915\u093e\u093c")
+
+
 def test_look_alike_pairs_are_brute_force(spark):
     r = random.Random(3)
     base = ["red kettle", "blue kettle", "", None, "Red kettle"]
