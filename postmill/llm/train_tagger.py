@@ -1,4 +1,4 @@
-"""Makes labelled text and trains both models of problem 4: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [STEPS [WEIGHTS]].
+"""Makes labelled text and trains both models of problem 4: python -m postmill.llm.train_tagger POSTS.parquet OUT.npz [ROUNDS [WEIGHTS]].
 
 Spans come from formats and name lists, the words around them from cues, leads and tails in six languages, all of them written for this
 module and not taken from any data. ``HELD_OUT`` has sentences of other wording that training never sees; ``held_out`` reports
@@ -14,7 +14,7 @@ import sys
 
 import numpy as np
 
-from postmill.llm.tagger import KINDS, WIDTH, encode, fit_scorer, train
+from postmill.llm.tagger import KINDS, WIDTH, encode, fit_scorer, new_weights, train
 
 # Given names, family names and name parts from several regions.
 GIVEN = "Anna Maria Paul Peter Laura Lukas Julia Sophie Carlos Lucia Marco Giulia Pedro Ines Joao Rui Hugo Marie Pierre Camille Jean Luc Emma Noah Liam Olivia Ethan Grace Henry Alice Oscar Clara Jonas Felix Nina Sara David Daniel Elena Irene Pablo Javier Sofia Matteo Chiara Luca Paolo Tiago Beatriz Anton Birgit Ravi Arjun Noor Leila Omar Elif Emeka Amara Yuki Mei Chen Ivan Olga Pilar Maya Ruth Karl Greta Jürgen Zoë André Renée José Núria Mónica Åsa Søren Fatima Hassan Kwame Thabo Dmitri Katarzyna Piotr Zsófia Mehmet Aisha Tomás Heike Uwe Dieter Claire Benoît Nicola Fabio Gonçalo Rafael Megan Declan Aoife Hiroshi Linh Minh Sunita Deepak".split()
@@ -26,45 +26,45 @@ WORDS = "sun river apple green tiger cloud north paper stone happy blue lemon mu
 CUES = {
     "en": {
         "E": "email me at {}|drop me a line: {}|you will find me under {}|forward everything to {}|my address for mail is {}|replies to {} only|I registered with {}|the login was {}|questions? {}|get in touch via {}|E-mail: {}|she gave out {} as her contact",
-        "P": "ring me at {}|my mobile: {}|give me a bell on {}|the number I left was {}|reach me by phone on {}|Phone {}|mobile {}|you can dial {}|WhatsApp {}|tel {}|a text to {} will do|my landline {} is dead",
-        "I": "social security no. {}|my passport number, {},|passport: {}|the tax office knows me as {}|national insurance number {}|ID card no. {}|my SSN is {}|tax number {}|NI no. {}|identity number: {}|driver ID {} of mine|insured under {}",
-        "A": "deliver to {}|we moved to {}|our house at {}|my place is {}|pick it up from {}|the invoice says {}|ship to: {}|home address {}|right next to {}|come by, {}|the van stopped at {}|we are at {}",
-        "N": "I am {}|this is {} speaking|a man named {}|{} was lovely|the agent {} helped|regards, {}|{} from support|ask {} about it|my neighbour {}|thank you {}|{} took my call|written by {}|best wishes, {}|a lady called {}|{} signed for it|my wife {}",
+        "P": "ring me at {}|my mobile: {}|give me a bell on {}|the number I left was {}|reach me by phone on {}|Phone {}|mobile {}|you can dial {}|WhatsApp {}|tel {}|a text to {} will do|my landline {} is dead|dial {} now|they called from {}|the number {}|saved {} as spam|voicemail at {}",
+        "I": "social security no. {}|my passport number, {},|passport: {}|the tax office knows me as {}|national insurance number {}|ID card no. {}|my SSN is {}|tax number {}|NI no. {}|identity number: {}|driver ID {} of mine|insured under {}|it shows {} as my ID|a copy of my ID, {}|my ID number {} leaked|passport {} expired",
+        "A": "deliver to {}|we moved to {}|our house at {}|my place is {}|pick it up from {}|the invoice says {}|ship to: {}|home address {}|right next to {}|come by, {}|the van stopped at {}|we are at {}|outside {}|at {} since spring|in front of {}|between here and {}|a flat in {}|the door of {}",
+        "N": "I am {}|this is {} speaking|a man named {}|{} was lovely|the agent {} helped|regards, {}|{} from support|ask {} about it|my neighbour {}|thank you {}|{} took my call|written by {}|best wishes, {}|a lady called {}|{} signed for it|my wife {}|{} told us|with {} lately|because {} said so|for {} only|to {} directly|we met {} there|{} called back|that {} is great|between {} and me|{}, my boss,|name: {}",
     },
     "de": {
         "E": "mailt mir an {}|erreichbar bin ich über {}|alles bitte an {}|E-Mail: {}|registriert bin ich mit {}|meine Mail lautet {}|Rückfragen an {}|angemeldet unter {}|Kontakt {}",
-        "P": "ruf mich an: {}|Handy {}|mobil {}|ihr erreicht mich unter der {}|Tel.: {}|die Rufnummer {} gehört mir|Festnetz {}|meine Handynummer ist {}|Rückruf bitte an {}|Fon {}",
-        "I": "Steuer-ID {}|Steuernummer {}|Personalausweis {}|Ausweis-Nr. {}|Sozialversicherungsnummer {}|Passnummer {}|meine Krankenversichertennummer {}|Pass {}|Rentenversicherungsnummer: {}",
-        "A": "wohnhaft {}|liefert bitte in die {}|mein Haus steht in der {}|Anschrift: {}|abzuholen bei {}|wir sind umgezogen, {}|das Paket liegt {}|zu Hause: {}|Rechnung an {}",
-        "N": "ich bin {}|ich heiße {}|Gruß, {}|mit freundlichen Grüßen {}|{} vom Kundendienst|ein Herr namens {}|Frau {} war nett|mein Kollege {}|danke an {}|Ihre {}|{} hat unterschrieben|unser Nachbar {}|laut {}|geschrieben von {}",
+        "P": "ruf mich an: {}|Handy {}|mobil {}|ihr erreicht mich unter der {}|Tel.: {}|die Rufnummer {} gehört mir|Festnetz {}|meine Handynummer ist {}|Rückruf bitte an {}|Fon {}|wählt {}|sie riefen von {} an|die Nummer {}|Anrufbeantworter unter {}",
+        "I": "Steuer-ID {}|Steuernummer {}|Personalausweis {}|Ausweis-Nr. {}|Sozialversicherungsnummer {}|Passnummer {}|meine Krankenversichertennummer {}|Pass {}|Rentenversicherungsnummer: {}|darauf steht {} als Ausweisnummer|eine Kopie vom Pass {}|meine Steuernummer {} ist bekannt",
+        "A": "wohnhaft {}|liefert bitte in die {}|mein Haus steht in der {}|Anschrift: {}|abzuholen bei {}|wir sind umgezogen, {}|das Paket liegt {}|zu Hause: {}|Rechnung an {}|vor {}|in der {} seit Mai|eine Wohnung {}|bis zur {}|gegenüber {}",
+        "N": "ich bin {}|ich heiße {}|Gruß, {}|mit freundlichen Grüßen {}|{} vom Kundendienst|ein Herr namens {}|Frau {} war nett|mein Kollege {}|danke an {}|Ihre {}|{} hat unterschrieben|unser Nachbar {}|laut {}|geschrieben von {}|{} sagte uns|mit {} neulich|weil {} das sagte|nur für {}|direkt an {}|wir trafen {}|{} rief zurück|zwischen {} und mir|Name: {}",
     },
     "es": {
         "E": "mi email es {}|podéis responder a {}|contacto: {}|escribe a {}|registrado con {}|correo electrónico {}|mandadlo todo a {}|dudas a {}|la cuenta {} es mía",
-        "P": "mi móvil es {}|llamad al {}|teléfono: {}|tel. {}|mi número de contacto, {}|por WhatsApp al {}|me localizan en el {}|fijo {}|marcad el {}",
-        "I": "mi DNI {}|NIE {}|pasaporte número {}|número de la seguridad social {}|mi NIF es {}|documento nacional {}|pasaporte {}|identificación fiscal {}|cédula {}",
-        "A": "vivimos en {}|mi casa está en {}|entregar en {}|dirección: {}|domicilio {}|recogida en {}|nos mudamos a {}|enviadlo a {}|mi piso, {},",
-        "N": "soy {}|mi nombre: {}|atentamente, {}|un tal {}|{} fue muy amable|me atendió {}|gracias a {}|la señora {}|mi vecino {}|{} de atención al cliente|saludos, {}|según {}|hablé con {}|firmó {}",
+        "P": "mi móvil es {}|llamad al {}|teléfono: {}|tel. {}|mi número de contacto, {}|por WhatsApp al {}|me localizan en el {}|fijo {}|marcad el {}|marca {}|llamaron desde {}|el número {}|buzón en el {}",
+        "I": "mi DNI {}|NIE {}|pasaporte número {}|número de la seguridad social {}|mi NIF es {}|documento nacional {}|pasaporte {}|identificación fiscal {}|cédula {}|sale {} como mi documento|una copia del pasaporte {}|mi DNI, {}, quedó a la vista",
+        "A": "vivimos en {}|mi casa está en {}|entregar en {}|dirección: {}|domicilio {}|recogida en {}|nos mudamos a {}|enviadlo a {}|mi piso, {},|delante de {}|en {} desde mayo|un piso en {}|hasta {}|enfrente de {}",
+        "N": "soy {}|mi nombre: {}|atentamente, {}|un tal {}|{} fue muy amable|me atendió {}|gracias a {}|la señora {}|mi vecino {}|{} de atención al cliente|saludos, {}|según {}|hablé con {}|firmó {}|{} nos dijo|con {} hace poco|porque {} lo dijo|solo para {}|vimos a {}|{} devolvió la llamada|entre {} y yo|nombre: {}",
     },
     "fr": {
         "E": "mon mail : {}|répondez à {}|mon adresse mail est {}|contact {}|inscrit avec {}|e-mail : {}|tout envoyer à {}|questions à {}|joignable via {}",
-        "P": "mon portable est le {}|téléphone : {}|tél. {}|rappelez au {}|joignable au {}|mon fixe, le {}|appelez le {}|WhatsApp {}|un SMS au {} suffit",
-        "I": "numéro de sécu {}|mon numéro de passeport {}|passeport n° {}|carte d'identité {}|numéro fiscal de référence {}|mon NIR est {}|identifiant fiscal {}|sécurité sociale : {}",
-        "A": "nous habitons {}|livrez au {}|adresse : {}|ma maison se trouve {}|domicilié {}|à retirer au {}|nous avons déménagé au {}|mon appartement, {},|facture envoyée au {}",
-        "N": "je suis {}|mon nom est {}|cordialement, {}|une certaine {}|{} a été charmante|j'ai parlé avec {}|merci à {}|monsieur {}|ma voisine {}|{} du service client|selon {}|bien à vous, {}|écrit par {}",
+        "P": "mon portable est le {}|téléphone : {}|tél. {}|rappelez au {}|joignable au {}|mon fixe, le {}|appelez le {}|WhatsApp {}|un SMS au {} suffit|composez le {}|ils ont appelé du {}|le numéro {}|messagerie au {}",
+        "I": "numéro de sécu {}|mon numéro de passeport {}|passeport n° {}|carte d'identité {}|numéro fiscal de référence {}|mon NIR est {}|identifiant fiscal {}|sécurité sociale : {}|on y lit {} comme identité|une copie du passeport {}|mon numéro de sécu, {}, est visible",
+        "A": "nous habitons {}|livrez au {}|adresse : {}|ma maison se trouve {}|domicilié {}|à retirer au {}|nous avons déménagé au {}|mon appartement, {},|facture envoyée au {}|devant le {}|au {} depuis mai|un appartement {}|jusqu'au {}|en face du {}",
+        "N": "je suis {}|mon nom est {}|cordialement, {}|une certaine {}|{} a été charmante|j'ai parlé avec {}|merci à {}|monsieur {}|ma voisine {}|{} du service client|selon {}|bien à vous, {}|écrit par {}|{} nous a dit|avec {} récemment|parce que {} l'a dit|pour {} seulement|on a vu {}|{} a rappelé|entre {} et moi|nom : {}",
     },
     "it": {
         "E": "la mia mail: {}|rispondete a {}|email {}|contatto: {}|registrato con {}|mandate tutto a {}|domande a {}|posta elettronica {}|mi trovate su {}",
-        "P": "il mio cellulare è {}|telefono: {}|tel. {}|chiamate il {}|fisso {}|richiamatemi allo {}|raggiungibile al {}|WhatsApp {}|un SMS al {}",
-        "I": "codice fiscale {}|il mio passaporto numero {}|carta d'identità {}|passaporto: {}|C.F. {}|tessera sanitaria {}|documento {}|numero di previdenza sociale {}",
-        "A": "abitiamo in {}|consegnare in {}|indirizzo: {}|casa mia è in {}|residente in {}|ritiro in {}|ci siamo trasferiti in {}|il mio appartamento, {},|fattura a {}",
-        "N": "sono {}|il mio nome è {}|cordiali saluti, {}|un certo {}|{} è stata gentilissima|ho parlato con {}|grazie a {}|la signora {}|il mio vicino {}|{} dell'assistenza|secondo {}|distinti saluti {}|scritto da {}",
+        "P": "il mio cellulare è {}|telefono: {}|tel. {}|chiamate il {}|fisso {}|richiamatemi allo {}|raggiungibile al {}|WhatsApp {}|un SMS al {}|fate il {}|hanno chiamato dal {}|il numero {}|segreteria allo {}",
+        "I": "codice fiscale {}|il mio passaporto numero {}|carta d'identità {}|passaporto: {}|C.F. {}|tessera sanitaria {}|documento {}|numero di previdenza sociale {}|si legge {} come documento|una copia del passaporto {}|il mio codice fiscale, {}, si vede",
+        "A": "abitiamo in {}|consegnare in {}|indirizzo: {}|casa mia è in {}|residente in {}|ritiro in {}|ci siamo trasferiti in {}|il mio appartamento, {},|fattura a {}|davanti a {}|in {} da maggio|un alloggio in {}|fino a {}|di fronte a {}",
+        "N": "sono {}|il mio nome è {}|cordiali saluti, {}|un certo {}|{} è stata gentilissima|ho parlato con {}|grazie a {}|la signora {}|il mio vicino {}|{} dell'assistenza|secondo {}|distinti saluti {}|scritto da {}|{} ci ha detto|con {} di recente|perché {} lo ha detto|solo per {}|abbiamo visto {}|{} ha richiamato|tra {} e me|nome: {}",
     },
     "pt": {
         "E": "meu e-mail: {}|respondam para {}|contato: {}|email {}|registado com {}|mandem tudo para {}|dúvidas para {}|correio eletrónico {}|cadastrado como {}",
-        "P": "meu celular é {}|telefone: {}|tel. {}|telemóvel {}|me liguem no {}|fixo {}|contacto {}|WhatsApp {}|um SMS para o {}",
-        "I": "meu CPF é {}|NIF {}|passaporte número {}|RG {}|cartão de cidadão {}|segurança social {}|passaporte: {}|documento {}|contribuinte n.º {}",
-        "A": "vivemos na {}|entregar na {}|endereço: {}|a minha casa fica na {}|morada: {}|retirada em {}|mudámos para a {}|meu apartamento, {},|fatura para {}",
-        "N": "sou {}|o meu nome: {}|atenciosamente, {}|um tal de {}|{} foi muito gentil|falei com {}|obrigado a {}|a senhora {}|o meu vizinho {}|{} do apoio ao cliente|segundo {}|cumprimentos, {}|escrito por {}",
+        "P": "meu celular é {}|telefone: {}|tel. {}|telemóvel {}|me liguem no {}|fixo {}|contacto {}|WhatsApp {}|um SMS para o {}|disque {}|ligaram do {}|o número {}|caixa postal no {}",
+        "I": "meu CPF é {}|NIF {}|passaporte número {}|RG {}|cartão de cidadão {}|segurança social {}|passaporte: {}|documento {}|contribuinte n.º {}|aparece {} como documento|uma cópia do passaporte {}|o meu CPF, {}, ficou à vista",
+        "A": "vivemos na {}|entregar na {}|endereço: {}|a minha casa fica na {}|morada: {}|retirada em {}|mudámos para a {}|meu apartamento, {},|fatura para {}|em frente à {}|na {} desde maio|um apartamento na {}|até à {}|ao lado da {}",
+        "N": "sou {}|o meu nome: {}|atenciosamente, {}|um tal de {}|{} foi muito gentil|falei com {}|obrigado a {}|a senhora {}|o meu vizinho {}|{} do apoio ao cliente|segundo {}|cumprimentos, {}|escrito por {}|{} disse-nos|com {} há pouco|porque {} disse|só para {}|vimos {}|{} ligou de volta|entre {} e mim|nome: {}",
     },
 }
 # What stands before and after such a clause.
@@ -78,12 +78,12 @@ AROUND = {
 }
 # Clauses with what is easily taken for a span; letters name what ``Maker.fill`` puts in.
 OTHERS = {
-    "en": "my order {o} is lost|parcel {o} went missing|the {m} makes noise|serial number {o}|invoice no. {o}|{h} posted about it|see {l}|{g} was kind|the shop on {s}|the branch in {T}|{b} sold it to me|I paid {p}|on {d} at {z}|{n} stars|the {b} app|{b} and {b}|firmware {v}|room {n}, floor {n}|the road to {T}|{T} is far|ask {g} or {g}|ticket {o}|version {v} of {b}|flight {m}|from {n} to {n} people|{b} {m} review|{y} was better|page {n} of {n}|Happy {w} everyone|read the {w} {w} guide|won {n}-{n}|batteries last {n} hours|model {m}{m}|bank transfer {o}|the {T} {w} centre",
-    "de": "meine Bestellung {o} fehlt|Sendungsnummer {o}|das {m} brummt|Seriennummer {o}|Rechnung Nr. {o}|{h} schrieb darüber|siehe {l}|{g} war nett|der Laden in der {t}|die Filiale in {T}|{b} hat es verkauft|kostet {p}|am {d} um {z}|{n} Sterne|die App von {b}|Vorgang {o}|Version {v}|das neue {b} {m}|Frau {f} war nett|der Herr {f} nicht|Zimmer {n}|Modell {m}|Der Kundendienst schweigt|Das Gerät von {b}|Die Hotline in {T}|{n} von {n} Punkten",
-    "es": "mi pedido {o} no llega|seguimiento {o}|el {m} hace ruido|número de serie {o}|factura {o}|{h} lo contó|mirad {l}|{g} fue amable|la tienda de la {c}|la oficina de {T}|{b} me lo vendió|cuesta {p}|el {d} a las {z}|{n} estrellas|la app de {b}|versión {v}|el {b} {m}|incidencia {o}|señor {f}|habitación {n}|modelo {m}",
-    "fr": "ma commande {o} est perdue|suivi {o}|le {m} fait du bruit|numéro de série {o}|facture {o}|{h} en a parlé|voir {l}|{g} était gentil|la boutique de la {r}|l'agence de {T}|{b} me l'a vendu|coûte {p}|le {d} à {z}|{n} étoiles|l'appli {b}|version {v}|le {b} {m}|dossier {o}|madame {f}|chambre {n}|modèle {m}",
-    "it": "il mio ordine {o} è perso|spedizione {o}|il {m} fa rumore|numero di serie {o}|fattura {o}|{h} ne ha parlato|vedi {l}|{g} è stato gentile|il negozio di {w2}|la filiale di {T}|{b} me l'ha venduto|costa {p}|il {d} alle {z}|{n} stelle|l'app {b}|versione {v}|il {b} {m}|pratica {o}|signora {f}|camera {n}|modello {m}",
-    "pt": "meu pedido {o} sumiu|rastreio {o}|o {m} faz barulho|número de série {o}|fatura {o}|{h} comentou|vejam {l}|{g} foi gentil|a loja da {u}|a agência de {T}|{b} me vendeu|custa {p}|em {d} às {z}|{n} estrelas|o app da {b}|versão {v}|o {b} {m}|processo {o}|dona {f}|quarto {n}|modelo {m}",
+    "en": "my order {o} is lost|parcel {o} went missing|the {m} makes noise|serial number {o}|invoice no. {o}|{h} posted about it|see {l}|{g} was kind|the shop on {s}|the branch in {T}|{b} sold it to me|I paid {p}|on {d} at {z}|{n} stars|the {b} app|{b} and {b}|firmware {v}|room {n}, floor {n}|the road to {T}|{T} is far|ask {g} or {g}|ticket {o}|version {v} of {b}|flight {m}|from {n} to {n} people|{b} {m} review|{y} was better|page {n} of {n}|Happy {w} everyone|read the {w} {w} guide|won {n}-{n}|batteries last {n} hours|model {m}{m}|bank transfer {o}|the {T} {w} centre|tell {g} hello|hi {g}|dear {g}|meet {g} there|with {g} gone|call {g} back|{b} told me to wait|{b} closes after {n} days|at {b} nobody cares|since {b} answered|late in {M}|early {M} {y}|{n} minutes at half past {n}|met at {T}|see you at the {T} outlet|look at {b}|waited {n} days at {T}|got {n} of {n} right at last|{w} {w} jacket|limited {w} edition {y}",
+    "de": "meine Bestellung {o} fehlt|Sendungsnummer {o}|das {m} brummt|Seriennummer {o}|Rechnung Nr. {o}|{h} schrieb darüber|siehe {l}|{g} war nett|der Laden in der {t}|die Filiale in {T}|{b} hat es verkauft|kostet {p}|am {d} um {z}|{n} Sterne|die App von {b}|Vorgang {o}|Version {v}|das neue {b} {m}|Frau {f} war nett|der Herr {f} nicht|Zimmer {n}|Modell {m}|Der Kundendienst schweigt|Das Gerät von {b}|Die Hotline in {T}|{n} von {n} Punkten|Ende {M2}|Anfang {M2}|Mitte {M2} {y}|hallo {g}|liebe {g}|frag {g}|{b} antwortet nicht|bei {b} in {T}|nach {n} Tagen|die {w}-{w} Tasche",
+    "es": "mi pedido {o} no llega|seguimiento {o}|el {m} hace ruido|número de serie {o}|factura {o}|{h} lo contó|mirad {l}|{g} fue amable|la tienda de la {c}|la oficina de {T}|{b} me lo vendió|cuesta {p}|el {d} a las {z}|{n} estrellas|la app de {b}|versión {v}|el {b} {m}|incidencia {o}|señor {f}|habitación {n}|modelo {m}|hola {g}|pregunta a {g}|{b} no contesta|tras {n} días en {T}|{b} cierra en {n} días",
+    "fr": "ma commande {o} est perdue|suivi {o}|le {m} fait du bruit|numéro de série {o}|facture {o}|{h} en a parlé|voir {l}|{g} était gentil|la boutique de la {r}|l'agence de {T}|{b} me l'a vendu|coûte {p}|le {d} à {z}|{n} étoiles|l'appli {b}|version {v}|le {b} {m}|dossier {o}|madame {f}|chambre {n}|modèle {m}|salut {g}|demande à {g}|{b} ne répond pas|après {n} jours à {T}|{b} ferme dans {n} jours",
+    "it": "il mio ordine {o} è perso|spedizione {o}|il {m} fa rumore|numero di serie {o}|fattura {o}|{h} ne ha parlato|vedi {l}|{g} è stato gentile|il negozio di {w2}|la filiale di {T}|{b} me l'ha venduto|costa {p}|il {d} alle {z}|{n} stelle|l'app {b}|versione {v}|il {b} {m}|pratica {o}|signora {f}|camera {n}|modello {m}|ciao {g}|chiedi a {g}|{b} non risponde|dopo {n} giorni a {T}|{b} chiude tra {n} giorni",
+    "pt": "meu pedido {o} sumiu|rastreio {o}|o {m} faz barulho|número de série {o}|fatura {o}|{h} comentou|vejam {l}|{g} foi gentil|a loja da {u}|a agência de {T}|{b} me vendeu|custa {p}|em {d} às {z}|{n} estrelas|o app da {b}|versão {v}|o {b} {m}|processo {o}|dona {f}|quarto {n}|modelo {m}|oi {g}|pergunta à {g}|{b} não responde|depois de {n} dias em {T}|{b} fecha em {n} dias",
 }
 # Sentences for testing only, of other wording than the cues.
 HELD_OUT = {
@@ -133,7 +133,7 @@ class Maker:
 
     def P(self, lang):  # noqa: N802
         r = self.r
-        if r.random() < 0.45:
+        if r.random() < 0.25:
             sep = r.choice(" -./ ")
             groups = r.choice([(3, 3, 4), (3, 4), (2, 2, 2, 2, 2), (3, 3, 3), (3, 2, 2, 2), (4, 6), (4, 3, 3), (2, 4, 4), (5, 6), (3, 5, 3), (3, 2, 2), (2, 3, 2, 2), (4, 7), (3, 7), (2, 5, 4), (5, 4), (4, 4), (10,), (9,), (11,)])
             body = sep.join("9" * g for g in groups)
@@ -187,14 +187,14 @@ class Maker:
 
     def N(self, lang):  # noqa: N802
         r = self.r
-        g = r.choice(GIVEN) if r.random() < 0.75 else self.word(1, 3)
+        g = r.choice(GIVEN) if r.random() < 0.92 else self.word(1, 3)
         f = self.family()
         out = r.choice([f"{g} {f}"] * 8 + [f"{g} {r.choice('ABCDEHJKLMRST')}. {f}", f"{f}, {g}", f"{g} {r.choice(GIVEN)} {f}", f"{g}-{r.choice(GIVEN)} {f}", f"{g} {r.choice(['de', 'da', 'van', 'von', 'di', 'del', 'dos', 'bin', 'al', 'le'])} {f}", f"{g} {f} {self.family()}", f"{r.choice('ABCDEHJKLMRST')}. {g} {f}"])
         return out.upper() if r.random() < 0.05 else out.lower() if r.random() < 0.07 else out
 
     def brand(self):
         r, name = self.r, self.word()
-        return r.choice([name, f"{name} & {self.word()}", f"{name}-{self.word()}", f"{name} {r.choice('Labs Mobile Home Foods Motors Bank Outdoor Air Energy Telecom Fitness Systems Kitchen Audio Sports Group Insurance'.split())}", f"{name} {self.word()}", f"{name} {r.randint(2, 99)}", f"{name}.{r.choice(['com', 'io'])}", f"{r.choice(WORDS)}{name.lower()}", f"{r.choice(WORDS).capitalize()} & {r.choice(WORDS).capitalize()}", f"{r.choice(WORDS).capitalize()}{name}", f"{r.choice(WORDS).capitalize()} {r.choice(WORDS).capitalize()}"])
+        return r.choice([name, f"{name} & {self.word()}", f"{name}-{self.word()}", f"{name} {r.choice('Labs Mobile Home Foods Motors Bank Outdoor Air Energy Telecom Fitness Systems Kitchen Audio Sports Group Insurance'.split())}", f"{name} {self.word()}", f"{name} {r.randint(2, 99)}", f"{name} {r.randint(2, 99)}", f"{name}{r.randint(2, 99)}", f"{name}.{r.choice(['com', 'io'])}", f"{r.choice(WORDS)}{name.lower()}", f"{r.choice(WORDS).capitalize()} & {r.choice(WORDS).capitalize()}", f"{r.choice(WORDS).capitalize()}{name}", f"{r.choice(WORDS).capitalize()} {r.choice(WORDS).capitalize()}"])
 
     def fill(self, c: str) -> str:
         r = self.r
@@ -205,7 +205,7 @@ class Maker:
             "l": lambda: r.choice(["https://", "www.", "http://"]) + f"{name.lower()}{r.randint(1, 99)}.example/{self.word().lower()}/{r.randint(1000, 99999)}", "g": lambda: r.choice(GIVEN), "f": lambda: r.choice(FAMILY) if r.random() < 0.5 else self.word(2, 4), "s": lambda: f"{name} {r.choice(STREET['en'])}", "t": lambda: name + r.choice(STREET["de"]),
             "c": lambda: f"{r.choice(STREET['es']).lower()} {name}", "r": lambda: f"{r.choice(STREET['fr'])} {name}", "w2": lambda: f"{r.choice(STREET['it'])} {name}", "u": lambda: f"{r.choice(STREET['pt'])} {name}", "w": lambda: r.choice(WORDS).capitalize(), "b": self.brand,
             "p": lambda: r.choice(["$9", "£99.50", "45,90 €", "€237", "314 euros", "1.299,00 €", "$1,299"]), "d": lambda: self.digits(r.choice(["12/09/2023", "2023-09-19", "9 May 2023", "19.09.2023", "3. Mai"])), "z": lambda: self.digits(r.choice(["19:99", "9 pm", "19h99"])), "n": lambda: str(r.randint(2, 299)),
-            "T": lambda: r.choice([name, name, f"{r.choice(['Bad', 'San', 'New', 'Porto', 'Saint', 'Santa', 'Los', 'Upper', 'Castel'])} {name}", f"{name}-{self.word()}", f"{name} am {self.word()}", f"{name}, {self.word()}"]), "y": lambda: str(r.randint(2015, 2024)),
+            "T": lambda: r.choice([name, name, f"{r.choice(['Bad', 'San', 'New', 'Porto', 'Saint', 'Santa', 'Los', 'Upper', 'Castel'])} {name}", f"{name}-{self.word()}", f"{name} am {self.word()}", f"{name}, {self.word()}"]), "y": lambda: str(r.randint(2015, 2024)), "M": lambda: r.choice("January February March April June July August September October November December".split()), "M2": lambda: r.choice("Januar Februar März April Juni Juli August September Oktober November Dezember".split()),
         }[c]()
 
     def clause(self, lang: str, kind: str | None) -> tuple[str, list[int]]:
@@ -216,6 +216,9 @@ class Maker:
         if r.random() < 0.15:
             before, after = r.choice([("", ""), ("(", ")"), (": ", ""), ("- ", ""), ("", ","), ("\n", "\n"), ("/ ", "")])
         span, k = getattr(self, kind)(lang), "EPIAN".index(kind)
+        if len(before) + len(after) < 4 and kind in "PI":  # without words around it, the format alone must tell
+            while not (re.match(r"[+(]|00|0\d", span) if kind == "P" else re.search(r"[A-Z]\w*\d|\d[A-Z]|^\d{3}-\d\d-\d{4}$|\.\d{3}-\d\d$", span)):
+                span = getattr(self, kind)(lang)
         return before + span + after, [0] * len(before) + [1 + 2 * k] + [2 + 2 * k] * (len(span) - 1) + [0] * len(after)
 
     def sentence(self, spans: float = 0.55) -> tuple[str, list[int]]:
@@ -233,16 +236,19 @@ class Maker:
 
 
 def carriers(path: str, most: int = 20_000, seed: int = 5) -> list[str]:
-    """At most ``most`` sentences of posts that hold no at-sign, no long number, no number beside a capital, and no pair of capitals but at their start."""
+    """At most ``most`` sentences of posts that hold no at-sign, no long number, no number beside a capital, no given name and, but for German, no pair of capitals other than at their start."""
     import pyarrow.parquet as pq
 
     out: list[str] = []
-    odd = re.compile(r"@|\bat\b|\d{4}|\d[ .-]\d{2}|\(at\)|\[at\]|\b[^\W\d_a-z]\w*,? \d|\d\w*,? [A-Z]|\S [A-ZÀ-Þ][\w'’-]+,? [A-ZÀ-Þ]")
+    odd = re.compile(r"@|\bat\b|\d{4}|\d[ .-]\d{2}|\(at\)|\[at\]|\b[^\W\d_a-z]\w*,? \d|\d\w*,? [A-Z]")
     given = {g.lower() for g in GIVEN}
-    for batch in pq.ParquetFile(path).iter_batches(20_000, columns=["posts"]):
-        for text in batch["posts"].to_pylist():
+    pair = re.compile(r"\S [A-ZÀ-Þ][\w'’-]+,? [A-ZÀ-Þ]")
+    for batch in pq.ParquetFile(path).iter_batches(20_000, columns=["posts", "lang"]):
+        for text, lang in zip(batch["posts"].to_pylist(), batch["lang"].to_pylist()):
             for s in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-                if len(s) > 5 and not odd.search(s) and s.split()[0].lower().strip(",.:") not in given:
+                # German nouns have capitals, so pairs of them say nothing there.
+                words = {w.lower().strip(",.:;!?") for w in s.split()}
+                if len(s) > 5 and not odd.search(s) and not words & given and ((lang or "").lower().startswith("de") or not pair.search(s)):
                     out.append(s)
         if len(out) >= 10 * most:
             break
@@ -258,7 +264,9 @@ def labelled(make: Maker, around: list[str], least: int) -> tuple[str, list[int]
         s, t = make.sentence() if r.random() < 0.3 or not around else ((x := r.choice(around)), [0] * len(x))
         glue = r.choice([" ", " ", " ", "\n"])
         text, mark = (s + glue + text, t + [0] + mark) if r.random() < 0.5 else (text + glue + s, mark + [0] + t)
-    return text, mark
+    case = r.random()
+    other = text.upper() if case < 0.06 else text.lower() if case < 0.12 else text
+    return (other, mark) if len(other) == len(text) else (text, mark)
 
 
 def windows(around: list[str], size: int, seed: int = 7):
@@ -292,16 +300,31 @@ def held_out(read, each: int = 40, seed: int = 99) -> dict[tuple[str, str], floa
     return out
 
 
+def _round(job):
+    """Some steps of one worker, from common weights, with its own moments and text."""
+    w, state, around, seed, steps, rate = job
+    return train(windows(around, 128, seed), w, rate, steps, state)
+
+
 if __name__ == "__main__":
-    steps = int(sys.argv[3]) if len(sys.argv) > 3 else 2500
-    before = None
+    import multiprocessing
+
+    rounds, workers, each = int(sys.argv[3]) if len(sys.argv) > 3 else 20, 7, 100
     around = carriers(sys.argv[1])
-    if len(sys.argv) > 4:
-        with np.load(sys.argv[4]) as f:
-            before = {k: f[k] for k in f.files}
     make = Maker(31)
     scorer = fit_scorer([labelled(make, around, 200) for _ in range(12_000)], say=lambda x: print(x, flush=True))
-    w = None if before is None else {k: v.astype(np.float32) for k, v in before.items() if not k.startswith("scorer_")}
-    w = train(windows(around, 128, 7 if before is None else 8), w, 0.01 if before is None else 0.004, steps=steps, say=lambda x: print(x, flush=True))
-    np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in w.items()}, **scorer)
+    w, first = new_weights(), 0
+    if len(sys.argv) > 4:
+        with np.load(sys.argv[4]) as f:
+            w, first = {k: f[k].astype(np.float32) for k in f.files if not k.startswith("scorer_")}, rounds
+    states = [None] * workers
+    with multiprocessing.get_context("spawn").Pool(workers) as pool:
+        for n in range(rounds):
+            rate = (0.01 if not first else 0.005) * (1.02 - n / rounds)
+            # The workers' weights are averaged after each round.
+            done = pool.map(_round, [(w, states[i], around, 1000 * (first + n) + i, each, rate) for i in range(workers)])
+            w = {k: np.mean([d[0][k] for d in done], 0, dtype=np.float32) for k in w}
+            states = [d[1] for d in done]
+            print(f"round {n + 1}: loss {np.mean([d[2] for d in done]):.3f}", flush=True)
+            np.savez_compressed(sys.argv[2], **{k: v.astype(np.float16) for k, v in w.items()}, **scorer)
     print("kinds:", *KINDS)
