@@ -1,8 +1,9 @@
 """Problem 5: lines of the page around the author's text.
 
-First pass: each line (block) is decided by its own signs. Blocks of menu items, counters and links, and blocks in the page's own
-voice, belong to the page; blocks with enough stop words and length, and list items, to the author. Second pass: short blocks that
-remain open take the class of the nearest decided blocks, and stay the author's unless these agree that they are the page's.
+First pass: each line (block) is decided by its stop-word density, length, link density and parts. Blocks of three parts or more without stop words (menus,
+paths), counters, blocks of links, blocks made mostly of the words pages are made of in which nobody speaks for themselves, and sentences in the page's own
+voice belong to the page; blocks with enough stop words and length, and list items, to the author. Second pass: short blocks that
+remain open take the class of the nearest decided block on either side, at the ends of a text of the one they have; the author's wins a tie.
 """
 
 from __future__ import annotations
@@ -60,6 +61,15 @@ il lo gli i uno e ma di del della dei a al alla da dal nel nella su per con senz
 o os as um uma e mas do da dos das no na nos nas em por para com sem é são eu me nos se que não mais muito já foi tem porque
 """.split())
 
+# Words of people who speak for themselves or about others, which pages don't use.
+SPEAKER = frozenset("i my me mine im i'm i've i'd they their them he she his her ich mein meine meinen meinem mir mich wir uns sie er yo mi mis me nos ellos ella él je j'ai mon ma mes moi il elle ils io mio mia miei mie mi loro lui lei eu meu minha meus minhas mim ele ela eles".split())
+# More words that pages are made of.
+PAGE_WORDS = frozenset("""
+cookie cookies privacy partners device browser recaptcha protected javascript enable newsletter subscribe tweet facebook twitter whatsapp pinterest linkedin instagram telegram view views viewing comments replies helpful account terms policy rights reserved copyright powered site website page yes consent preferences measure visits ads advertising personalised personalized content loading skip navigation copyright print email link copied
+browser datenschutzerklärung verwenden akzeptieren zustimmen hilfreich ansehen drucken seite webseite anzeigen cookies utilizamos navegador acepta aceptar imprimir útil página sitio navigateur accepter utilisons imprimer utile page site navigatore accettare utilizziamo stampa utile pagina sito navegador aceitar usamos imprimir útil página site
+""".split()) | {w for x in MENU for w in x.split() if w not in STOP and w not in SPEAKER}
+SITE = re.compile(r"\b(?:we|our|us|your|this (?:page|site|website)|wir|unsere[nr]?|ihre[nr]?|diese (?:seite|website)|este sitio|esta página|nuestr[oa]s?|su|nous|notre|nos|ce site|cette page|votre|vos|questo sito|questa pagina|nostr[oaie]|este site|noss[oa]s?)\b")
+
 SEPARATOR = re.compile(r"\s*[·|/>»•–—]\s*|\s{2,}|\s-\s")
 LIST_ITEM = re.compile(r"\s*(?:[-*•+–]|\d{1,2}[.)])\s+\S")
 LINK = re.compile(r"(?:https?://|www\.)\S+")
@@ -75,11 +85,11 @@ def _label(text: str) -> bool:
 def _only_labels(text: str) -> int:
     """How many labels a text without separators is made of; 0 if it holds anything else."""
     words = text.split()
-    if len(words) > 24:
-        return 0
     done = [1] + [0] * len(words)  # by number of words: labels so far, plus one
     for i in range(1, len(words) + 1):
         done[i] = max((done[j] + 1 for j in range(max(0, i - 4), i) if done[j] and _label(" ".join(words[j:i]))), default=0)
+        if not any(done[max(0, i - 3) : i + 1]):
+            return 0
     return max(0, done[-1] - 1)
 
 
@@ -102,24 +112,29 @@ def decide(line: str) -> str:
     text = line.strip().lower()
     if not text:
         return BLANK
-    if len(text) < 400:
-        if LIST_ITEM.match(line) and not _label(text.lstrip("-*•+– ")):
-            return AUTHOR
-        parts = [p for p in SEPARATOR.split(text) if p]
-        labels = sum(map(_label, parts))
-        if parts and labels == len(parts) and not text.isdigit():
-            return PAGE
-        if len(parts) >= 3 and labels >= 0.6 * len(parts):
-            return PAGE
-        if _voice(text) or 2 < _only_labels(text):
-            return PAGE
+    if LIST_ITEM.match(line) and not _label(text.lstrip("-*•+– ")):
+        return AUTHOR
     words = WORD.findall(text)
+    stops = sum(w in STOP for w in words)
+    density = stops / len(words) if words else 0.0
+    speaks = any(w in SPEAKER for w in words)
+    parts = [p for p in SEPARATOR.split(text) if p]
+    labels = sum(map(_label, parts))
+    if parts and labels == len(parts) and not text.isdigit() or len(parts) >= 3 and labels >= 0.6 * len(parts):
+        return PAGE
+    if len(parts) >= 3 and density < 0.15 and not speaks and text[-1] not in ".!?" and all(len(p.split()) <= 4 for p in parts):
+        return PAGE
+    if not speaks and words:
+        own = sum(w in PAGE_WORDS for w in words) / len(words)
+        if own >= 0.4 and (len(words) > 1 or own == 1 and len(text) < 40) and (len(words) <= 8 or SITE.search(text)):
+            return PAGE
+    if _voice(text) or 2 < _only_labels(text):
+        return PAGE
     linked = sum(len(m) for m in LINK.findall(text))
     if linked > 0.8 * len(text):
-        return OPEN
+        return OPEN if text.count("://") + text.count("www.") < 3 else PAGE
     if text.startswith("#") or not words:
         return AUTHOR
-    density = sum(w in STOP for w in words) / len(words)
     if len(text) >= 70 or len(text) >= 25 and density >= 0.2 or text[-1] in ".!?" and len(words) > 2:
         return AUTHOR
     return OPEN
@@ -128,14 +143,21 @@ def decide(line: str) -> str:
 def page_lines(lines: list[str]) -> list[bool]:
     """Both passes over the lines of one post."""
     kinds = [decide(x) for x in lines]
-    if OPEN in kinds:
-        decided = [(i, k) for i, k in enumerate(kinds) if k in (PAGE, AUTHOR)]
-        for i, k in enumerate(kinds):
-            if k == OPEN:
-                before = next((x for j, x in reversed(decided) if j < i), None)
-                after = next((x for j, x in decided if j > i), None)
-                near = {before, after} - {None}
-                kinds[i] = PAGE if near == {PAGE} and None not in (before, after) else AUTHOR
+    if OPEN in kinds and PAGE in kinds:
+        filled = [i for i, k in enumerate(kinds) if k != BLANK]
+        known = [kinds[i] for i in filled]
+        for n, i in enumerate(filled):
+            if known[n] == OPEN:
+                back = next((d for d in range(1, n + 1) if known[n - d] in (PAGE, AUTHOR)), None)
+                ahead = next((d for d in range(1, len(known) - n) if known[n + d] in (PAGE, AUTHOR)), None)
+                before, after = known[n - back] if back else None, known[n + ahead] if ahead else None
+                short = len(lines[i].split()) <= 3 and lines[i].rstrip()[-1] not in ".!?:"
+                if before is None or after is None:
+                    # The first line may be the author's title, so only a very short one follows the page.
+                    page = short and (after or before) == PAGE and (before is not None or len(lines[i].split()) <= 2)
+                else:
+                    page = before == after == PAGE or short and (before if back < ahead else after if ahead < back else AUTHOR) == PAGE
+                kinds[i] = PAGE if page else AUTHOR
     return [k == PAGE for k in kinds]
 
 
