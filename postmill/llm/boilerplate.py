@@ -191,7 +191,7 @@ def _seen(rows: DataFrame) -> DataFrame:
     marked = F.concat(F.lit("‖"), F.regexp_replace(F.regexp_replace(text, r"[\r\x0B\x0C\x{85}\x{2028}\x{2029}]", " "), "\n", "\n‖"))
     guarded = F.when(one_line, text).otherwise(marked)
     lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, "^‖ ?", ""))
-    return canonicalise(rows.withColumn("text", guarded), "text", "text").select("key", lines.alias("lines"))
+    return canonicalise(rows.withColumn("text", guarded), "text", "text").select(*[c for c in rows.columns if c != "text"], lines.alias("lines"))
 
 
 def main_text(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -214,9 +214,9 @@ def main_text(df: DataFrame, key: str, col: str) -> DataFrame:
 
 
 def canonical_lines(rows: DataFrame) -> DataFrame:
-    """The rows (key, text) with ``lines``, the lines of the text in canonical form."""
-    marked = _seen(rows.select(F.struct("key", "text").alias("key"), "text"))
-    return marked.select("key.key", "key.text", "lines")
+    """The rows, which have ``text``, with ``lines``, the lines of the text in canonical form."""
+    marked = _seen(rows.select(F.struct(*rows.columns).alias("row"), "text"))
+    return marked.select("row.*", "lines")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,21 @@
 """Problem 6: the languages of documents and of their parts.
 
-Scripts come first: a word with letters of a script that belongs to other languages can't be in any of the six. Each word then has a score in
-each language, from counts of whole words and, for words not seen, of their letter triples; Viterbi's algorithm with a penalty for each switch, smaller
-where a sentence starts, labels the words. Sentences take the language of most of their words' scores.
+Scripts come first: a word in Latin letters can be in any of the six languages, one with letters of another script only in ``other``. Each word then has a score in
+each candidate, from counts of whole words and, for words not seen, of their letter triples; Viterbi's algorithm with a penalty for each switch, smaller
+where a sentence starts, labels the words. Segments are the stretches of one label within a sentence, so a sentence that changes its language has several.
 
-The counts are fitted on a documented, bounded sample of rows that have a usable label; all rows are labelled.
+The counts are fitted on a documented, bounded sample of rows that have a usable label, counted in the executors; all rows are labelled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ NAMES = {
 # Labels that say nothing.
 NO_LABEL = ("", "und", "unk", "unknown", "none", "null", "n/a", "na", "zxx", "mul", "xx", "??", "?", "-")
 
-SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|\n+")
+OTHER = "other"
+STATES = (*LANGUAGES, OTHER)
+SENTENCE_END = re.compile(r"[.!?…][\"”»')\]]*$")
 ASIDE = re.compile(r"\(\s*[\"“'‘][^()]{0,80}\)|[\"“„«][^\"“”„«»]{0,60}[\"”»]|(?:https?://|www\.)\S+|\S*@\S+|#\w+|\bRT\b")
 MAYBE_ASIDE = re.compile(r"[\"“„«@#]|://|www\.|\bRT\b|\([\"“'‘]")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -82,23 +86,33 @@ class Model:
         return np.clip(np.mean(found, 0), -2, 2) * (0.2 if word[0].isupper() else 0.7)
 
 
-def fit(df: DataFrame, key: str, col: str, label: str, sample: int = 20_000, least: int = 2) -> Model:
-    """Fit on at most ``sample`` labelled rows, the first by a hash of their key; words of fewer than ``least`` rows are left out.
+def fit(df: DataFrame, key: str, col: str, label: str, sample: int = 20_000, least: int = 2, most: int = 200_000) -> Model:
+    """Fit on about ``sample`` labelled rows, an equal part of each language as far as there are enough, chosen by a hash of their key.
 
-    Wrong labels of a few percent only flatten the counts.
+    Words are counted where the rows are; those of fewer than ``least`` rows are left out, and the ``most`` frequent ones reach the driver. Wrong labels
+    of a few percent only flatten the counts.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(col).alias("t"), label_language(F.col(label)).alias("l")).where("t is not null").where(F.col("l").isin(*LANGUAGES))
-    # An equal part of each language, so that rare ones are learned as well.
+    rows = df.select(F.col(key).alias("k"), F.col(col).alias("t"), label_language(F.col(label)).alias("l")).where(F.col("l").isin(*LANGUAGES))
     part = sample // len(LANGUAGES)
-    counts: dict[str, list[int]] = {}
-    rows = [r for code in LANGUAGES for r in rows.where(F.col("l") == code).orderBy(F.xxhash64("k")).limit(part).collect()]
-    for r in rows:
-        i = LANGUAGES.index(r["l"])
-        text = ASIDE.sub(" ", r["t"])
-        for w in {w.lower() for w in WORD.findall(text)}:
-            counts.setdefault(w, [0] * len(LANGUAGES))[i] += 1
+    # One number for each language.
+    share = {r["l"]: min(1.0, part / r["count"]) for r in rows.groupBy("l").count().collect()}
+    limit = F.lit(0)
+    for code, x in share.items():
+        limit = F.when(F.col("l") == code, int(x * 1_000_000)).otherwise(limit)
+    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < limit).where("t is not null").select("t", "l")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for t, code in zip(batch["t"].to_pylist(), batch["l"].to_pylist()):
+                n.update((w, code) for w in {w.lower() for w in WORD.findall(ASIDE.sub(" ", t))})
+        words = list(n)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([c for _, c in words], pa.string()), pa.array([n[x] for x in words], pa.int64())], ["word", "l", "n"])
+
+    sums = [F.sum(F.when(F.col("l") == code, F.col("n")).otherwise(0)).alias(code) for code in LANGUAGES]
+    counts = chosen.mapInArrow(count, "word string, l string, n long").groupBy("word").agg(F.sum("n").alias("n"), *sums).where(F.col("n") >= least)
     # Words that stand beside all labels alike, such as names, carry nothing by themselves.
-    return Model({w: c for w, c in counts.items() if sum(c) >= least})
+    return Model({r["word"]: [r[code] for code in LANGUAGES] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()})
 
 
 def viterbi(scores: np.ndarray, start: np.ndarray, valid: np.ndarray, inside: float, between: float) -> np.ndarray:
@@ -121,123 +135,193 @@ def viterbi(scores: np.ndarray, start: np.ndarray, valid: np.ndarray, inside: fl
     return path
 
 
-SEGMENTS = "key long, part int, lang string, confidence double, words int, text string"
+class Tokens:
+    """What is known of each token between blanks: its scores, its number of words, and whether a sentence ends with it. Kept beside the model."""
+
+    def __init__(self, model: Model, most: int = 500_000):
+        self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((4096, len(STATES) + 2), np.float32)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        if len(self.index) > self.most:
+            self.clear()
+        found = np.fromiter((self.index.get(t, -1) for t in tokens), np.int64, len(tokens))
+        for i in np.flatnonzero(found < 0).tolist():
+            found[i] = at = self.index.setdefault(tokens[i], len(self.index))
+            if at >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[at] = self.row(tokens[i])
+        return self.rows[found]
+
+    def row(self, token: str) -> np.ndarray:
+        out = np.zeros(len(STATES) + 2, np.float32)
+        for word in WORD.findall(token):
+            # The script names the candidates.
+            if OTHER_SCRIPT.search(word):
+                out[: len(LANGUAGES)] -= 2
+                out[len(LANGUAGES)] += 2
+            else:
+                out[: len(LANGUAGES)] += self.model.score(word)
+                out[len(LANGUAGES)] -= 2
+            out[-2] += 1
+        out[-1] = token == "\n" or SENTENCE_END.search(token) is not None
+        return out
+
+
+def paths(scores: np.ndarray, start: np.ndarray, doc: np.ndarray, inside: float, between: float) -> np.ndarray:
+    """Best labels of words (sorted by text): texts of like length go together, so one long text does not widen all."""
+    path = np.empty(len(doc), np.int8)
+    names, first, counts = np.unique(doc, return_index=True, return_counts=True)
+    place = np.arange(len(doc)) - np.repeat(first, counts)
+    order = np.argsort(counts, kind="stable")
+    row = np.repeat(np.arange(len(names)), counts)
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi - lo) * counts[order[hi]] < 60_000:
+            hi += 1
+        group = order[lo:hi]
+        rank = np.full(len(names), -1)
+        rank[group] = np.arange(len(group))
+        mine = np.flatnonzero(rank[row] >= 0)
+        r, p = rank[row[mine]], place[mine]
+        shape = (len(group), int(counts[group].max()))
+        grid, starts, valid = np.zeros((*shape, len(STATES)), np.float32), np.zeros(shape, bool), np.zeros(shape, bool)
+        grid[r, p], starts[r, p], valid[r, p] = scores[mine], start[mine], True
+        path[mine] = viterbi(grid, starts, valid, inside, between)[r, p]
+        lo = hi
+    return path
 
 
-def _label(model, inside: float, between: float, chunk: int = 2000):
-    model = model.value
+def _hidden(m: re.Match) -> str:
+    """An aside with digits in place of its letters, which say nothing."""
+    return re.sub(r"\S", "0", m.group())
+
+
+def label_texts(texts: list[str], tokens: Tokens, inside: float, between: float) -> dict[str, np.ndarray]:
+    """The segments of texts as arrays: text, first and last character, label, confidence, words, and whether it is a whole sentence.
+
+    Texts have blanks around their line breaks.
+    """
+    seen = [ASIDE.sub(_hidden, t) if MAYBE_ASIDE.search(t) else t for t in texts]
+    lists = pc.split_pattern(pa.array(seen, pa.large_string()), " ")
+    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    rows = tokens.of(names)
+    length = np.fromiter(map(len, names), np.int64, len(names))[codes] + 1
+    at = np.cumsum(length) - length
+    at -= at[np.searchsorted(doc, doc)] if len(doc) else 0
+    # The number of the sentence each token is in, over all texts.
+    ends = rows[codes, -1] > 0 if len(codes) else np.zeros(0, bool)
+    fresh = np.concatenate([[True], ends[:-1] | (doc[1:] != doc[:-1])]) if len(doc) else ends
+    sentence = np.cumsum(fresh)
+    word = np.flatnonzero(rows[codes, -2] > 0) if len(codes) else np.zeros(0, np.int64)
+    if not len(word):
+        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "stop", "label", "sure", "words", "whole")}
+    doc, sentence, codes_, at, length = doc[word], sentence[word], codes[word], at[word], length[word]
+    scores = rows[codes_, : len(STATES)]
+    new = np.concatenate([[True], sentence[1:] != sentence[:-1]])
+    path = paths(scores, new, doc, inside, between)
+    cut = np.flatnonzero(new | np.concatenate([[True], path[1:] != path[:-1]]))
+    stop = np.append(cut[1:], len(word))
+    evidence = np.add.reduceat(scores.astype(np.float64), cut, 0)
+    soft = np.exp(evidence - evidence.max(1, keepdims=True))
+    label = path[cut]
+    whole = new[cut] & np.append(new[cut[1:]], True)
+    return {
+        "doc": doc[cut], "start": at[cut], "stop": at[stop - 1] + length[stop - 1] - 1, "label": label, "sure": (soft / soft.sum(1, keepdims=True))[np.arange(len(cut)), label],
+        "words": np.add.reduceat(rows[codes_, -2], cut).astype(np.int64), "whole": whole,
+    }
+
+
+def _texts(batch: pa.RecordBatch) -> list[str]:
+    """The author's text of each row, with blanks around line breaks."""
+    out = []
+    for lines in batch["lines"].to_pylist():
+        lines = [x or "" for x in lines or ()]
+        if len(lines) > 1:
+            lines = [x for x, page in zip(lines, page_lines(lines)) if not page]
+        out.append(" \n ".join(lines))
+    return out
+
+
+def _tokens(shared) -> Tokens:
+    model = shared.value
+    # Workers that run several tasks keep what they know of tokens with the model.
+    if not hasattr(model, "tokens"):
+        model.tokens = Tokens(model)
+    return model.tokens
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            keys, lines = batch["key"].to_pylist(), batch["lines"].to_pylist()
-            for at in range(0, len(keys), chunk):
-                yield from some(keys[at : at + chunk], lines[at : at + chunk], known)
-
-    def some(keys, all_lines, known):
-        sentences, owner, found = [], [], []
-        for i, lines in enumerate(all_lines):
-            lines = [x or "" for x in lines]
-            if len(lines) > 1:
-                lines = [x for x, page in zip(lines, page_lines(lines)) if not page]
-            text = "\n".join(lines)
-            plain = MAYBE_ASIDE.search(text) is None
-            for s in SENTENCE.split(text):
-                if s and (s := s.strip()):
-                    sentences.append(s)
-                    owner.append(i)
-                    found.append(WORD.findall(s if plain else ASIDE.sub(" ", s)))
-        if not any(found):
-            return
-        sizes = np.array([len(f) for f in found])
-        owner = np.array(owner)
-        if len(known) > 300_000:
-            known.clear()
-        flat = [w for f in found for w in f]
-        for w in set(flat):
-            if w not in known:
-                known[w] = model.score(w)
-        table = {w: j for j, w in enumerate(dict.fromkeys(flat))}
-        values = np.array([known[w] for w in table])
-        codes = np.array([table[w] for w in flat])
-        word_owner = np.repeat(owner, sizes)
-        first = np.zeros(len(flat), bool)
-        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        sentence = np.repeat(np.arange(len(found)), sizes)
-        counts = np.bincount(word_owner, minlength=len(keys))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        # Texts of like length go together, so one long text does not widen all.
-        path = np.empty(len(flat), np.int8)
-        order = np.argsort(counts, kind="stable")
-        order = order[counts[order] > 0]
-        lo = 0
-        while lo < len(order):
-            hi = lo + 1
-            while hi < len(order) and (hi - lo) * counts[order[hi]] < 60_000:
-                hi += 1
-            group = order[lo:hi]
-            rank = np.full(len(keys), -1)
-            rank[group] = np.arange(len(group))
-            mine = rank[word_owner] >= 0
-            r, p = rank[word_owner[mine]], place[mine]
-            shape = (len(group), int(counts[group].max()))
-            scores, starts, valid = np.zeros((*shape, len(LANGUAGES)), np.float32), np.zeros(shape, bool), np.zeros(shape, bool)
-            scores[r, p], starts[r, p], valid[r, p] = values[codes[mine]], first[mine], True
-            path[mine] = viterbi(scores, starts, valid, inside, between)[r, p]
-            lo = hi
-        evidence = np.zeros((len(found), len(LANGUAGES)))
-        np.add.at(evidence, sentence, values[codes])
-        votes = np.zeros((len(found), len(LANGUAGES)))
-        np.add.at(votes, (sentence, path), 1)
-        lang = votes.argmax(1)
-        used = sizes > 0
-        soft = np.exp(evidence - evidence.max(1, keepdims=True))
-        sure = (soft / soft.sum(1, keepdims=True))[np.arange(len(found)), lang]
-        part = np.arange(len(found)) - np.searchsorted(owner, owner)
-        pick = np.flatnonzero(used)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[owner[j]] for j in pick], pa.int64()), pa.array(part[pick].astype(np.int32)), pa.array([LANGUAGES[lang[j]] for j in pick], pa.string()),
-                pa.array(sure[pick]), pa.array(sizes[pick].astype(np.int32)), pa.array([sentences[j] for j in pick], pa.string()),
-            ],
-            ["key", "part", "lang", "confidence", "words", "text"],
-        )
-
-    return label
+
+SEGMENTS = "key long, part int, lang string, confidence double, words int, text string"
 
 
 def segments(df: DataFrame, key: str, col: str, model: Model, inside: float = 8.0, between: float = 2.5) -> DataFrame:
-    """(key, part, lang, confidence, words, text): each sentence of each text with its language.
+    """(key, part, lang, confidence, words, text): each stretch of one language within a sentence; ``lang`` is ``other`` for other scripts.
 
     NULL, empty and blank texts, and sentences without letters, give nothing. Short quotes, links, tags and lines of the page are no evidence. A text
-    in none of the six languages gets the nearest, with a low confidence. Texts are read whole; rows that share a key are read one by one.
+    in Latin letters in none of the six languages gets the nearest, with a low confidence. Texts are read whole; rows that share a key are read one by one.
     """
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the number of its words
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch)
+            x = label_texts(texts, _tokens(shared), inside, between)
+            part = np.arange(len(x["doc"])) - np.searchsorted(x["doc"], x["doc"])
+            text = [texts[i][a:b] for i, a, b in zip(x["doc"].tolist(), x["start"].tolist(), x["stop"].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch["key"].take(pa.array(x["doc"])), pa.array(part.astype(np.int32)), pa.array([STATES[k] for k in x["label"]], pa.string()), pa.array(x["sure"].astype(float)), pa.array(x["words"].astype(np.int32)), pa.array(text, pa.string())],
+                ["key", "part", "lang", "confidence", "words", "text"],
+            )
+
     rows = df.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(col).alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    return canonical_lines(rows).select("key", "lines").mapInArrow(_label(shared, inside, between), SEGMENTS)
+    return _lines(rows).mapInArrow(label, SEGMENTS)
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return canonical_lines(rows).drop("text")
 
 
-def languages(parts: DataFrame, least_words: int = 3, least_confidence: float = 0.9) -> DataFrame:
-    """(key, lang, words, confidence): the languages in which a text has at least a sentence.
+def languages(df: DataFrame, key: str, col: str, model: Model, label: Column | None = None, least_words: int = 3, least_part: int = 5, least_confidence: float = 0.9, inside: float = 8.0, between: float = 2.5) -> DataFrame:
+    """(key, label, blanks, found): for each text, its label, its number of words between blanks, and an array of (lang, words, confidence) of the languages in which it has at least a sentence.
 
-    A sentence of fewer words, or less sure, counts only for the language that has most of the text's words.
+    A sentence of fewer words than ``least_words``, a part of a sentence of fewer than ``least_part``, or one less sure, counts only for the language that has most of the text's words.
     """
-    good = (F.col("words") >= least_words) & (F.col("confidence") >= least_confidence)
-    by = parts.groupBy("key", "lang").agg(F.sum("words").alias("words"), F.max(good.cast("int")).alias("good"), (F.sum(F.col("confidence") * F.col("words")) / F.sum("words")).alias("confidence"))
-    # At most one entry for each of the languages, so a group is small; the parts are read once.
-    each = by.groupBy("key").agg(F.max(F.struct("words", "confidence", "lang")).alias("top"), F.collect_list(F.struct("lang", "words", "confidence", "good")).alias("all"))
-    rows = each.select("key", "top", F.explode("all").alias("x")).where((F.col("x.good") == 1) | (F.col("x.lang") == F.col("top.lang")))
-    return rows.select("key", "x.lang", "x.words", "x.confidence")
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the number of its words
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("confidence", pa.float64())]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch)
+            x = label_texts(texts, _tokens(shared), inside, between)
+            n = len(STATES)
+            cell = x["doc"] * n + x["label"]
+            words = np.bincount(cell, x["words"], len(texts) * n).reshape(-1, n)
+            sure = np.bincount(cell, x["words"] * x["sure"], len(texts) * n).reshape(-1, n)
+            fine = (x["words"] >= np.where(x["whole"], least_words, least_part)) & (x["sure"] >= least_confidence)
+            keep = np.bincount(cell, fine, len(texts) * n).reshape(-1, n) > 0
+            top = np.arange(len(texts)), words.argmax(1)
+            keep[top] |= words[top] > 0
+            found = [[{"lang": STATES[k], "words": int(words[i, k]), "confidence": float(sure[i, k] / words[i, k])} for k in np.flatnonzero(keep[i])] for i in range(len(texts))]
+            blanks = [sum(map(len, map(str.split, lines or ()))) for lines in batch["lines"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array(blanks, pa.int32()), pa.array(found, kind)], ["key", "label", "blanks", "found"])
+
+    rows = df.where(F.col(key).isNotNull() & F.col(col).isNotNull()).select(F.col(key).cast("long").alias("key"), (F.lit(None).cast("string") if label is None else label).alias("label"), F.col(col).alias("text"))
+    return _lines(rows).mapInArrow(find, "key long, label string, blanks int, found array<struct<lang:string,words:bigint,confidence:double>>")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "raw_posts")
-    enough = posts.where(F.size(F.split(F.trim(F.regexp_replace("posts", r"\s+", " ")), " ")) >= 8)
-    found = languages(segments(enough, "id", "posts", fit(posts, "id", "posts", "lang"))).select(F.col("key").alias("id"), "lang")
-    labels = enough.select("id", label_language(F.col("lang")).alias("label"))
-    rows = found.join(labels, "id").groupBy("id", "label").agg(F.collect_set("lang").alias("langs"))
+    found = languages(posts, "id", "posts", fit(posts, "id", "posts", "lang"), label_language(F.col("lang"))).where("blanks >= 8")
+    codes = found.select("key", "label", F.filter(F.col("found.lang"), lambda x: x != OTHER).alias("langs"))
     case = F.col("label").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("label"))
-    return rows.where(case).select("id", F.explode("langs").alias("lang"))
+    return codes.where(case).select(F.col("key").alias("id"), F.explode("langs").alias("lang")).distinct()
 
 
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

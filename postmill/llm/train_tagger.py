@@ -17,7 +17,7 @@ import numpy as np
 from postmill.llm.tagger import KINDS, WIDTH, encode, fit_scorer, new_weights, train
 
 # Given names, family names and name parts from several regions.
-GIVEN = "Anna Maria Paul Peter Laura Lukas Julia Sophie Carlos Lucia Marco Giulia Pedro Ines Joao Rui Hugo Marie Pierre Camille Jean Luc Emma Noah Liam Olivia Ethan Grace Henry Alice Oscar Clara Jonas Felix Nina Sara David Daniel Elena Irene Pablo Javier Sofia Matteo Chiara Luca Paolo Tiago Beatriz Anton Birgit Ravi Arjun Noor Leila Omar Elif Emeka Amara Yuki Mei Chen Ivan Olga Pilar Maya Ruth Karl Greta Jürgen Zoë André Renée José Núria Mónica Åsa Søren Fatima Hassan Kwame Thabo Dmitri Katarzyna Piotr Zsófia Mehmet Aisha Tomás Heike Uwe Dieter Claire Benoît Nicola Fabio Gonçalo Rafael Megan Declan Aoife Hiroshi Linh Minh Sunita Deepak".split()
+GIVEN = "Anna Maria Paul Peter Laura Lukas Julia Sophie Carlos Lucia Marco Giulia Pedro Ines Joao Rui Hugo Marie Pierre Camille Jean Luc Emma Noah Liam Olivia Ethan Grace Henry Alice Oscar Clara Jonas Felix Nina Sara David Daniel Elena Irene Pablo Javier Sofia Matteo Chiara Luca Paolo Tiago Beatriz Anton Birgit Ravi Arjun Noor Leila Omar Elif Emeka Amara Yuki Mei Chen Ivan Olga Pilar Maya Ruth Karl Greta Jürgen Zoë André Renée José Núria Mónica Åsa Søren Fatima Hassan Kwame Thabo Dmitri Katarzyna Piotr Zsófia Mehmet Aisha Tomás Heike Uwe Dieter Claire Benoît Nicola Fabio Gonçalo Rafael Megan Declan Aoife Hiroshi Linh Minh Sunita Deepak Ingrid Astrid Kerstin Torsten Jörg Stefan Andreas Monika Sabine Petra Manuel Miguel Antonio Carmen Rosa Teresa Diego Sergio Raquel Marta Philippe Nicolas Isabelle Nathalie Céline Julien Francesca Giovanni Roberto Alessandro Valentina Simone João Ana Catarina Filipe Nuno Robert Michael James William Thomas Susan Margaret Jessica Brian Kevin Yusuf Ahmed Khadija Kofi Sanjay Anjali Rahul Wei Xin Sakura Mateo Dario Klara".split()
 FAMILY = "Smith Jones Brown Taylor Wilson Clark Müller Schmidt Weber Fischer Wagner Becker García López Martínez Sánchez Romero Martin Bernard Dubois Moreau Laurent Rossi Russo Ferrari Bianchi Romano Silva Santos Ferreira Pereira Oliveira Costa Kumar Patel Singh Khan Yilmaz Okafor Tanaka Wang Kowalski Novak Ivanov Jensen Larsen Berg Murphy O'Brien D'Angelo Petrov Nagy Haddad Mensah Dlamini Tran Pham Sharma Iyer Venkataraman Fernandes Carvalho Conti Greco Lefèvre Girard Zimmermann Hoffmann".split()
 SYLLABLES = "bra ken dor vel tor wex nav sul yar ost zim gren hal mas qui rul den dry vik gard lin sen ova rro rud tor mi das fel kor nel pra stu wen cal ber ran dil ist ton ley ham bor ash mund stein hof rich wald ra gu na than esh wari kov ski ez ini etti eau".split()
 WORDS = "sun river apple green tiger cloud north paper stone happy blue lemon music coffee garden silver winter book sky fox bird tree light moon".split()
@@ -29,52 +29,52 @@ CUES = {
         "P": "ring me at {}|my mobile: {}|give me a bell on {}|the number I left was {}|reach me by phone on {}|Phone {}|mobile {}|you can dial {}|WhatsApp {}|tel {}|a text to {} will do|my landline {} is dead|dial {} now|they called from {}|the number {}|saved {} as spam|voicemail at {}",
         "I": "social security no. {}|my passport number, {},|passport: {}|the tax office knows me as {}|national insurance number {}|ID card no. {}|my SSN is {}|tax number {}|NI no. {}|identity number: {}|driver ID {} of mine|insured under {}|it shows {} as my ID|a copy of my ID, {}|my ID number {} leaked|passport {} expired",
         "A": "deliver to {}|we moved to {}|our house at {}|my place is {}|pick it up from {}|the invoice says {}|ship to: {}|home address {}|right next to {}|come by, {}|the van stopped at {}|we are at {}|outside {}|at {} since spring|in front of {}|between here and {}|a flat in {}|the door of {}",
-        "N": "I am {}|this is {} speaking|a man named {}|{} was lovely|the agent {} helped|regards, {}|{} from support|ask {} about it|my neighbour {}|thank you {}|{} took my call|written by {}|best wishes, {}|a lady called {}|{} signed for it|my wife {}|{} told us|with {} lately|because {} said so|for {} only|to {} directly|we met {} there|{} called back|that {} is great|between {} and me|{}, my boss,|name: {}",
+        "N": "my name is {}|my name is {}|I am {}|this is {} speaking|a man named {}|{} was lovely|the agent {} helped|regards, {}|{} from support|ask {} about it|my neighbour {}|thank you {}|{} took my call|written by {}|best wishes, {}|a lady called {}|{} signed for it|my wife {}|{} told us|with {} lately|because {} said so|for {} only|to {} directly|we met {} there|{} called back|that {} is great|between {} and me|{}, my boss,|name: {}",
     },
     "de": {
         "E": "mailt mir an {}|erreichbar bin ich über {}|alles bitte an {}|E-Mail: {}|registriert bin ich mit {}|meine Mail lautet {}|Rückfragen an {}|angemeldet unter {}|Kontakt {}",
         "P": "ruf mich an: {}|Handy {}|mobil {}|ihr erreicht mich unter der {}|Tel.: {}|die Rufnummer {} gehört mir|Festnetz {}|meine Handynummer ist {}|Rückruf bitte an {}|Fon {}|wählt {}|sie riefen von {} an|die Nummer {}|Anrufbeantworter unter {}",
         "I": "Steuer-ID {}|Steuernummer {}|Personalausweis {}|Ausweis-Nr. {}|Sozialversicherungsnummer {}|Passnummer {}|meine Krankenversichertennummer {}|Pass {}|Rentenversicherungsnummer: {}|darauf steht {} als Ausweisnummer|eine Kopie vom Pass {}|meine Steuernummer {} ist bekannt",
         "A": "wohnhaft {}|liefert bitte in die {}|mein Haus steht in der {}|Anschrift: {}|abzuholen bei {}|wir sind umgezogen, {}|das Paket liegt {}|zu Hause: {}|Rechnung an {}|vor {}|in der {} seit Mai|eine Wohnung {}|bis zur {}|gegenüber {}",
-        "N": "ich bin {}|ich heiße {}|Gruß, {}|mit freundlichen Grüßen {}|{} vom Kundendienst|ein Herr namens {}|Frau {} war nett|mein Kollege {}|danke an {}|Ihre {}|{} hat unterschrieben|unser Nachbar {}|laut {}|geschrieben von {}|{} sagte uns|mit {} neulich|weil {} das sagte|nur für {}|direkt an {}|wir trafen {}|{} rief zurück|zwischen {} und mir|Name: {}",
+        "N": "mein Name ist {}|mein Name ist {}|ich bin {}|ich heiße {}|Gruß, {}|mit freundlichen Grüßen {}|{} vom Kundendienst|ein Herr namens {}|Frau {} war nett|mein Kollege {}|danke an {}|Ihre {}|{} hat unterschrieben|unser Nachbar {}|laut {}|geschrieben von {}|{} sagte uns|mit {} neulich|weil {} das sagte|nur für {}|direkt an {}|wir trafen {}|{} rief zurück|zwischen {} und mir|Name: {}",
     },
     "es": {
         "E": "mi email es {}|podéis responder a {}|contacto: {}|escribe a {}|registrado con {}|correo electrónico {}|mandadlo todo a {}|dudas a {}|la cuenta {} es mía",
         "P": "mi móvil es {}|llamad al {}|teléfono: {}|tel. {}|mi número de contacto, {}|por WhatsApp al {}|me localizan en el {}|fijo {}|marcad el {}|marca {}|llamaron desde {}|el número {}|buzón en el {}",
         "I": "mi DNI {}|NIE {}|pasaporte número {}|número de la seguridad social {}|mi NIF es {}|documento nacional {}|pasaporte {}|identificación fiscal {}|cédula {}|sale {} como mi documento|una copia del pasaporte {}|mi DNI, {}, quedó a la vista",
         "A": "vivimos en {}|mi casa está en {}|entregar en {}|dirección: {}|domicilio {}|recogida en {}|nos mudamos a {}|enviadlo a {}|mi piso, {},|delante de {}|en {} desde mayo|un piso en {}|hasta {}|enfrente de {}",
-        "N": "soy {}|mi nombre: {}|atentamente, {}|un tal {}|{} fue muy amable|me atendió {}|gracias a {}|la señora {}|mi vecino {}|{} de atención al cliente|saludos, {}|según {}|hablé con {}|firmó {}|{} nos dijo|con {} hace poco|porque {} lo dijo|solo para {}|vimos a {}|{} devolvió la llamada|entre {} y yo|nombre: {}",
+        "N": "me llamo {}|me llamo {}|soy {}|mi nombre: {}|atentamente, {}|un tal {}|{} fue muy amable|me atendió {}|gracias a {}|la señora {}|mi vecino {}|{} de atención al cliente|saludos, {}|según {}|hablé con {}|firmó {}|{} nos dijo|con {} hace poco|porque {} lo dijo|solo para {}|vimos a {}|{} devolvió la llamada|entre {} y yo|nombre: {}",
     },
     "fr": {
         "E": "mon mail : {}|répondez à {}|mon adresse mail est {}|contact {}|inscrit avec {}|e-mail : {}|tout envoyer à {}|questions à {}|joignable via {}",
         "P": "mon portable est le {}|téléphone : {}|tél. {}|rappelez au {}|joignable au {}|mon fixe, le {}|appelez le {}|WhatsApp {}|un SMS au {} suffit|composez le {}|ils ont appelé du {}|le numéro {}|messagerie au {}",
         "I": "numéro de sécu {}|mon numéro de passeport {}|passeport n° {}|carte d'identité {}|numéro fiscal de référence {}|mon NIR est {}|identifiant fiscal {}|sécurité sociale : {}|on y lit {} comme identité|une copie du passeport {}|mon numéro de sécu, {}, est visible",
         "A": "nous habitons {}|livrez au {}|adresse : {}|ma maison se trouve {}|domicilié {}|à retirer au {}|nous avons déménagé au {}|mon appartement, {},|facture envoyée au {}|devant le {}|au {} depuis mai|un appartement {}|jusqu'au {}|en face du {}",
-        "N": "je suis {}|mon nom est {}|cordialement, {}|une certaine {}|{} a été charmante|j'ai parlé avec {}|merci à {}|monsieur {}|ma voisine {}|{} du service client|selon {}|bien à vous, {}|écrit par {}|{} nous a dit|avec {} récemment|parce que {} l'a dit|pour {} seulement|on a vu {}|{} a rappelé|entre {} et moi|nom : {}",
+        "N": "je m'appelle {}|je m'appelle {}|je suis {}|mon nom est {}|cordialement, {}|une certaine {}|{} a été charmante|j'ai parlé avec {}|merci à {}|monsieur {}|ma voisine {}|{} du service client|selon {}|bien à vous, {}|écrit par {}|{} nous a dit|avec {} récemment|parce que {} l'a dit|pour {} seulement|on a vu {}|{} a rappelé|entre {} et moi|nom : {}",
     },
     "it": {
         "E": "la mia mail: {}|rispondete a {}|email {}|contatto: {}|registrato con {}|mandate tutto a {}|domande a {}|posta elettronica {}|mi trovate su {}",
         "P": "il mio cellulare è {}|telefono: {}|tel. {}|chiamate il {}|fisso {}|richiamatemi allo {}|raggiungibile al {}|WhatsApp {}|un SMS al {}|fate il {}|hanno chiamato dal {}|il numero {}|segreteria allo {}",
         "I": "codice fiscale {}|il mio passaporto numero {}|carta d'identità {}|passaporto: {}|C.F. {}|tessera sanitaria {}|documento {}|numero di previdenza sociale {}|si legge {} come documento|una copia del passaporto {}|il mio codice fiscale, {}, si vede",
         "A": "abitiamo in {}|consegnare in {}|indirizzo: {}|casa mia è in {}|residente in {}|ritiro in {}|ci siamo trasferiti in {}|il mio appartamento, {},|fattura a {}|davanti a {}|in {} da maggio|un alloggio in {}|fino a {}|di fronte a {}",
-        "N": "sono {}|il mio nome è {}|cordiali saluti, {}|un certo {}|{} è stata gentilissima|ho parlato con {}|grazie a {}|la signora {}|il mio vicino {}|{} dell'assistenza|secondo {}|distinti saluti {}|scritto da {}|{} ci ha detto|con {} di recente|perché {} lo ha detto|solo per {}|abbiamo visto {}|{} ha richiamato|tra {} e me|nome: {}",
+        "N": "mi chiamo {}|mi chiamo {}|sono {}|il mio nome è {}|cordiali saluti, {}|un certo {}|{} è stata gentilissima|ho parlato con {}|grazie a {}|la signora {}|il mio vicino {}|{} dell'assistenza|secondo {}|distinti saluti {}|scritto da {}|{} ci ha detto|con {} di recente|perché {} lo ha detto|solo per {}|abbiamo visto {}|{} ha richiamato|tra {} e me|nome: {}",
     },
     "pt": {
         "E": "meu e-mail: {}|respondam para {}|contato: {}|email {}|registado com {}|mandem tudo para {}|dúvidas para {}|correio eletrónico {}|cadastrado como {}",
         "P": "meu celular é {}|telefone: {}|tel. {}|telemóvel {}|me liguem no {}|fixo {}|contacto {}|WhatsApp {}|um SMS para o {}|disque {}|ligaram do {}|o número {}|caixa postal no {}",
         "I": "meu CPF é {}|NIF {}|passaporte número {}|RG {}|cartão de cidadão {}|segurança social {}|passaporte: {}|documento {}|contribuinte n.º {}|aparece {} como documento|uma cópia do passaporte {}|o meu CPF, {}, ficou à vista",
         "A": "vivemos na {}|entregar na {}|endereço: {}|a minha casa fica na {}|morada: {}|retirada em {}|mudámos para a {}|meu apartamento, {},|fatura para {}|em frente à {}|na {} desde maio|um apartamento na {}|até à {}|ao lado da {}",
-        "N": "sou {}|o meu nome: {}|atenciosamente, {}|um tal de {}|{} foi muito gentil|falei com {}|obrigado a {}|a senhora {}|o meu vizinho {}|{} do apoio ao cliente|segundo {}|cumprimentos, {}|escrito por {}|{} disse-nos|com {} há pouco|porque {} disse|só para {}|vimos {}|{} ligou de volta|entre {} e mim|nome: {}",
+        "N": "chamo-me {}|meu nome é {}|chamo-me {}|meu nome é {}|sou {}|o meu nome: {}|atenciosamente, {}|um tal de {}|{} foi muito gentil|falei com {}|obrigado a {}|a senhora {}|o meu vizinho {}|{} do apoio ao cliente|segundo {}|cumprimentos, {}|escrito por {}|{} disse-nos|com {} há pouco|porque {} disse|só para {}|vimos {}|{} ligou de volta|entre {} e mim|nome: {}",
     },
 }
 # What stands before and after such a clause.
 AROUND = {
-    "en": ("Honestly, |For the record, |If anyone cares, |Still waiting; |As I told them, |Hi all, |PS: |Update: |||||", ".|!| - thanks.|, please.| and nothing happened.| since last year.| (again).|, as always.| but nobody reacted.| for three days.|||"),
-    "de": ("Ehrlich gesagt, |Zur Info: |Nur so viel: |Hallo zusammen, |Nachtrag: |Wie gesagt, |||||", ".|!|, danke.|, aber nichts passiert.| seit Mai.| (schon wieder).|, wie immer.| und keiner meldet sich.|||"),
-    "es": ("La verdad, |Para que conste, |Hola a todos, |Como dije, |Nota: |||||", ".|!|, gracias.| y nada.| desde mayo.| (otra vez).|, como siempre.| pero nadie responde.|||"),
-    "fr": ("Franchement, |Pour info, |Bonjour à tous, |Comme je disais, |PS : |||||", ".|!|, merci.| et rien.| depuis mai.| (encore).|, comme toujours.| mais personne ne réagit.|||"),
-    "it": ("Sinceramente, |Per la cronaca, |Ciao a tutti, |Come dicevo, |Nota: |||||", ".|!|, grazie.| e niente.| da maggio.| (di nuovo).|, come sempre.| ma nessuno risponde.|||"),
-    "pt": ("Sinceramente, |Para constar, |Olá a todos, |Como eu disse, |Nota: |||||", ".|!|, obrigado.| e nada.| desde maio.| (de novo).|, como sempre.| mas ninguém responde.|||"),
+    "en": ("Honestly, |For the record, |If anyone cares, |Still waiting; |As I told them, |Hi all, |PS: |Update: |||||", ".|!| - thanks.|, please.| and nothing happened.| since last year.| (again).|, as always.| but nobody reacted.| for three days.| and I would like to know why.| who never called back.| on Monday.| because of that.| and then it was gone| but I never got a reply.|||"),
+    "de": ("Ehrlich gesagt, |Zur Info: |Nur so viel: |Hallo zusammen, |Nachtrag: |Wie gesagt, |||||", ".|!|, danke.|, aber nichts passiert.| seit Mai.| (schon wieder).|, wie immer.| und keiner meldet sich.| und ich wüsste gern warum.| am Montag.| und das war's.| obwohl ich gefragt hatte.| weil es dringend war.|||"),
+    "es": ("La verdad, |Para que conste, |Hola a todos, |Como dije, |Nota: |||||", ".|!|, gracias.| y nada.| desde mayo.| (otra vez).|, como siempre.| pero nadie responde.| y quiero saber por qué.| el lunes.| porque era urgente.| aunque pregunté.|||"),
+    "fr": ("Franchement, |Pour info, |Bonjour à tous, |Comme je disais, |PS : |||||", ".|!|, merci.| et rien.| depuis mai.| (encore).|, comme toujours.| mais personne ne réagit.| et je voudrais savoir pourquoi.| lundi dernier.| parce que c'était urgent.| alors que j'avais demandé.|||"),
+    "it": ("Sinceramente, |Per la cronaca, |Ciao a tutti, |Come dicevo, |Nota: |||||", ".|!|, grazie.| e niente.| da maggio.| (di nuovo).|, come sempre.| ma nessuno risponde.| e vorrei sapere perché.| lunedì scorso.| perché era urgente.| anche se avevo chiesto.|||"),
+    "pt": ("Sinceramente, |Para constar, |Olá a todos, |Como eu disse, |Nota: |||||", ".|!|, obrigado.| e nada.| desde maio.| (de novo).|, como sempre.| mas ninguém responde.| e queria saber porquê.| na segunda-feira.| porque era urgente.| embora tenha perguntado.|||"),
 }
 # Clauses with what is easily taken for a span; letters name what ``Maker.fill`` puts in.
 OTHERS = {
@@ -280,6 +280,11 @@ def windows(around: list[str], size: int, seed: int = 7):
             spots = [j for j, t in enumerate(mark) if t % 2]
             at = make.r.randint(0, len(text) - WIDTH) if not spots or make.r.random() < 0.3 else max(0, min(len(text) - WIDTH, make.r.choice(spots) - make.r.randint(0, WIDTH - 12)))
             ids[i], tags[i] = encode(text)[at : at + WIDTH], mark[at : at + WIDTH]
+            if make.r.random() < 0.25:  # a text that is shorter than the window
+                text, mark = make.sentence()
+                text, mark = text[:WIDTH], mark[:WIDTH]
+                ids[i], tags[i] = 0, 0
+                ids[i, : len(text)], tags[i, : len(text)] = encode(text), mark
         yield ids, tags
 
 
@@ -320,7 +325,7 @@ if __name__ == "__main__":
     states = [None] * workers
     with multiprocessing.get_context("spawn").Pool(workers) as pool:
         for n in range(rounds):
-            rate = (0.01 if not first else 0.005) * (1.02 - n / rounds)
+            rate = (0.01 if not first else 0.004) * (1.02 - n / rounds)
             # The workers' weights are averaged after each round.
             done = pool.map(_round, [(w, states[i], around, 1000 * (first + n) + i, each, rate) for i in range(workers)])
             w = {k: np.mean([d[0][k] for d in done], 0, dtype=np.float32) for k in w}
