@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-REDDIT, TWITTER, QUORA, FACEBOOK = "Reddit", "Twitter", "Quora", "Facebook"
+REDDIT, TWITTER, QUORA, FACEBOOK, LINKEDIN = "Reddit", "Twitter", "Quora", "Facebook", "LinkedIn"
 #: In the order in which a report lists them.
 PLATFORMS = (FACEBOOK, TWITTER, REDDIT, QUORA)
+#: Collected as well, but not listed in a report.
+COLLECTED = (*PLATFORMS, LINKEDIN)
+#: What each platform is searched for.
+KINDS = {REDDIT: "link", QUORA: "answer", FACEBOOK: "post"}
 NEGATIVE, POSITIVE, NEUTRAL = "NEGATIVE", "POSITIVE", "NEUTRAL"
 LABELS = (NEGATIVE, POSITIVE)
 

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.model import QUORA, TWITTER
+from postmill.model import KINDS, QUORA, TWITTER
 
 LINK = r"https?://"
 
@@ -34,10 +34,21 @@ def in_year(at: Column, year: int) -> Column:
     return since_until(at, date(year, 1, 1), date(year + 1, 1, 1))
 
 
+def content_kind(social: Column, text: Column) -> Column:
+    """What a post is: an answer on the question platform, elsewhere a link if it has one, else a post."""
+    return F.when(social == QUORA, "answer").when(text.rlike(LINK), "link").otherwise("post")
+
+
+def of_searched_kind(social: Column, kind: Column) -> Column:
+    """The post is of the kind that its platform is searched for; other platforms take any kind."""
+    wanted = F.coalesce(*[F.when(social == p, k) for p, k in KINDS.items()])
+    return F.coalesce(kind == wanted, F.lit(True))
+
+
 def year_filter_blob(year: int) -> Column:
     """The creation-time filter of a search address: nested JSON in base 64."""
     args = F.to_json(F.struct(F.lit(str(year)).alias("start_year"), F.lit(f"{year}-1").alias("start_month"), F.lit(str(year)).alias("end_year"), F.lit(f"{year}-12").alias("end_month"), F.lit(f"{year}-1-1").alias("start_day"), F.lit(f"{year}-12-31").alias("end_day")))
-    return F.base64(F.to_json(F.struct(F.to_json(F.struct(F.lit("creation_time").alias("name"), args.alias("args"))).alias("rp_creation_time:0"))).cast("binary"))
+    return F.replace(F.base64(F.to_json(F.struct(F.to_json(F.struct(F.lit("creation_time").alias("name"), args.alias("args"))).alias("rp_creation_time:0"))).cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def newest_first(df: DataFrame, at: str, key: str) -> DataFrame:

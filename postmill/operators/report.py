@@ -50,4 +50,12 @@ def analysed() -> Column:
     return F.col("total_negative") + F.col("total_positive")
 
 
-__all__ = ["COUNTS", "analysed", "long_report", "report", "score", "value_counts"]
+def summary(df: DataFrame) -> DataFrame:
+    """The lines of a run's console summary, from a row of counts: (line, text)."""
+    lines = [F.concat(F.lit("Analysed: "), analysed().cast("string"))]
+    for p in ("total", *(x.lower() for x in PLATFORMS)):
+        lines.append(F.concat(F.lit(f"{p.capitalize()}: "), F.col(f"{p}_positive").cast("string"), F.lit(" positive, "), F.col(f"{p}_negative").cast("string"), F.lit(" negative")))
+    return df.select(F.posexplode(F.array(*lines)).alias("line", "text")).select((F.col("line") + 1).cast("bigint").alias("line"), "text")
+
+
+__all__ = ["COUNTS", "analysed", "long_report", "report", "score", "summary", "value_counts"]

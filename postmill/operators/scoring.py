@@ -57,6 +57,28 @@ def by_model(load: Callable[[], Callable[[list[str]], list[str]]], text: str = "
     return lambda df: df.withColumn("sentiment", label(F.col(text)))
 
 
+def top_label(ranked: Column) -> Column:
+    """The label with the highest score of an array of (label, score); of equal scores the first one's, NULL for none."""
+    best = F.array_max(F.transform(ranked, lambda x: x["score"]))
+    return F.try_element_at(F.filter(ranked, lambda x: x["score"] == best), F.lit(1))["label"]
+
+
+def by_ranked_model(load: Callable[[], Callable[[list[str]], list[list[tuple[str, float]]]]], text: str = "posts") -> Scorer:
+    """Labels from a model that gives each text its labels with scores; the top one is taken."""
+
+    @F.pandas_udf("array<struct<label:string,score:double>>")
+    def ranked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for part in parts:
+            known = part.notna()
+            out = pd.Series([None] * len(part), index=part.index, dtype=object)
+            for i, scores in zip(part.index[known], model(part[known].tolist())):
+                out[i] = [{"label": label, "score": float(score)} for label, score in scores]
+            yield out
+
+    return lambda df: df.withColumn("_ranked", ranked(F.col(text))).withColumn("sentiment", top_label(F.col("_ranked"))).drop("_ranked")
+
+
 def banded(value: Column, low: float = 4.0, high: float = 6.0) -> Column:
     """A score from 0 to 10 as one of three labels; the ends of the band are neutral."""
     return F.when(value < low, NEGATIVE).when(value > high, POSITIVE).when(value.isNotNull(), NEUTRAL)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions.html import by_attribute, elements, escaped, nth, text_content
-from postmill.functions.text import percent_encoded, plus_joined, report_body, table_name
+from postmill.functions.html import by_attribute, elements, escaped, nth, parsed_text, text_content
+from postmill.functions.text import percent_encoded, plus_joined, post_count, report_body, table_name
 from postmill.model import COUNTS, PLATFORMS
 from postmill.operators.history import alerts, latest, score_changes
-from postmill.operators.predicates import in_language, mentions, newest_first, per_source_limit, since_until, without_links
-from postmill.operators.report import long_report, report, value_counts
-from postmill.operators.scoring import banded, by_lexicon, from_labels
-from postmill.streaming.report import daily_counts, event_stream
+from postmill.operators.predicates import content_kind, in_language, in_year, mentions, newest_first, of_searched_kind, per_source_limit, since_until, without_links, year_filter_blob
+from postmill.operators.report import long_report, report, summary, value_counts
+from postmill.operators.scoring import banded, by_lexicon, by_ranked_model, from_labels
+from postmill.operators.sinks import append_report, numbered, read_table, write_labelled, write_raw
+from postmill.session import new_path
+from postmill.streaming.report import event_stream, latest_daily, start_daily, start_report
 
 GOOD = ("flawless", "impressed", "perfectly", "trust", "thoughtful", "beeindruckt", "encantado", "conquis", "tadellos")
 BAD = ("trouble", "absurd", "ruined", "broken", "overheats", "waste", "kaputt", "ilegible", "frech")
@@ -35,9 +36,8 @@ def posts_head(spark, d):
 
 
 def union_platforms(spark, d):
-    posts = _t(spark, d, "raw_posts")
-    scans = [posts.where(F.col("social") == p).where(F.col("posts").isNotNull()).select(F.lit(p).alias("social"), "posts") for p in PLATFORMS]
-    return functools.reduce(DataFrame.unionByName, scans)
+    """The bag of all platforms' posts: one scan."""
+    return _t(spark, d, "raw_posts").where(F.col("social").isin(*PLATFORMS) & F.col("posts").isNotNull()).select("social", "posts")
 
 
 def sentiment_value_counts(spark, d):
@@ -159,14 +159,88 @@ def nth_paragraph(spark, d):
     return _pages(spark, d).select("id", F.posexplode(elements(F.col("html"), "p")).alias("p", "x")).select("id", (F.col("p") + 1).cast("bigint").alias("k"), text_content(F.col("x")).alias("text"))
 
 
+def second_paragraph(spark, d):
+    """The item after the first: positions of one platform are moved by one."""
+    return _pages(spark, d).select("id", text_content(nth(F.col("html"), "p", 1, offset=1)).alias("text"))
+
+
+def page_text(spark, d):
+    return _pages(spark, d).select("id", parsed_text(F.col("html")).alias("text"))
+
+
+def searched_kinds(spark, d):
+    kind = content_kind(F.col("social"), F.col("posts"))
+    return _t(spark, d, "raw_posts").where(F.col("posts").isNotNull()).select("id", "social", kind.alias("kind")).where(of_searched_kind(F.col("social"), F.col("kind")))
+
+
+def posts_of_year(spark, d):
+    return _t(spark, d, "raw_posts").where(in_year(F.col("posted_at"), 2023)).select("id", "posted_at", year_filter_blob(2023).alias("filter"))
+
+
+def requested_counts(spark, d):
+    return _t(spark, d, "run_params").select("run_id", post_count(F.col("no_post").cast("string")).alias("requested"), post_count(F.col("search")).alias("no_number"))
+
+
+def raw_round_trip(spark, d):
+    """Posts of a run, numbered, stored twice and read back."""
+    path = new_path(spark, "raw")
+    rows = numbered(union_platforms(spark, d), "social", "posts").select("id", "social", "posts")
+    write_raw(rows.limit(0), path)
+    write_raw(rows, path)
+    return read_table(spark, path)
+
+
+def labelled_round_trip(spark, d):
+    path = new_path(spark, "labelled")
+    write_labelled(lexicon_labels(spark, d).select("id", F.col("id").alias("number"), "sentiment"), path)
+    return read_table(spark, path)
+
+
+def history_round_trip(spark, d):
+    """The same report added to a history twice."""
+    path = new_path(spark, "history")
+    for day in (1, 2):
+        append_report(report_wide(spark, d), path, "all", datetime(2024, 1, day).date())
+    return read_table(spark, path).select("id", "date", F.col("brand").cast("string").alias("brand"), *COUNTS, "score")
+
+
+def ranked_labels(spark, d):
+    """Labels of a model that gives each label a score, here its number of words."""
+    good, bad = frozenset(GOOD), frozenset(BAD)
+
+    def load():
+        import regex
+
+        split = regex.compile(r"[^\p{L}\p{N}]+")
+
+        def model(texts):
+            words = [split.split(t.lower()) for t in texts]
+            return [[("NEGATIVE", sum(w in bad for w in x)), ("POSITIVE", sum(w in good for w in x))] for x in words]
+
+        return model
+
+    return by_ranked_model(load)(_t(spark, d, "raw_posts").select("id", "posts")).select("id", "sentiment")
+
+
+def console_summary(spark, d):
+    return summary(report_wide(spark, d))
+
+
 def stream_daily(spark, d):
     """The daily counts of the event stream, run to its end."""
-    import uuid
+    path = new_path(spark, "daily")
+    start_daily(event_stream(spark, d), path, new_path(spark, "daily-state")).awaitTermination()
+    return latest_daily(spark, path)
+
 
-    name = f"daily_{uuid.uuid4().hex}"
-    query = daily_counts(event_stream(spark, d)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def stream_reports(spark, d):
+    """The counts of all micro-batches of labelled posts."""
+    path = new_path(spark, "reports")
+    schema = _t(spark, d, "labelled_posts").schema
+    # A table is a file or a folder of files.
+    files = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    start_report(files.parquet(f"{d}/labelled_posts.parquet*"), path, new_path(spark, "reports-state")).awaitTermination()
+    return spark.read.parquet(path).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def replay_scan(spark, d):
@@ -176,11 +250,32 @@ def replay_scan(spark, d):
     return spark.read.format(NAME).option("path", f"{d}/raw_posts.parquet").load().where(F.col("social") == "Quora")
 
 
+def _replayed(spark, d, **options):
+    from postmill.sources.replay import NAME, register
+
+    register(spark)
+    return spark.read.format(NAME).options(path=f"{d}/raw_posts.parquet", **options).load()
+
+
+def replay_limited(spark, d):
+    return _replayed(spark, d, no_post="30")
+
+
+def replay_search(spark, d):
+    return _replayed(spark, d, search="kettle").where(F.col("social").isin("Reddit", "Twitter", "Facebook"))
+
+
+def replay_linkedin(spark, d):
+    return _replayed(spark, d).where(F.col("social") == "LinkedIn")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_wide": report_wide, "report_long": report_long, "report_by_brand": report_by_brand, "report_by_run": report_by_run, "history_against_posts": history_against_posts, "posts_scan": posts_scan, "posts_head": posts_head, "union_platforms": union_platforms,
     "sentiment_value_counts": sentiment_value_counts, "platform_value_counts": platform_value_counts, "per_source_limit": source_limit, "keyword_search": keyword_search, "since_until": since_until_posts, "english_without_links": english_without_links, "newest_posts": newest_posts,
     "run_tables": run_tables, "brand_table_collisions": brand_table_collisions, "encoded_searches": encoded_searches, "report_bodies": report_bodies, "history_changes": history_changes, "history_alerts": history_alerts, "history_latest": history_latest, "history_bands": history_bands,
     "daily_scores": daily_scores, "label_join": label_join, "lexicon_labels": lexicon_labels, "page_heading": page_heading, "nth_paragraph": nth_paragraph, "stream_daily": stream_daily, "replay_scan": replay_scan,
+    "second_paragraph": second_paragraph, "page_text": page_text, "searched_kinds": searched_kinds, "posts_of_year": posts_of_year, "requested_counts": requested_counts, "raw_round_trip": raw_round_trip, "labelled_round_trip": labelled_round_trip, "history_round_trip": history_round_trip,
+    "ranked_labels": ranked_labels, "console_summary": console_summary, "stream_reports": stream_reports, "replay_limited": replay_limited, "replay_search": replay_search, "replay_linkedin": replay_linkedin,
 }
 
 _FOUR = "('Facebook', 'Twitter', 'Reddit', 'Quora')"
@@ -234,4 +329,18 @@ ORACLE: dict[str, str] = {
     "nth_paragraph": "select id, k, w[k] as text from (select id, w, unnest(range(1, len(w) + 1)) as k from (select id, string_split(posts, chr(10)) as w from raw_posts where posts is not null))",
     "stream_daily": "select ts::date as date, count(*) filter (where event_type = 'error') as negative, count(*) filter (where event_type = 'purchase') as positive from events group by 1",
     "replay_scan": "select social, posts from raw_posts where social = 'Quora' and posts is not null",
+    "second_paragraph": "select id, string_split(posts, chr(10))[2] as text from raw_posts where posts is not null",
+    "page_text": "select id, coalesce(brand, '') || replace(posts, chr(10), '') as text from raw_posts where posts is not null",
+    "searched_kinds": "select * from (select id, social, case when social = 'Quora' then 'answer' when regexp_matches(posts, 'https?://') then 'link' else 'post' end as kind from raw_posts where posts is not null) where coalesce(kind = case social when 'Reddit' then 'link' when 'Quora' then 'answer' when 'Facebook' then 'post' end, true)",
+    "posts_of_year": "select id, posted_at, to_base64(encode(to_json({'rp_creation_time:0': to_json({'name': 'creation_time', 'args': to_json({'start_year': '2023', 'start_month': '2023-1', 'end_year': '2023', 'end_month': '2023-12', 'start_day': '2023-1-1', 'end_day': '2023-12-31'})::varchar})::varchar})::varchar)) as filter from raw_posts where year(posted_at) = 2023",
+    "requested_counts": "select run_id, no_post as requested, case when regexp_full_match(trim(search), '[0-9]{1,9}') then trim(search)::int end as no_number from run_params",
+    "raw_round_trip": f"select row_number() over (order by social, posts) as id, social, posts from raw_posts where social in {_FOUR} and posts is not null",
+    "labelled_round_trip": f"select id, id as number, case when posts is null then null when {_hits(GOOD)} > {_hits(BAD)} then 'POSITIVE' else 'NEGATIVE' end as sentiment from raw_posts",
+    "history_round_trip": f"select i as id, date '2023-12-31' + i::int as date, 'all' as brand, r.* from (select *, {_SCORE} from (select {_COUNTS} from labelled_posts)) r, range(1, 3) t(i)",
+    "ranked_labels": f"select id, case when posts is null then null when {_hits(GOOD)} > {_hits(BAD)} then 'POSITIVE' else 'NEGATIVE' end as sentiment from raw_posts",
+    "console_summary": f"with r as (select {_COUNTS} from labelled_posts) select 1 as line, 'Analysed: ' || (total_negative + total_positive) as text from r " + " ".join(f"union all select {i}, '{p.capitalize()}: ' || {p}_positive || ' positive, ' || {p}_negative || ' negative' from r" for i, p in enumerate(("total", "facebook", "twitter", "reddit", "quora"), 2)),
+    "stream_reports": f"select {_COUNTS} from labelled_posts",
+    "replay_limited": "select social, posts from (select social, posts, row_number() over (partition by social order by id) as k from raw_posts where social in ('Facebook', 'Twitter', 'Reddit', 'Quora', 'LinkedIn')) where k <= case social when 'Quora' then 4 when 'Twitter' then 24 else 29 end and posts is not null",
+    "replay_search": "select social, posts from raw_posts where social in ('Reddit', 'Twitter', 'Facebook') and instr(lower(posts), 'kettle') > 0",
+    "replay_linkedin": "select social, posts from raw_posts where social = 'LinkedIn' and posts is not null",
 }

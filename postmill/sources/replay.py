@@ -1,4 +1,4 @@
-"""A Python data source that replays collected posts, one partition for each platform.
+"""A Python data source that replays collected posts, one partition for each row group of the files, or for each platform if there is a limit.
 
 Options: ``path`` (a Parquet file or folder with social and posts), ``search`` (only posts that mention it), ``no_post`` (items asked
 for, with each platform's own limit). A filter on ``social`` leaves out the partitions of other platforms.
@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from postmill.model import PLATFORMS, QUORA, SCRAPED, TWITTER
+from postmill.model import COLLECTED, QUORA, SCRAPED, TWITTER
 
 NAME = "postmill_replay"
 
@@ -25,10 +25,16 @@ class Platform(InputPartition):
         self.name = name
 
 
+class RowGroup(InputPartition):
+    def __init__(self, path: str, group: int):
+        super().__init__((path, group))
+        self.path, self.group = path, group
+
+
 class ReplayReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
-        self.platforms = list(PLATFORMS)
+        self.platforms = list(COLLECTED)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         for f in filters:
@@ -40,7 +46,12 @@ class ReplayReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [Platform(p) for p in self.platforms]
+        if self.options.get("no_post") is not None:
+            return [Platform(p) for p in self.platforms]
+        import pyarrow.dataset as ds
+
+        files = ds.dataset(self.options["path"], format="parquet").get_fragments()
+        return [RowGroup(f.path, g.id) for f in files for g in f.row_groups]
 
     def _attempts(self, platform: str) -> int | None:
         n = self.options.get("no_post")
@@ -48,10 +59,17 @@ class ReplayReader(DataSourceReader):
             return None
         return 4 if platform == QUORA else max(0, (min(int(n), 25) if platform == TWITTER else int(n)) - 1)
 
-    def read(self, partition: Platform) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Platform | RowGroup) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset as ds
 
-        left, term = self._attempts(partition.name), self.options.get("search")
+        term = self.options.get("search")
+        if isinstance(partition, RowGroup):
+            (whole,) = ds.dataset(partition.path, format="parquet").get_fragments()
+            part = whole.subset(row_group_ids=[partition.group])
+            for batch in part.to_batches(columns=["social", "posts"], filter=ds.field("social").isin(self.platforms) & ds.field("posts").is_valid()):
+                yield batch.filter(pc.fill_null(pc.match_substring(batch["posts"], term, ignore_case=True), False)) if term else batch
+            return
+        left = self._attempts(partition.name)
         data = ds.dataset(self.options["path"], format="parquet")
         for batch in data.to_batches(columns=["social", "posts"], filter=ds.field("social") == partition.name):
             if term:

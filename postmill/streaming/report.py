@@ -17,7 +17,22 @@ def daily_counts(events: DataFrame, at: str = "ts", late: str = "1 day") -> Data
     ).select(F.col("window.start").cast("date").alias("date"), "negative", "positive")
 
 
-def start_report(posts: DataFrame, path: str, checkpoint: str, by: str = "social_day"):
+def start_daily(events: DataFrame, path: str, checkpoint: str):
+    """Write the days each micro-batch changed under its batch number, so that no table of all days stays in memory; ``latest_daily`` reads them."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return daily_counts(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_daily(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of each day as of the last batch that changed it."""
+    last = F.max_by(F.struct("negative", "positive"), "batch").alias("x")
+    return spark.read.parquet(path).groupBy("date").agg(last).select("date", "x.*")
+
+
+def start_report(posts: DataFrame, path: str, checkpoint: str):
     """Write a report for each micro-batch of labelled posts under its batch number; a batch that is run again replaces its own."""
 
     def write(batch: DataFrame, number: int) -> None:

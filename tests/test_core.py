@@ -130,3 +130,40 @@ def test_queries_and_sql_have_the_same_names():
     from postmill.plans import catalogue
 
     assert set(catalogue.ORACLE) <= set(catalogue.QUERIES)
+
+
+def test_top_label(spark):
+    from postmill.operators.scoring import top_label
+
+    rows = spark.createDataFrame([([("A", 0.1), ("B", 0.9)],), ([("A", 0.5), ("B", 0.5)],), ([],), (None,)], "r array<struct<label:string,score:double>>")
+    assert [r[0] for r in rows.select(top_label(F.col("r"))).collect()] == ["B", "A", None, None]
+
+
+def test_searched_kinds(spark):
+    from postmill.operators.predicates import content_kind, of_searched_kind
+
+    rows = spark.createDataFrame([("Reddit", "see https://a.example"), ("Reddit", "no link"), ("Quora", "x"), ("Facebook", "https://b.example"), ("Twitter", "x"), (None, None)], "s string, t string")
+    rows = rows.withColumn("k", content_kind(F.col("s"), F.col("t")))
+    assert [r[0] for r in rows.select(of_searched_kind(F.col("s"), F.col("k"))).collect()] == [True, False, True, False, True, True]
+
+
+def test_replay_reads_row_groups_of_a_folder(spark, tmp_path):
+    from postmill.sources.replay import NAME, register
+
+    spark.createDataFrame([("Reddit", f"r{i}") for i in range(40)] + [("LinkedIn", None), ("LinkedIn", "l")], "social string, posts string").repartition(3).write.parquet(str(tmp_path / "p"))
+    register(spark)
+    read = spark.read.format(NAME).option("path", str(tmp_path / "p"))
+    assert read.load().count() == 41 and read.load().where("social = 'LinkedIn'").count() == 1 and read.load().rdd.getNumPartitions() == 3
+    assert read.option("no_post", "5").load().count() <= 5
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from postmill.session import shared_dir
+
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(made)
