@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.session import new_path
+
 #: A word is a longest run of letters and digits, in lower case.
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -23,28 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a session in a single process, as in tests, may do without the setting; on a
-    cluster that names no folder this raises."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="postmill-")
-        atexit.register(shutil.rmtree, where.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later uses neither recompute
     it nor depend on any single executor. All stages of an application are in one folder, which is deleted when its driver exits."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/postmill-{spark.sparkContext.applicationId}"
-    path = f"{folder}/stage-{uuid.uuid4().hex}"
+    path = new_path(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

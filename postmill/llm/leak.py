@@ -2,10 +2,12 @@
 
 Words are typed: numbers, units and names become placeholders, so that a window of ten typed words is a
 template. Windows of the items are hash-joined with windows of the documents on the template; the slots then decide. Equal
-slots make a verbatim passage (``p8_found``); other slots that map one to one onto the item's make a re-parameterised question.
+slots make a verbatim passage (``p8_found``); other slots that map one to one onto the item's make a re-parameterised question, for which
+a number with decimals or thousands is one word.
 
 A word's type depends on its lower-case form alone wherever that form occurs in an item, so a passage copied in other letter
-case has the item's template and no verbatim window is missed.
+case has the item's template and no verbatim window is missed. Before the join, a bit map of a fixed size over the items' templates drops most
+windows of documents; with very many items it only drops fewer.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import NOT_WORD, hash64, mix, strings, table
+from postmill.llm.common import NOT_WORD, hash64, if_small, materialise, mix, strings, table
 
 # Unit words.
 UNITS = frozenset("mm cm m km inch inches ft feet yard yards mile miles g kg mg lb lbs oz pound pounds ounce ounces ml l litre litres liter liters s sec second seconds min minute minutes hour hours day days week weeks month months year years percent euro euros dollar dollars crown crowns cent cents watt watts volt volts degree degrees".split())
-#: Most item windows that are broadcast; beyond that the join is a shuffle.
-BOUND = 2_000_000
+#: Size of the bit map over the items' templates.
+SLOTS = 1 << 20
+WINDOWS = "owner long, template long, exact long, slots array<string>"
 
 
 def _cased_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -72,78 +75,61 @@ def _windows(texts: pa.Array, size: int, plain: frozenset, names: frozenset):
     return doc, codes, words, at, _rolling(template, size)[at], _rolling(exact, size)[at]
 
 
-def vocabulary(items: list[str]) -> tuple[frozenset, frozenset]:
-    """(words seen in lower case, words seen only with a capital) of the items."""
-    _, _, words = _cased_words(pa.array(items, pa.large_string()))
-    plain = {w for w in words.to_pylist() if w == w.lower()}
-    return frozenset(plain), frozenset(w.lower() for w in words.to_pylist()) - plain
+def vocabulary(items: DataFrame, col: str) -> tuple[frozenset, frozenset]:
+    """(words seen in lower case, words seen only with a capital) of the items: as many as their language has, whatever the corpus' size."""
+    words = items.select(F.explode(F.array_distinct(F.split(col, NOT_WORD))).alias("w")).where("w <> ''")
+    seen = words.groupBy(F.lower("w").alias("low")).agg(F.max(F.col("w") == F.lower("w")).alias("plain")).collect()
+    return frozenset(r["low"] for r in seen if r["plain"]), frozenset(r["low"] for r in seen if not r["plain"])
 
 
-def _item_index(items: DataFrame, key: str, col: str, size: int):
-    """The items' windows. Items are held-out tests, whose number does not follow the corpus; they are counted first."""
-    if items.count() > BOUND // 100:
-        raise ValueError(f"more than {BOUND // 100} items; split them into several calls")
-    rows = items.where(f"`{key}` is not null and `{col}` is not null").select(key, col).collect()
-    texts = [r[1] for r in rows]
-    plain, names = vocabulary(texts)
-    doc, codes, words, at, template, exact = _windows(pa.array(texts, pa.large_string()), size, plain, names)
-    item = np.array([r[0] for r in rows], np.int64)[doc[at]] if len(at) else np.zeros(0, np.int64)
-    low = pc.utf8_lower(words).to_pylist()
-    slots = [tuple(low[c] for c in codes[i : i + size]) for i in at]
-    return plain, names, item, template, exact, slots
+def _hashed(size: int, words, numbers: bool, wanted=None):
+    """Map task: the windows of each text, all of them or those whose template can be wanted."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, names = words.value
+        allowed = None if wanted is None else np.unpackbits(np.frombuffer(wanted.value, np.uint8)).astype(bool)
+        for batch in batches:
+            texts = strings(batch["text"])
+            if numbers:
+                texts = pc.replace_substring_regex(texts, r"(\d)[.,](\d)", r"\1\2")
+            doc, codes, found, at, template, exact = _windows(texts, size, plain, names)
+            if allowed is not None:
+                keep = np.flatnonzero(allowed[(template & np.uint64(SLOTS - 1)).astype(np.int64)]) if len(at) else at
+                at, template, exact = at[keep], template[keep], exact[keep]
+            low = pc.utf8_lower(found)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * size), low.take(pa.array(codes[at[:, None] + np.arange(size)].ravel())).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch["owner"].take(pa.array(doc[at])).cast(pa.int64()), pa.array(template.view(np.int64)), pa.array(exact.view(np.int64)), lists], ["owner", "template", "exact", "slots"])
 
-def _matches(index, size: int):
-    """Map task: every window of a document that shares its template with an item's window."""
-    plain, names, item, template, exact, slots = index.value
-    order = np.argsort(template, kind="stable")
-    known = template[order]
+    return run
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["doc"].to_numpy(zero_copy_only=False)
-            doc, codes, words, at, t, x = _windows(strings(batch["text"]), size, plain, names)
-            lo, hi = np.searchsorted(known, t), np.searchsorted(known, t, "right")
-            hit = np.flatnonzero(hi > lo)
-            low = pc.utf8_lower(words).to_pylist()
-            state: dict[tuple[int, int], list] = {}  # (document, item): windows, verbatim windows, slots, one to one
-            for w in hit:
-                same = order[lo[w] : hi[w]]
-                verbatim = exact[same] == x[w]
-                mine = None
-                for j in same[verbatim] if verbatim.any() else same:
-                    pair = state.setdefault((int(ids[doc[at[w]]]), int(item[j])), [0, 0, {}, {}, True])
-                    pair[0] += 1
-                    if verbatim.any():
-                        pair[1] += 1
-                        continue
-                    mine = mine or [low[c] for c in codes[at[w] : at[w] + size]]
-                    for a, b in zip(slots[j], mine):
-                        if pair[2].setdefault(a, b) != b or pair[3].setdefault(b, a) != a:
-                            pair[4] = False
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, y) for x, y in zip(zip(*((d, i, p[0], p[1], p[4]) for (d, i), p in state.items())) if state else ((),) * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
-                ["doc", "item", "windows", "verbatim", "one_to_one"],
-            )
-
-    return match
-
-
-def template_matches(docs: DataFrame, doc_key: str, doc_col: str, items: DataFrame, item_key: str, item_col: str, size: int = 10) -> DataFrame:
+
+def template_matches(docs: DataFrame, doc_key: str, doc_col: str, items: DataFrame, item_key: str, item_col: str, size: int = 10, numbers: bool = False) -> DataFrame:
     """Documents and items that share at least one template window of ``size`` words.
 
-    Columns: doc, item, windows (shared), verbatim (with equal words), one_to_one (slots of the other windows map one to one).
-    NULL and short texts share nothing; a key that is repeated gives a row for each of its rows. An empty table of
-    either kind gives an empty result. Whole texts are read, of any length.
+    Columns: doc, item, windows (shared), verbatim (with equal words), one_to_one (slots of the other windows map one to one). With ``numbers``, a number
+    with decimals or thousands is one word. NULL and short texts share nothing; rows that share a key are one document or item. An empty table of
+    either kind gives an empty result. Whole texts are read, of any length; any number of items.
     """
-    spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(_item_index(items, item_key, item_col, size))
-    rows = docs.where(F.col(doc_key).isNotNull() & F.col(doc_col).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(doc_col).alias("text"))
-    return rows.mapInArrow(_matches(index, size), "doc long, item long, windows long, verbatim long, one_to_one boolean")
-
-
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return template_matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    context = docs.sparkSession.sparkContext
+    tests = items.where(F.col(item_key).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_key).cast("long").alias("owner"), F.col(item_col).alias("text"))
+    words = context.broadcast(vocabulary(tests, "text"))
+    known = materialise(tests.mapInArrow(_hashed(size, words, numbers), WINDOWS).distinct())
+    bits = np.zeros(SLOTS, bool)
+    bits[[r[0] for r in known.select(F.col("template").bitwiseAND(SLOTS - 1)).distinct().collect()]] = True
+    wanted = context.broadcast(np.packbits(bits).tobytes())
+    rows = docs.where(F.col(doc_key).isNotNull() & F.col(doc_col).isNotNull()).select(F.col(doc_key).cast("long").alias("owner"), F.col(doc_col).alias("text"))
+    mine = rows.mapInArrow(_hashed(size, words, numbers, wanted), WINDOWS).withColumnsRenamed({"owner": "doc", "exact": "x", "slots": "mine"})
+    known = if_small(known.withColumnRenamed("owner", "item"), F.lit(400))
+    same = F.col("exact") == F.col("x")
+    # The pairs of slots of windows that are no verbatim copy; of one document and item there are as many as the item has words.
+    slots = F.when(~same, F.arrays_zip("slots", "mine"))
+    joined = mine.join(known, "template").groupBy("doc", "item").agg(F.count("*").alias("windows"), F.count(F.when(same, 1)).alias("verbatim"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("pairs"))
+    one = (F.size(F.array_distinct(F.col("pairs.slots"))) == F.size("pairs")) & (F.size(F.array_distinct(F.col("pairs.mine"))) == F.size("pairs"))
+    return joined.select("doc", "item", "windows", "verbatim", one.alias("one_to_one"))
+
+
+def _all(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return template_matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", **options)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +138,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an item's question in other numbers, names or units only."""
-    return _all(spark, sf_dir).where("verbatim = 0 and one_to_one").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
+    return _all(spark, sf_dir, numbers=True).where("verbatim = 0 and one_to_one").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "windows")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Problem 10: text read with the wrong encoding.
 
-Tokens with characters beyond ASCII are joined on what is left of them and of their neighbours without those characters,
-so a garbled token meets its clean near-twins. Aligning the two on their ASCII characters gives pairs of runs; the pairs
+Tokens with characters beyond ASCII have a window: what is left of them and of their neighbours without those characters.
+A garbled token meets its clean near-twins there: the tokens of its window that it could be a wrong reading of. Aligning the two on their ASCII characters gives pairs of runs; the pairs
 tell which wrong readings (written as A, read as B, once or twice) occur in this corpus, and how often. The learned readings are
 then undone in every token: at once where bytes of UTF-8 come to light, which clean text does not imitate, and by comparison
 with the corpus' own words where one letter stands for another. Each distinct text counts once, however often it is copied; a word that
@@ -29,6 +29,7 @@ READ = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251",
 
 TOKEN = re.compile(r"[^\s\x80-\U0010ffff]*[\x80-\U0010ffff]\S*", re.ASCII)
 RUN = re.compile(r"[^\x00-\x7f]+")
+PLACE = re.compile(r"\S+", re.ASCII)
 EDGE = "\"'().,;:!?*-[]{}<>#"
 LOST = "\ufffd"
 #: Signs of a wrong reading by themselves: lost characters, C1 controls, private use.
@@ -125,25 +126,43 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text.isascii():
                 continue
             h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-            for m in TOKEN.finditer(text):
-                token = _core(m.group())
-                if token.isascii():
-                    continue
-                before = bare(text[max(0, m.start() - 40) : m.start()]).rsplit(None, 1)
-                after = bare(text[m.end() : m.end() + 40]).split(None, 1)
-                seen[doc, h, token, f"{before[-1].strip(EDGE) if before else ''} {bare(token)} {after[0].strip(EDGE) if after else ''}"] = None
+            every = PLACE.findall(text)
+            plain = [bare(x).strip(EDGE) for x in every]
+            # The nearest neighbour with anything in ASCII, on either side.
+            after, left = [""] * len(every), ""
+            for i in range(len(every) - 1, 0, -1):
+                left = plain[i] or left
+                after[i - 1] = left
+            before = ""
+            for whole, own, right in zip(every, plain, after):
+                if not whole.isascii() and not (token := _core(whole)).isascii():
+                    seen[doc, h, token, f"{before} {bare(token)} {right}"] = None
+                before = own or before
         cols = list(zip(*seen)) if seen else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc", "h", "token", "window"])
 
 
+def _undone(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map task: what each token would be if one of the wrong readings were undone in all its runs beyond ASCII."""
+    for part in rows:
+        out = []
+        for token in part["token"]:
+            runs = set(RUN.findall(token))
+            for w, r, k in readings():
+                to = {x: _apply(undo, x, w, r, k) for x in runs}
+                if r != "utf-8" and any(v is not None and v != x for x, v in to.items()):
+                    new = RUN.sub(lambda m: m.group() if to[m.group()] is None else to[m.group()], token)
+                    if not BROKEN.search(new):
+                        out.append((token, new, w, r, k))
+        yield pd.DataFrame(out, columns=["a", "b", "written", "read", "times"])
+
+
 def _explained(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map task: the wrong readings that turn the run ``clean`` into the run ``odd``."""
+    """Map task: the pairs of runs that face each other in a token and its near-twin and that the wrong reading explains."""
     for part in rows:
         out = []
-        for a, b, n in zip(part["a"], part["b"], part["n"]):
-            for odd, clean in {(odd, clean) for x, y in align(a, b) or () for odd, clean in ((x, y), (y, x))}:
-                if not BROKEN.search(clean):
-                    out += [(w, r, k, odd, clean, n) for w, r, k in readings() if r != "utf-8" and _apply(misread, clean, w, r, k) == odd]
+        for a, b, w, r, k, n in part[["a", "b", "written", "read", "times", "n"]].itertuples(index=False):
+            out += [(w, r, k, odd, clean, n) for odd, clean in set(align(a, b) or ()) if _apply(misread, clean, w, r, k) == odd]
         yield pd.DataFrame(out, columns=["written", "read", "times", "odd", "clean", "n"])
 
 
@@ -217,8 +236,12 @@ def learn(windows: DataFrame, least_pairs: int = 2, least_support: int = 3) -> l
     explain a pair, which does not happen by chance, one is enough. The result has at
     most one row for each reading in ``readings()``, whatever the corpus' size.
     """
+    tokens = windows.select("token").distinct()
+    # A token meets the tokens of its window that it could be a wrong reading of, not all of them: a window may hold every word of a language in another script.
+    undone = materialise(tokens.repartition("token").mapInPandas(_undone, "a string, b string, written string, read string, times int"))
+    twins = undone.join(tokens.select(F.col("token").alias("b")), "b", "left_semi")
     a, b = windows.select("window", F.col("token").alias("a")), windows.select("window", F.col("token").alias("b"))
-    pairs = a.join(b, "window").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    pairs = twins.join(a, "a").join(b, ["window", "b"]).groupBy("a", "b", "written", "read", "times").agg(F.count("*").alias("n"))
     shown = pairs.mapInPandas(_explained, "written string, read string, times int, odd string, clean string, n long")
     support = shown.groupBy("written", "read", "times").agg(F.count_distinct("odd").alias("pairs"), F.sum("n").alias("n"))
     return [(r[0], r[1], r[2]) for r in support.where((F.col("written") == "utf-8") | (F.col("pairs") >= least_pairs) & (F.col("n") >= least_support)).collect()]

@@ -235,6 +235,16 @@ def test_leaks(spark):
     assert leak.template_matches(posts(spark, [changed]), "id", "posts", spark.createDataFrame([(7, item)], "item_id long, text string"), "item_id", "text").first()["one_to_one"]
 
 
+def test_numbers_with_decimals_are_one_slot(spark):
+    item = "A cyclist rides 3.5 miles in the morning and then another 12,750 yards before lunch, how far is that in total?"
+    other = item.replace("3.5", "12").replace("12,750", "900")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = leak.template_matches(posts(spark, [other, item, other.replace("900 yards", "12 yards")]), "id", "posts", items, "item_id", "text", numbers=True).orderBy("doc").collect()
+    n = len(item.replace("3.5", "3").replace("12,750", "1").split()) - 9
+    # The third gives one number for two different ones of the item.
+    assert [(r["doc"], r["windows"], r["verbatim"] > 0, r["one_to_one"]) for r in found] == [(1, n, False, True), (2, n, True, True), (3, n, False, False)]
+
+
 def test_budgets():
     assert mixing.fill([1, 1, 2], [10, 100, 100], 80) == pytest.approx([10, 70 / 3, 140 / 3])
     leaves = [(("a", "en"), (0.5, 80.0), 100.0), (("a", "de"), (0.5, 20.0), 20.0), (("b", "en"), (0.5, 10.0), 10.0)]
@@ -284,6 +294,13 @@ def test_garbled_in_copied_and_rare_texts(spark):
     assert restored[71] == "Der Händler Grünwäldchen erklärte nichts" and restored[72] == "été 🦉 ici"
 
 
+def test_garbled_cyrillic_documents(spark):
+    clean = [f"привет мир номер {w} сегодня идёт дождь" for w in ("один", "два", "три", "четыре", "пять")] * 6
+    bad = [mojibake.misread(clean[i], "utf-8", "cp1252") for i in range(2)]
+    rows = {r["doc"]: r["restored_text"] for r in mojibake.restored_texts(posts(spark, clean + bad), "id", "posts").collect()}
+    assert rows == {31: clean[0], 32: clean[1]}
+
+
 def test_quoted_accents_are_not_bytes():
     restore = mojibake.restorations([("utf-8", "mac_roman", 1), ("utf-8", "cp1252", 1)], frozenset("’é“Ü"))
     assert [restore(x)[0] for x in ("l’équipe", "“Über")] == [None, None]
