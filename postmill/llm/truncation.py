@@ -34,7 +34,9 @@ MARK, PAUSE, WORD = 0, 1, 2
 MARKS = frozenset(".!?…\n")
 START = 0x5EED
 STRETCH = 120
-COLUMNS = ["key", "c0", "c1", "c2", "c3", "ends", "pauses", "goes_on"]
+COLUMNS = ["key", "c0", "c1", "c2", "c3", "words", "small", "range", "contexts", "tallies"]
+SCANNED = "key long, c0 long, c1 long, c2 long, c3 long, words long, small long, range long, contexts binary, tallies binary"
+LINK = re.compile(r"(?:https?://|www\.)\S*")
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -46,7 +48,7 @@ def lengths(text: Column) -> dict[str, Column]:
     chars = F.char_length(text)
     return {
         "characters": chars,
-        "utf16": (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int"),
+        "utf16": F.when(F.octet_length(text) == chars, chars).otherwise((F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("int")),
         "utf8": F.octet_length(text),
         "html": chars + 4 * count("&") + 3 * (count("<") + count(">")) + 5 * count('"'),
         "json": chars + count('"') + count("\\") + count("\n") + count("\t"),
@@ -54,9 +56,10 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def hidden_limits(rows: DataFrame, measures: list[str], reach: int = 8, times: float = 3.0, sigmas: float = 6.0) -> DataFrame:
+def hidden_limits(rows: DataFrame, measures: list[str], reach: int = 8, times: float = 3.0, sigmas: float = 6.0, shortest: int = 40) -> DataFrame:
     """(measure, length): lengths with far more texts than the ``reach`` lengths on either side.
 
+    Lengths below ``shortest`` are those of stock phrases, whose copies stand out as well.
     ``rows`` has a column for each measure. The histogram has at most one row for each measure and length.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("int").alias("length")) for m in measures])).alias("x")
@@ -64,7 +67,7 @@ def hidden_limits(rows: DataFrame, measures: list[str], reach: int = 8, times: f
     near = counts.select("measure", F.explode(F.sequence(F.col("length") - reach, F.col("length") + reach)).alias("length"), F.col("length").alias("at"), "n")
     around = near.where("at <> length").groupBy("measure", "length").agg((F.sum("n") / (2 * reach)).alias("usual"))
     found = counts.join(around, ["measure", "length"], "left").withColumn("usual", F.coalesce("usual", F.lit(0.0)))
-    return found.where((F.col("length") >= 40) & (F.col("n") >= times * F.col("usual")) & (F.col("n") - F.col("usual") >= sigmas * F.sqrt(F.col("usual") + 4))).select("measure", "length", "n", "usual")
+    return found.where((F.col("length") >= shortest) & (F.col("n") >= times * F.col("usual")) & (F.col("n") - F.col("usual") >= sigmas * F.sqrt(F.col("usual") + 4))).select("measure", "length", "n", "usual")
 
 
 def author_end(lines: list[str]) -> str:
@@ -74,6 +77,9 @@ def author_end(lines: list[str]) -> str:
     # What stands after the last words is searched from the end, a stretch at a time, until nothing more comes off.
     while text:
         cut = text
+        last = cut.rsplit(None, 1)[-1]
+        if len(last) < len(cut) and LINK.fullmatch(last):  # a link of any length
+            cut = cut[: -len(last)].rstrip()
         for pattern in (AFTER, MORE_END):
             if m := pattern.search(cut, max(0, len(cut) - STRETCH)):
                 cut = cut[: m.start()].rstrip()
@@ -103,16 +109,31 @@ def _sequence(texts: list[str]) -> tuple[np.ndarray, ...]:
     return doc, kind[codes], value[codes], shape[codes]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map task: a row for each text without a final mark (its last words), and counts of endings after the words of all texts."""
+def _scan(ranges: int):
+    """Map task: a row for each text without a final mark (its last words), and, by range of the contexts, packed counts of endings after the words of all texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _scanned(batches, ranges)
+
+    return scan
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def pack():
         keys, kinds = (np.concatenate(x) for x in zip(*parts))
         parts.clear()
         at, unique = pd.factorize(keys)
-        counts = [pa.array(np.bincount(at, kinds == k, len(unique)).astype(np.int64)) for k in (MARK, PAUSE, WORD)]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(unique), pa.int64()), pa.array(unique.view(np.int64)), *[pa.nulls(len(unique), pa.int64())] * 3, *counts], COLUMNS)
+        counts = np.stack([np.bincount(at, kinds == k, len(unique)) for k in (MARK, PAUSE, WORD)], 1).astype(np.uint32)
+        unique = unique.view(np.int64)
+        part = np.mod(unique, ranges)
+        order = np.argsort(part, kind="stable")
+        used, first = np.unique(part[order], return_index=True)
+        slices = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
+        none = pa.nulls(len(used), pa.int64())
+        blobs = [pa.array([x[i].tobytes() for i in slices], pa.binary()) for x in (unique, counts)]
+        return pa.RecordBatch.from_arrays([*[none] * 7, pa.array(used), *blobs], COLUMNS)
 
     for batch in batches:
         texts = [author_end(x) if len(x) > 1 or not FINAL.search((x[0] or "")[-9:]) or MORE_END.search((x[0] or "")[-40:]) else x[0] for x in batch["lines"].to_pylist()]
@@ -139,14 +160,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.bincount(owner, minlength=len(texts))[owner[open_]]
         keys = batch["key"].to_numpy(zero_copy_only=False)[owner[open_]]
         c = contexts[open_].view(np.int64)
-        spare = pa.nulls(len(open_), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(ORDERS)], pa.array(n.astype(np.int64)), pa.array((shape[full][word][open_] == 13).astype(np.int64)), spare], COLUMNS)
+        spare = [pa.nulls(len(open_), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.ascontiguousarray(c[:, i])) for i in range(ORDERS)], pa.array(n.astype(np.int64)), pa.array((shape[full][word][open_] == 13).astype(np.int64)), *spare], COLUMNS)
         if sum(len(k) for k, _ in parts) > 12_000_000:
             yield pack()
     if parts:
         yield pack()
 
 
+def _told(packs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The counts of the contexts of one range that some open ending asks for."""
+    need = np.unique(asked["context"].to_numpy(np.int64))
+    total = np.zeros((len(need), 3), np.int64)
+    for contexts, tallies in zip(packs["contexts"], packs["tallies"]) if len(need) else ():
+        contexts, tallies = np.frombuffer(contexts, np.int64), np.frombuffer(tallies, np.uint32).reshape(-1, 3)
+        at = np.minimum(np.searchsorted(need, contexts), len(need) - 1)
+        hit = need[at] == contexts
+        total[at[hit]] += tallies[hit]
+    return pd.DataFrame({"context": need, "ends": total[:, 0], "pauses": total[:, 1], "goes_on": total[:, 2]})
+
+
 def _orders(a: np.ndarray, b: np.ndarray, c: np.ndarray, shape: np.ndarray) -> np.ndarray:
     """Context hashes (rows x orders) of the last word but two, the last but one, the last, and its kind."""
     with np.errstate(over="ignore"):
@@ -158,8 +191,8 @@ def _orders(a: np.ndarray, b: np.ndarray, c: np.ndarray, shape: np.ndarray) -> n
 def find_cut_texts(df: DataFrame, key: str, col: str, least: int = 6) -> DataFrame:
     """The keys of texts whose author's words stop inside a word or sentence.
 
-    NULL, empty and blank texts are never cut. A text without a final mark is cut if it ends at a hidden limit, or, if it has at least
-    ``least`` words, if its last word is unknown to the corpus or never follows the word before it though others do, or if after its last words (three, else two and the kind of the third, else two, else one, whichever the
+    NULL, empty and blank texts are never cut. A text without a final mark is cut if it ends at a hidden limit, or, with fewer than
+    ``least`` words, if a sentence mostly goes on after its last three words, or else if its last word is unknown to the corpus or never follows the word before it though others do, or if after its last words (three, else two and the kind of the third, else two, else one, whichever the
     corpus knows) a sentence goes on more often than it ends or pauses. The counts cover all texts, whole. Rows that share a key are judged
     one by one. An empty table gives an empty result.
     """
@@ -169,11 +202,14 @@ def find_cut_texts(df: DataFrame, key: str, col: str, least: int = 6) -> DataFra
     limits = hidden_limits(measured, measures)
     # Few lengths can stand out so far from the ones around them; still a join, not a list.
     at_limit = measured.select("key", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("int").alias("length")) for m in measures])).alias("x")).select("key", "x.*").join(limits.select("measure", "length"), ["measure", "length"]).select("key").distinct()
+    ranges = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     seen = canonical_lines(rows).select("key", "lines")
-    scanned = materialise(seen.mapInArrow(_scan, ", ".join(f"{c} long" for c in COLUMNS)))
-    counts = scanned.where("key is null").groupBy(F.col("c0").alias("context")).agg(*[F.sum(c).alias(c) for c in COLUMNS[5:]])
-    tails = scanned.where("key is not null")
-    asked = tails.select("key", F.col("ends").alias("words"), F.col("pauses").alias("small"), F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("k", "context"))
+    scanned = materialise(seen.mapInArrow(_scan(ranges), SCANNED))
+    asked = scanned.where("key is not null").select("key", "words", "small", F.posexplode(F.array("c0", "c1", "c2", "c3")).alias("k", "context"))
+    # Only the counts of contexts that are asked for leave their packs.
+    wanted = asked.select("context").distinct().select("context", F.pmod("context", F.lit(ranges)).alias("range"))
+    packs = scanned.where("range is not null").select("range", "contexts", "tallies")
+    counts = packs.groupBy("range").cogroup(wanted.groupBy("range")).applyInPandas(_told, "context long, ends long, pauses long, goes_on long").where("ends + pauses + goes_on > 0")
     told = asked.join(counts, "context", "left").groupBy("key", "words", "small").pivot("k", [0, 1, 2, 3]).agg(F.max("ends").alias("e"), F.max("pauses").alias("p"), F.max("goes_on").alias("g"))
 
     def total(k):
@@ -185,8 +221,10 @@ def find_cut_texts(df: DataFrame, key: str, col: str, least: int = 6) -> DataFra
     verdict = F.when((total(3) == 0) | (total(2) == 0) & (total(1) >= 8) & (F.col("small") == 1), True)
     for k in range(ORDERS):
         verdict = verdict.when(total(k) >= (2 if k == 0 else 3), goes_on(k))
-    judged = told.withColumn("cut", verdict.otherwise(True))
-    return judged.join(at_limit.withColumn("limit", F.lit(True)), "key", "left").where(f"cut and words >= {least} or limit").select("key").distinct()
+    # So few words tell little, so three of them must be known to go on.
+    stub = (F.col("words") >= 3) & (total(0) >= 3) & (F.col("0_g") > 3 * (F.col("0_e") + F.col("0_p")))
+    judged = told.withColumn("cut", F.when(F.col("words") < least, stub).otherwise(verdict.otherwise(True)))
+    return judged.join(at_limit.withColumn("limit", F.lit(True)), "key", "left").where("cut or limit").select("key").distinct()
 
 
 def cut_platform(value: Column) -> Column:

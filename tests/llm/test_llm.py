@@ -128,6 +128,10 @@ def test_cut_texts(spark):
     assert got == {41, 42}
 
 
+def test_long_links_come_off():
+    assert truncation.author_end(["The lid broke after three https://a.example/" + "x" * 400]) == "The lid broke after three"
+
+
 def test_hidden_limit(spark):
     r = random.Random(1)
     rows = spark.createDataFrame([(r.randint(60, 200),) for _ in range(2000)] + [(140,)] * 200, "characters int")
