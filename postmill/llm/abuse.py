@@ -36,6 +36,12 @@ imbecis lixo otario otarios palhaco palhacos babaca babacas vagabundo vagabundos
 # Sequences of terms by category. A blank stands for nothing, "_" for up to four words and "__" for up to ten; {I} is any insult, {G} any group.
 PATTERNS = {
     "abuse": """
+i|ill|we|somebody _ kill|murder|stab|strangle|shoot|hurt you|him|her|them; slit your|his|her throat; burn your|his|her|their house; watch your back; you|he|she|they deserve|deserves to die|suffer; hope you|he|she|they _ die|dies|suffer|suffers|burn|rot; go die; go hang yourself; go to hell; fuck you; you _ piece of shit|garbage|trash|filth; you are|re _ pathetic|worthless|disgusting|subhuman|vermin; you pathetic|worthless|disgusting|stupid|ugly|fat|dumb _ cow|pig|fool|fools|person|people|creature|woman|man|human|brat; stupid|ugly|fat|dumb cow|bitch|whore|slut; nobody would miss you; world _ better without you;
+bring|bringe dich|euch um; stech|steche dich ab; schlag|schlage dich|euch tot; fick dich; verpiss dich; stirb endlich; verrecke|verreckt; dreckiges|dummes schwein; du bist _ abschaum|wertlos|ekelhaft|erbarmlich; dumme|blode|fette kuh|schlampe|hure;
+voy a matarte|mataros; te voy a matar|romper|partir; hijo|hija|hijos de puta; vete a la mierda; ojala te mueras|pudras; muerete; eres _ patetico|patetica|asqueroso|asquerosa|escoria; puta gorda|asquerosa|zorra;
+vais te|vous tuer|crever; je te|vous tue|tuerai|creve; va te faire foutre; fils de pute; nique ta mere; tu es _ pathetique|minable|degoutant|degoutante; sale pute|conne|connard|porc; creve charogne;
+ti|vi ammazzo|uccido|spacco; figlio|figlia|figli di puttana; vai a farti fottere; sei _ patetico|patetica|schifoso|schifosa; devi morire; fai schifo _ persona|gente; brutta|lurida troia|puttana|vacca;
+vou te matar|quebrar|arrebentar; filho|filha|filhos da puta; vai se foder; vai tomar no cu; voce e _ patetico|patetica|nojento|nojenta; voce merece morrer|sofrer; sua vaca|puta|vadia;
 you _ {I}; your _ {I}; {I} _ you; every|all _ {I}; of you __ {I}; manager|rep|courier|agent|person|staff|cashier|clerk|guy|woman|boss|driver|owner|seller _ {I}; these|those|such|bunch _ {I}; lying|worthless|complete|utter {I};
 hope|hopes _ chokes|choke|dies|die; whoever _ chokes|choke; chokes on it; break|breaks|smash _ fingers|legs|bones|arms|teeth|neck; find|finds out where _ sleeps|lives; make|makes them|him|her|you sorry; too dim|stupid|dumb|thick to breathe|live; walk into traffic; shut your|that mouth|trap|face; shut up; drop dead; kill yourself|yourselves; rot in hell; beat|punch _ up|face; deserve|deserves _ beating|thrashing; spit on you;
 ojala __ ahogue|ahoguen|muera|mueran; callate|callaos; cierra la boca; merecen|merece _ paliza|hostia; ojala os echen; basura humana; sois _ {I}; esos|estos|unos|todos|sus|tus {I}; eres _ {I}; son _ {I}; pedazo de {I}; romperle|romper|partir _ dedos|piernas|cara|dientes; se donde vives|vive;
@@ -45,6 +51,12 @@ ci si strozzi; si strozzi|strozzino con; chiudi _ bocca; stai zitto|zitta; pezzo
 se engasgue|engasguem; tomara que __ engasgue|morra|engasguem; cala|calem _ boca; lixo humano; voces sao _ {I}; voce e _ {I}; deviam sumir|morrer; merecem|merece _ surra; esses|aqueles|seus|uns|todos {I}; seu|sua {I}; bando de {I}; quebrar|quebrem _ dedos|pernas|dentes; cuspo em
 """,
     "hate": """
+all|every|these|those|you {G} _ deserve|must|should _ die|burn|hang|disappear; {G} _ subhuman|inferior|disease|plague|savages|parasites; no {G} allowed|wanted; {G} _ ruin|ruined|destroy|destroyed _ country|nation; {G} _ not human; dirty|filthy|stinking|bloody {G}; {G} belong in|back _ kitchen|zoo|cage|jungle; {G} _ too stupid|lazy|dirty to; get rid of _ {G}; {G} _ lower race;
+{G} _ abschieben|vergasen|untermenschen|parasiten|pest; dreckige|dreckigen|verdammte|verfluchte {G}; hasse alle|diese {G}; {G} gehoren _ kuche|kafig|gas|lager; {G} _ minderwertig|minderwertige;
+{G} _ plaga|inferiores|parasitos; putos|sucios|malditos|asquerosos {G}; odio a _ {G}; {G} _ raza inferior;
+{G} _ inferieurs|parasites; sales {G}; hais|deteste tous|toutes|ces les|{G}; {G} _ race inferieure;
+{G} _ inferiori|parassiti; sporchi|maledetti|luridi {G}; odio tutti _ {G}; {G} _ razza inferiore;
+{G} _ inferiores|parasitas; sujos|malditos|nojentos {G}; odeio todos|esses|estes {G}; {G} _ raca inferior;
 {G} _ born thieves|criminals|liars; born thieves _ them; {G} __ vermin|filth|scum|filthy|animals|rats|cockroaches; they are vermin|filth|animals; that lot __ vermin; breed like rats|rabbits|vermin; filthy lot; throw|kick|send|get _ {G} _ out|back; throw|kick every|all _ out of the country; better off before _ allowed; have no business _ brains|anything; {G} _ brains _ small; hired _ filthy; {G} should|must _ deported|exterminated|shot|gassed; gas the; hate all _ {G}; {G} _ go back to;
 ladrones de nacimiento; echar|expulsar|sacar del pais a; habria que echar|expulsar _ pais; {G} _ ladrones|ratas|escoria|plaga|basura; crian|reproducen como ratas|conejos; tipico de los _ ladrones|vagos;
 geborene|geborenen diebe|verbrecher; aus dem land gejagt|geworfen|vertrieben; pack gehort; {G} _ ungeziefer|ratten|abschaum|diebe|gesindel; vermehren sich wie ratten|karnickel|kaninchen; {G} _ raus;
@@ -53,6 +65,12 @@ ladri dalla nascita; ladri nati; cacciare|buttare|cacciati _ paese; bisognerebbe
 ladroes de nascenca; ladroes natos; expulsar|expulsos|botar|enxotar _ pais; deveriam|devia|deviam expulsar _ pais; {G} _ vermes|ratos|escoria|ladroes; reproduzem como ratos|coelhos
 """,
     "sexual": """
+blowjob|blowjobs|handjob|gangbang|cumshot|deepthroat|masturbating|masturbated; nude|naked|topless girls|women|teens|wives|webcam; hard|erect|throbbing cock|dick|penis; wet|tight pussy|cunt; spread her|my|your|his legs _ wide|fuck|naked; cum|came in|on|inside her|his|my|your _ mouth|face|tits|pussy; sex tape|chat|cam|slave; paid sex; sex for money|cash; ride|riding my|his|your cock|dick; take off my|her|your panties|bra|underwear _ show|cam|naked|slowly;
+steifer|steifen|harter schwanz; nackte frauen|madchen|weiber; geile titten; sex chat|treffen|cam; sex gegen geld; schwanz lutschen|blasen; muschi lecken|ficken;
+chupar|chupame|chupa la|mi polla|verga; chicas|mujeres desnudas; sexo por dinero|webcam; follarte|follarme duro|toda|esta;
+suce|sucer ma|sa|mon bite|queue; filles|femmes nues; sexe contre|par argent|webcam; te baiser|lecher toute|partout|fort;
+succhiami|succhiare il|mio cazzo; ragazze|donne nude; sesso a|per pagamento|soldi; scoparti|scoparmi tutta|forte;
+chupa|chupar meu|o pau; garotas|meninas|mulheres nuas|peladas; sexo por dinheiro|webcam; te foder|comer toda|gostoso;
 used|worn panties|underwear|knickers _ pay|buy|sell; sell _ used panties|underwear|knickers; nude|naked|topless pics|pictures|photos|selfies|videos; pics|photos nude|naked; cam show _ naked|nude|wet|wild; fully|totally naked|nude after|on; licking|lick|sucking|kissing _ naked body; every inch of her|his; so horny; horny _ sex; had|have sex _ on|with|in|twice; want|wants|wanna to fuck; hot singles _ fuck|tonight|sex; fuck|fucking _ tonight|me|hard; suck my|his dick|cock; blow|hand job; anal|oral sex; dick|cock|pussy pic|pics; porn _ video|watch|site; tits _ show|pics|out;
 fotos desnuda|desnudas|desnudo; fotos _ desnuda|desnudas; quieren|quiero|quiere follar; follar esta noche; solteras calientes _ follar|noche; bragas usadas; desnuda _ camara; tan cachondo|cachonda; tuve sexo|relaciones en|con; lamiendo|lamer _ cuerpo desnudo; todo por camara;
 nacktbilder; nacktfotos; wollen|will|wollte _ ficken; heute nacht ficken; geile singles|girls|frauen|manner; getragene slips|hoschen|unterwasche; nackt vor der kamera; so geil dass; so geil _ sex; hatte sex auf|mit; nackten korper _ lecken; leckte|lecken _ nackten korper; vor der kamera _ alles;

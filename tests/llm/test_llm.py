@@ -182,6 +182,18 @@ def test_abuse(text, found):
     assert {c for c, v in abuse.Scorer().text(text).items() if v >= 0.5} == found
 
 
+@pytest.mark.parametrize(
+    ("text", "category"),
+    [
+        ("I will kill you all tonight.", "abuse"), ("Ich bringe dich um.", "abuse"), ("Te voy a matar.", "abuse"), ("Je vais te tuer.", "abuse"), ("Ti ammazzo se torni.", "abuse"), ("Vou te matar.", "abuse"), ("Nobody would miss you.", "abuse"),
+        ("Those immigrants should burn.", "hate"), ("Women belong in the kitchen.", "hate"), ("Get rid of all the refugees.", "hate"), ("Nackte Frauen live.", "sexual"), ("She gave me a blowjob for the refund.", "sexual"),
+        ("This kettle is a piece of garbage.", None), ("The battery died and the cable could hurt someone.", None), ("The naked wire is dangerous.", None),
+    ],
+)
+def test_sentences_taken_from_no_data(text, category):
+    assert {c for c, v in abuse.Scorer().text(text).items() if v >= 0.5} == ({category} if category else set())
+
+
 @pytest.mark.parametrize(
     ("text", "abusive"),
     [
