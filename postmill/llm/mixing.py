@@ -143,10 +143,10 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source with a target."""
-    used = materialise(p9_mixture(spark, sf_dir)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
+    used = materialise(p9_mixture(spark, sf_dir).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses")))
     rows = table(spark, sf_dir, "source_targets").join(used, "source", "left")
-    total = used.agg(F.sum("tokens").alias("total"))
-    return rows.join(F.broadcast(total)).select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("total")).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
+    total = F.lit(used.agg(F.sum("tokens")).first()[0])  # one number
+    return rows.select("source", "target_share", (F.coalesce("tokens", F.lit(0)) / total).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
 
 
 QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
