@@ -159,6 +159,7 @@ class Lexicon:
         self.exact = frozenset(t for _, steps in self.patterns for s in steps if not isinstance(s, int) for t in s)
         # Short and common words of the patterns only count when spelled right.
         strong = insults | {t for c, steps in self.patterns if c != "abuse" for s in steps if not isinstance(s, int) for t in s if len(t) >= 3} | {t for s in self.patterns for x in s[1] if not isinstance(x, int) for t in x if len(t) >= 6}
+        self.strong = frozenset(strong)
         self.trie: dict = {}
         for t in strong:
             node = self.trie
@@ -170,16 +171,19 @@ class Lexicon:
             for t in strong:
                 for k in shortened(t, most) if len(t) >= (3 if most == 1 else 7) else ():
                     index.setdefault(k, set()).add(t)
+        self.later = [[x for x in steps[1:] if not isinstance(x, int)] for _, steps in self.patterns]
         self.first: dict[str, list[int]] = {}
         for i, (_, steps) in enumerate(self.patterns):
             for t in steps[0]:
                 self.first.setdefault(t, []).append(i)
 
     def near(self, word: str, most: int) -> set[str]:
-        """Terms within ``most`` edits of a word; a star in the word stands for any letter. Same first letter.
+        """Terms within ``most`` edits of a word; a star in the word stands for any letter. The first letter must be the same.
 
         The automaton's state is the row of edits that the prefix read so far needs; a branch of the trie ends where every entry is above ``most``.
         """
+        if not most and "*" not in word:
+            return {word} & self.strong
         found: set[str] = set()
         stack = [(self.trie.get(word[0]), [min(most + 1, abs(i - 1)) for i in range(len(word) + 1)])] if word and word[0] in self.trie else []
         while stack:
@@ -305,9 +309,16 @@ class Scorer:
                     hits[i] = frozenset(x for k in (1, 2) for x in self.lexicon.near(fold(t)[k:], 0))
         out: dict[str, float] = {}
         spots = None
+        # A pattern is only followed if the sentence holds a term of each of its steps.
+        present = frozenset().union(*hits)
+        possible: dict[int, bool] = {}
         for i, h in enumerate(hits):
             for t in h:
                 for p in self.lexicon.first.get(t, ()):
+                    if p not in possible:
+                        possible[p] = not any(x.isdisjoint(present) for x in self.lexicon.later[p])
+                    if not possible[p]:
+                        continue
                     category, steps = self.lexicon.patterns[p]
                     if out.get(category) == 1.0:
                         continue
