@@ -1,10 +1,8 @@
 """Problem 4: personal information in free text.
 
-Two learned models read every text whole. The first is linear: it scores each word by the words around it, in numpy over all words at once,
-and is set to pass 99.7 % of the spans it was tested on. Where it fires, with room on both sides, a character-level bidirectional LSTM
-reads overlapping windows; the windows are decoded under CRF transitions, and where they overlap, the window in which a character stands further
-from the edge decides, over the whole batch. Both are trained by ``train_tagger`` on text it makes itself. A last check rejects what contradicts
-a kind (a phone number without digits, a name with digits or function words) and names that are brands.
+A learned model, a bidirectional LSTM with CRF transitions over words (``reader``), reads every word of every text and tags it; nothing is chosen before.
+It is trained by ``train_reader`` on text made for it. A last check rejects what contradicts a kind (a phone number without digits,
+a name with digits or function words) and names that are brands.
 """
 
 from __future__ import annotations
@@ -23,9 +21,10 @@ from pyspark.sql import functions as F
 from postmill.llm.boilerplate import STOP
 from postmill.llm.canon import canonicalise
 from postmill.llm.common import if_small, materialise, strings, table
-from postmill.llm.tagger import KINDS, WIDTH, decode, emissions, encode, word_scores
+from postmill.llm.reader import spans
+from postmill.llm.tagger import KINDS
 
-STRIDE, ROOM, BATCH = 40, 24, 256
+PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 # Particles and titles in names.
 PARTICLES = frozenset("de di da do dos das del della van von der den la le du al bin el dr mr mrs ms san".split())
@@ -46,15 +45,19 @@ def weights() -> dict[str, np.ndarray]:
         return {k: f[k] if f[k].dtype.kind == "U" else f[k].astype(np.float32) for k in f.files}
 
 
-def whole(text: str, a: int, b: int, lo: int, hi: int) -> tuple[int, int]:
-    """A span between ``lo`` and ``hi`` widened to whole words, without the marks at its ends."""
-    while a > lo and text[a - 1].isalnum() and text[a].isalnum():
-        a -= 1
-    while b < hi and text[b - 1].isalnum() and text[b].isalnum():
-        b += 1
-    while a < b and text[a] in " ,;:\n":
+@lru_cache(maxsize=1)
+def model(path: str | None = None) -> tuple[dict[str, np.ndarray], dict[str, list[str]]]:
+    """The weights of the reader and the names of its traits."""
+    with np.load(path or io.BytesIO(pkgutil.get_data("postmill.llm", "reader_weights.npz"))) as f:
+        names = {k.removeprefix("names_"): str(f[k]).split("\n") for k in f.files if k.startswith("names_")}
+        return {k: f[k].astype(np.float32) for k in f.files if not k.startswith("names_")}, names
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span without the marks at its ends; a bracket of which the other half is inside stays, as do a plus sign and a number sign."""
+    while a < b and not (text[a].isalnum() or text[a] in "+#" or (text[a] in PAIRS and PAIRS[text[a]] in text[a + 1 : b])):
         a += 1
-    while a < b and text[b - 1] in " ,;:.\n":
+    while a < b and not (text[b - 1].isalnum() or any(text[b - 1] == close and text[a : b - 1].count(start) >= text[a:b].count(close) for start, close in PAIRS.items())):
         b -= 1
     return a, b
 
@@ -91,56 +94,11 @@ def valid(kind: str, span: str) -> bool:
 
 def read(texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The spans (kind, start, end) of each text."""
-    w = weights()
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    doc, first, end, score = word_scores(pa.array(texts, pa.large_string()), w)
-    hit = np.flatnonzero(score >= w["scorer_limit"])
-    if not len(hit):
-        return found
-    # From here on, positions are those of all texts one after the other, with a line break between two.
-    joined = "\n".join(texts)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    base = np.concatenate([[0], np.cumsum(sizes + 1)])
-    lo, hi = base[doc[hit]], base[doc[hit]] + sizes[doc[hit]]
-    a, b = np.maximum(lo, lo + first[hit] - ROOM), np.minimum(hi, lo + end[hit] + ROOM)
-    # Segments that meet are one; those of different texts never meet.
-    fresh = np.concatenate([[True], (a[1:] > np.maximum.accumulate(b)[:-1]) | (doc[hit][1:] != doc[hit][:-1])])
-    a, b = a[fresh], np.maximum.reduceat(b, np.flatnonzero(fresh))
-    count = np.maximum(1, -(-(b - a - WIDTH) // STRIDE) + 1)
-    owner = np.repeat(np.arange(len(a)), count)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    # The last window of a long segment ends with it.
-    start = np.maximum(a[owner], np.minimum(a[owner] + number * STRIDE, b[owner] - WIDTH))
-    codes = np.append(encode(joined), np.zeros(WIDTH, np.int16))
-    spots = start[:, None] + np.arange(WIDTH)
-    inside = spots < b[owner][:, None]
-    grid = np.where(inside, codes[np.minimum(spots, len(codes) - 1)], 0).astype(np.int16)
-    paths = np.concatenate([decode(w, emissions(w, grid[k : k + BATCH])) for k in range(0, len(grid), BATCH)])
-    busy = np.zeros(len(a), bool)
-    busy[owner[paths.any(1)]] = True
-    use = np.flatnonzero(busy[owner])
-    if not len(use):
-        return found
-    # At the ends of a segment there is no other window, so the edge there is no reason for doubt.
-    place = np.arange(WIDTH)
-    left = np.where((start[use] == a[owner[use]])[:, None], WIDTH, place[None, :])
-    right = np.where((start[use] + WIDTH >= b[owner[use]])[:, None], WIDTH, (WIDTH - 1 - place)[None, :])
-    trust = np.minimum(left, right)
-    keep = inside[use]
-    at, tag, trust = spots[use][keep], paths[use][keep], trust[keep]
-    order = np.argsort(trust, kind="stable")
-    tags = np.zeros(len(codes) + 1, np.int8)
-    tags[at[order]] = tag[order]  # the last to be written is the most trusted
-    kinds = (tags + 1) // 2
-    begins = (kinds > 0) & (np.diff(kinds, prepend=0) != 0)
-    begins |= (kinds > 0) & (tags % 2 == 1) & (np.concatenate([[0], tags[:-1]]) % 2 == 0)
-    cuts = np.flatnonzero(begins | (np.diff(kinds, prepend=0) != 0))
-    for x, y in zip(cuts, [*cuts[1:], len(tags)]):
-        if kinds[x]:
-            i = int(np.searchsorted(base, x, "right")) - 1
-            s, e = whole(joined, int(x), min(int(y), int(base[i] + sizes[i])), int(base[i]), int(base[i] + sizes[i]))
-            if s < e and (kind := settled(KINDS[kinds[x] - 1], joined[s:e])):
-                found[i].append((kind, s - int(base[i]), e - int(base[i])))
+    for i, k, a, b in spans(pa.array(texts, pa.large_string()), *model()):
+        a, b = trimmed(texts[i], a, b)
+        if a < b and (kind := settled(KINDS[k], texts[i][a:b])):
+            found[i].append((kind, a, b))
     return found
 
 

@@ -50,11 +50,11 @@ def new_weights(embed: int = 14, hidden: int = 36, seed: int = 1) -> dict[str, n
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _lstm(w, d, ids, keep):
-    """Hidden states (time first); gates in the order input, forget, output, new."""
+def _lstm(w, d, ids, keep, into=None):
+    """Hidden states (time first); gates in the order input, forget, output, new. ``into`` is what each code adds to the gates, if that is known."""
     t, n = ids.shape
     size = w["h" + d].shape[0]
-    into, across = w["emb"] @ w["x" + d] + w["b" + d], w["h" + d]
+    into, across = w["emb"] @ w["x" + d] + w["b" + d] if into is None else into, w["h" + d]
     h, c = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
     hs = np.empty((t, n, size), np.float32)
     kept = []
@@ -147,10 +147,10 @@ def gradients(w, ids: np.ndarray, tags: np.ndarray):
     size = f.shape[2]
     g["out"] = np.concatenate([np.einsum("tnh,tnk->hk", f, de, optimize=True), np.einsum("tnh,tnk->hk", b, de, optimize=True)])
     g["ob"] = de.sum((0, 1))
-    demb = np.zeros((VOCABULARY, w["emb"].shape[1]), np.float32)
+    demb = np.zeros(w["emb"].shape, np.float32)
     for d, kept, dh_all in (("f", kf, de @ w["out"][:size].T), ("b", kb, de @ w["out"][size:].T)):
         dh, dc = np.zeros((n, size), np.float32), np.zeros((n, size), np.float32)
-        into = np.zeros((VOCABULARY, 4 * size), np.float32)
+        into = np.zeros((len(w["emb"]), 4 * size), np.float32)
         for i, gate, before, tc, hb in reversed(kept):
             dh = dh + dh_all[i]
             gi, gf, go, gn = (gate[:, k * size : (k + 1) * size] for k in range(4))

@@ -100,14 +100,53 @@ STREET = {
     "it": ["Via", "Viale", "Piazza", "Corso", "Vicolo", "Largo", "Strada", "V."], "pt": ["Rua", "Avenida", "Travessa", "Praça", "Largo", "R.", "Alameda", "Av."],
 }
 
+# More given names of many regions, from general knowledge.
+GIVEN += "Aaron Abdul Ada Adam Adele Adriana Agnes Agnieszka Aiko Alan Albert Alejandro Aleksandra Alex Alexander Alfonso Alfred Ali Alina Amelia Amina Amir Amit Amy Andrea Andrew Angela Angelo Anita Anja Anke Annika Antoine Anya Ariel Armando Arthur Asha Ashley Aurora Ava Ayesha Barbara Bastian Beata Ben Benedikt Benjamin Bernd Bianca Bogdan Boris Brenda Bruno Caio Caleb Carla Carlo Carol Caroline Catherine Cecilia Charles Charlotte Chloe Christian Christine Claudia Colin Connor Cristina Damian Daniela Danilo Daria Davide Deborah Denis Denise Diana Dirk Dominik Donna Dorothea Duarte Eduardo Edward Eleanor Elias Elisa Elizabeth Ella Emil Emilia Emily Emmanuel Enrico Enzo Eric Erik Erika Esther Eva Evan Fabian Farah Federico Fernanda Fernando Filip Fiona Florian Frances Francisco Franco Frank Franz Freya Frida Gabriel Gabriela George Georg Gerald Gianna Gisela Giuseppe Gloria Gregor Guilherme Gustavo Hana Hannah Hans Harald Harry Heather Hector Heidi Helen Helena Helga Henrik Hermann Ian Ibrahim Igor Imran Inga Irina Isaac Isabel Ismael Ivana Jack Jacob Jakob Jan Jana Jane Janet Jason Jasmin Jennifer Jens Jin Joana Joaquín Johan Johanna John Jorge Joseph Joshua Josefine Juan Judith Jun Kaito Karen Karim Karin Katja Katrin Keiko Kenji Kiran Klaus Konrad Kristina Lars Lea Leandro Leo Leon Leonie Lena Leticia Lina Linda Lisa Lorenzo Louis Louise Lorena Lucas Luigi Luis Luisa Luka Lydia Magda Magnus Malik Manuela Marcel Marcos Marek Margarida Mariana Marina Mario Marion Mark Markus Martha Martina Mary Mathilde Matthias Mauro Max Melanie Mia Mina Mira Mohamed Moritz Nadia Naoki Natalia Nathan Neil Nicole Nikolai Nils Nora Norbert Oliver Otto Ousmane Patricia Patrick Paula Paulo Philip Priya Qing Rachel Ralf Ramón Rania Rebecca Renata Ricardo Richard Rita Rosie Roland Rolf Romain Ryan Salma Samira Samuel Sandra Sandro Sarah Sebastian Selma Sergei Silke Silvia Sina Stefania Stephan Stella Steven Sven Svenja Sylvie Tamara Tania Tanja Tariq Tatiana Theo Thiago Tim Tobias Tom Tomoko Toni Ulrike Ursula Valeria Vanessa Vera Veronica Victor Victoria Vikram Vincent Viktor Vivian Walter Wanda Wolfgang Xavier Yara Yasmin Ying Yves Zainab Zoe Zofia".split()
+# Nouns for numbers of each kind (O: numbers of no kind), and what surrounds a noun {n} and its number {} of any kind, so that the noun and the format tell the kind and the wording does not.
+NOUNS = {
+    "en": {"P": "phone|phone number|mobile|mobile number|cell|landline|number|home phone|work phone|fax", "I": "passport|passport number|national ID|ID|ID card|ID number|social security number|SSN|tax ID|tax number|tax reference|driving licence|driver's license|insurance number|national insurance number|NHS number|Aadhaar|Aadhaar number|identity card|health card|residence permit|PAN", "O": "order|order number|parcel|parcel number|tracking|tracking number|shipment|lot|batch|serial|serial number|model|invoice|ticket|case|case number|booking|reference|voucher code|item|part number|customer number|contract|transaction|coupon|delivery|receipt"},
+    "de": {"P": "Telefon|Telefonnummer|Handy|Handynummer|Mobilnummer|Nummer|Festnetz|Durchwahl|Rufnummer", "I": "Pass|Reisepass|Passnummer|Ausweis|Ausweisnummer|Personalausweis|Personalausweisnummer|Steuer-ID|Steuernummer|Sozialversicherungsnummer|Rentenversicherungsnummer|Krankenversichertennummer|Versichertennummer|Führerschein|Führerscheinnummer|Identifikationsnummer|Aufenthaltstitel", "O": "Bestellung|Bestellnummer|Sendung|Sendungsnummer|Paket|Paketnummer|Charge|Seriennummer|Modell|Rechnung|Ticket|Vorgang|Buchung|Gutschein|Artikelnummer|Kundennummer|Vertrag|Lieferung|Auftrag|Beleg"},
+    "es": {"P": "teléfono|móvil|número|número de teléfono|fijo|celular|WhatsApp|número de móvil", "I": "pasaporte|número de pasaporte|DNI|NIE|NIF|documento de identidad|documento|carné de identidad|número de la seguridad social|seguridad social|cédula|identificación fiscal|CURP|RUT|permiso de conducir|tarjeta sanitaria|número fiscal", "O": "pedido|número de pedido|envío|seguimiento|paquete|lote|serie|número de serie|modelo|factura|incidencia|reserva|referencia|cupón|artículo|contrato|cliente|entrega|ticket|recibo"},
+    "fr": {"P": "téléphone|portable|numéro|numéro de téléphone|fixe|mobile|ligne directe", "I": "passeport|numéro de passeport|carte d'identité|numéro d'identité|pièce d'identité|numéro de sécurité sociale|numéro de sécu|sécurité sociale|numéro fiscal|identifiant fiscal|NIR|permis de conduire|titre de séjour|carte vitale|carte nationale d'identité", "O": "commande|numéro de commande|colis|suivi|numéro de suivi|envoi|lot|série|numéro de série|modèle|facture|ticket|dossier|réservation|référence|bon|article|contrat|client|livraison|reçu"},
+    "it": {"P": "telefono|cellulare|numero|numero di telefono|fisso|recapito telefonico", "I": "passaporto|numero di passaporto|carta d'identità|codice fiscale|documento|documento d'identità|tessera sanitaria|patente|numero della patente|permesso di soggiorno|numero di previdenza sociale|numero fiscale", "O": "ordine|numero d'ordine|spedizione|tracciamento|pacco|lotto|serie|numero di serie|modello|fattura|pratica|prenotazione|riferimento|buono|articolo|contratto|cliente|consegna|biglietto|ricevuta"},
+    "pt": {"P": "telefone|celular|telemóvel|número|número de telefone|fixo|WhatsApp", "I": "passaporte|número do passaporte|CPF|RG|NIF|cartão de cidadão|bilhete de identidade|documento de identidade|documento|segurança social|número da segurança social|contribuinte|carta de condução|identidade|INSS|título de residência|número fiscal", "O": "pedido|número do pedido|encomenda|envio|rastreio|pacote|lote|série|número de série|modelo|fatura|processo|reserva|referência|cupom|artigo|contrato|cliente|entrega|bilhete|recibo"},
+}
+FRAMES = {
+    "en": "my {n} {}|my {n} is {}|{n} {}|{n}: {}|{n} no. {}|the {n}, {}, is known|they wanted my {n} so they got {}|{n} {} was visible to everyone|she has my {n} {}|{n} {} and nothing else|why does {n} {} turn up here|{} as {n}|{} is my {n}|look up {n} {}|about {n} {} nobody knows anything|he read out my {n} {} aloud|on it stood my {n} {}|{n} {} leaked|{n} {} is lost|for my {n} I typed {}|the form has {n} {} on it|I had to give {n} {} twice|{n} {} again|a page with {n} {} in plain sight|{n} number {}",
+    "de": "meine {n} {}|mein {n} ist {}|{n} {}|{n}: {}|{n} Nr. {}|die {n}, {}, ist bekannt|sie wollten meine {n}, also {}|{n} {} war für alle sichtbar|er hat meine {n} {}|{n} {} und sonst nichts|warum taucht {n} {} hier auf|{} als {n}|{} ist meine {n}|zu {n} {} weiß keiner etwas|er las meine {n} {} laut vor|darauf stand meine {n} {}|{n} {} ist durchgesickert|{n} {} ist weg|als {n} tippte ich {}|meine {n} {} wurde weitergegeben|im Formular steht {n} {}|{n} {} fehlt",
+    "es": "mi {n} {}|mi {n} es {}|{n} {}|{n}: {}|{n} n.º {}|el {n}, {}, ya se sabe|querían mi {n} y les di {}|{n} {} a la vista de todos|tiene mi {n} {}|{n} {} y nada más|por qué aparece el {n} {} aquí|{} como {n}|{} es mi {n}|del {n} {} nadie sabe nada|leyó mi {n} {} en voz alta|ponía mi {n} {}|se filtró el {n} {}|el {n} {} se perdió|de {n} escribí {}|en el impreso sale el {n} {}",
+    "fr": "mon {n} {}|mon {n} est {}|{n} {}|{n} : {}|{n} n° {}|le {n}, {}, est connu|ils voulaient mon {n}, alors {}|{n} {} visible par tous|il a mon {n} {}|{n} {} et rien d'autre|pourquoi {n} {} apparaît ici|{} comme {n}|{} est mon {n}|sur {n} {} personne ne sait rien|il a lu mon {n} {} à voix haute|il y avait mon {n} {}|{n} {} a fuité|la {n} {} est perdue|pour {n} j'ai mis {}|sur le papier, {n} {}",
+    "it": "il mio {n} {}|il mio {n} è {}|{n} {}|{n}: {}|{n} n. {}|il {n}, {}, è noto|volevano il mio {n} e ho dato {}|{n} {} visibile a tutti|ha il mio {n} {}|{n} {} e nient'altro|perché compare {n} {} qui|{} come {n}|{} è il mio {n}|del {n} {} nessuno sa niente|ha letto il mio {n} {} ad alta voce|c'era scritto il mio {n} {}|{n} {} è trapelato|il {n} {} è perso|come {n} ho messo {}|sul modulo c'è {n} {}",
+    "pt": "meu {n} {}|meu {n} é {}|{n} {}|{n}: {}|{n} n.º {}|o {n}, {}, é conhecido|queriam o meu {n} e dei {}|{n} {} à vista de todos|ele tem o meu {n} {}|{n} {} e mais nada|por que aparece {n} {} aqui|{} como {n}|{} é o meu {n}|do {n} {} ninguém sabe nada|leu o meu {n} {} em voz alta|estava escrito o meu {n} {}|vazou o {n} {}|o {n} {} sumiu|como {n} pus {}|no formulário está {n} {}",
+}
+# Sentences around phone numbers, addresses, e-mails and names without a noun for them, made of a beginning and an end.
+LOOSE = {
+    "en": {"P": "call|phone me on|they keep calling|stop texting|someone dialled|I answered|a call from|try|best after noon:|she rang from|reach us at|still getting calls on", "A": "it went to|deliver it to|they sent it to|the driver went to|I live at|we rent|the box is at|bring it back to|the bill went to|wrong house:|come and look:|not far from|my parents live at|it was left at", "E": "mail|write to|send it to|reply to|ask|the account is under|everything goes to|cc|it was sent from|pm me or", "N": "I talked to|thanks to|it was signed by|a colleague,|ask for|I know|the bill is made out to|according to|nobody but|a visit from|I blame|the technician,|we met|they passed me on to|yours,|complaint handled by", "end": "|!| twice| and waited| but no answer| instead of the right one| even after I said no| if you still have it| when you can| for a week now| who was patient| explained the rest| never replied| was rude to me| came by yesterday| fixed it in minutes| please"},
+    "de": {"P": "ruft an:|ständig Anrufe auf|bitte nur|jemand wählte|Rückruf unter|am besten abends:|versucht es unter|es klingelt dauernd unter", "A": "es ging an|liefert es an|der Fahrer war in der|ich wohne|wir mieten|die Kiste steht|bringt es zurück in die|die Rechnung ging an|falsches Haus:|kommt vorbei:|nicht weit von|abgestellt wurde es", "E": "schreibt an|schickt es an|antwortet an|mein Konto läuft unter|alles geht an|Kopie an|es kam von", "N": "ich sprach mit|dank|unterschrieben von|ein Kollege,|fragt nach|ich kenne|die Rechnung lautet auf|laut|niemand außer|Besuch von|der Techniker,|wir trafen|man verband mich mit|eure|bearbeitet von|auch", "end": "|!| zweimal| und gewartet| aber keine Antwort| statt an die richtige| obwohl ich nein sagte| wenn ihr ihn noch habt| seit einer Woche| war geduldig| hat den Rest erklärt| hat nie geantwortet| war unhöflich| kam gestern vorbei| hat es gerichtet| bitte"},
+    "es": {"P": "llamad:|llaman sin parar al|solo por las tardes:|alguien marcó|contesté al|una llamada del|probad en el|sigue sonando el", "A": "fue a parar a|llevadlo a|el conductor fue a|vivo en|alquilamos en|la caja está en|devolvedlo a|la factura llegó a|casa equivocada:|pasad a ver:|cerca de|lo dejaron en", "E": "escribid a|mandadlo a|responded a|la cuenta está a nombre de|todo va a|copia a|llegó desde", "N": "hablé con|gracias a|lo firmó|un compañero,|preguntad por|conozco a|la factura va a nombre de|según|nadie salvo|una visita de|el técnico,|vimos a|me pasaron con|vuestra,|lo gestionó|también", "end": "|!| dos veces| y esperé| pero nada| en vez del correcto| aunque dije que no| si aún lo tenéis| desde hace una semana| fue paciente| explicó lo demás| nunca respondió| fue grosero| vino ayer| lo arregló| por favor"},
+    "fr": {"P": "appelez :|ils appellent sans arrêt le|plutôt le soir :|quelqu'un a composé le|un appel du|essayez le|ça sonne encore au", "A": "c'est parti au|livrez-le au|le chauffeur est allé au|j'habite|nous louons|le carton est au|rapportez-le au|la facture est arrivée au|mauvaise maison :|venez voir :|pas loin du|déposé au", "E": "écrivez à|envoyez-le à|répondez à|le compte est au nom de|tout part à|copie à|reçu de", "N": "j'ai eu|grâce à|signé par|un collègue,|demandez|je connais|la facture est au nom de|d'après|personne sauf|une visite de|le technicien,|on a croisé|on m'a passé|votre|traité par|aussi", "end": "|!| deux fois| et attendu| sans réponse| au lieu du bon| alors que j'ai dit non| si vous l'avez encore| depuis une semaine| a été patient| a expliqué le reste| n'a jamais répondu| était impoli| est passé hier| l'a réparé| s'il vous plaît"},
+    "it": {"P": "chiamate:|chiamano di continuo il|meglio la sera:|qualcuno ha fatto il|una chiamata dal|provate al|squilla ancora lo", "A": "è finito in|portatelo in|l'autista è andato in|abito in|affittiamo in|la scatola è in|riportatelo in|la fattura è arrivata in|casa sbagliata:|venite a vedere:|vicino a|lasciato in", "E": "scrivete a|mandatelo a|rispondete a|il conto è a nome di|tutto va a|copia a|arrivato da", "N": "ho sentito|grazie a|firmato da|un collega,|chiedete di|conosco|la fattura è intestata a|secondo|nessuno tranne|una visita di|il tecnico,|abbiamo incontrato|mi hanno passato|vostra|gestito da|anche", "end": "|!| due volte| e ho aspettato| senza risposta| invece di quello giusto| anche se ho detto no| se l'avete ancora| da una settimana| è stato paziente| ha spiegato il resto| non ha mai risposto| è stato scortese| è passato ieri| l'ha riparato| per favore"},
+    "pt": {"P": "liguem:|ligam sem parar para|melhor à noite:|alguém marcou|uma chamada do|tentem o|ainda toca o", "A": "foi parar à|levem para|o motorista foi à|moro na|alugamos na|a caixa está na|devolvam na|a fatura chegou à|casa errada:|venham ver:|perto da|deixado na", "E": "escrevam para|mandem para|respondam a|a conta está em nome de|tudo vai para|cópia para|veio de", "N": "falei com|graças a|assinado por|um colega,|perguntem por|conheço|a fatura está em nome de|segundo|ninguém exceto|uma visita de|o técnico,|encontramos|passaram-me a|vossa|tratado por|também", "end": "|!| duas vezes| e esperei| sem resposta| em vez do certo| embora eu tenha dito não| se ainda o tiverem| há uma semana| foi paciente| explicou o resto| nunca respondeu| foi grosseiro| passou ontem| consertou| por favor"},
+}
+# More clauses without spans: counts and times of things, brands and towns as actors, days.
+PLAIN = {
+    "en": "it took {n} hours|{n} times last {w}|after {n} days|{n} answers about {b}|last {w} {b} rang|the {m} of {b} has {n} parts|Another {w} from {b}|{b} says no|an intern at {b} told me|{b} and {T} again|in {T} the {w} broke|ask {b}|the store of {T}|{n} minutes from {T}|powered by {b}|people in {T}|dear {b}|hi {g}|with {g} only|{s} is closed|all of {s}", "de": "es dauerte {n} Stunden|{n} Mal im {M2}|nach {n} Tagen|{n} Antworten zu {b}|das {m} von {b} hat {n} Teile|{b} sagt nein|ein Praktikant von {b} sagte das|in der Filiale {T}|in {T} ging es kaputt|fragt {b}|{n} Minuten bis {T}|Leute aus {T}|Hallo {g}|nur mit {g}|die {t} ist gesperrt",
+    "es": "tardó {n} horas|{n} veces en mayo|a los {n} días|{n} respuestas sobre {b}|el {m} de {b} tiene {n} piezas|{b} dice que no|un becario de {b} lo dijo|la tienda de {T}|en {T} se rompió|preguntad a {b}|a {n} minutos de {T}|hola {g}|solo con {g}|la {c} está cerrada", "fr": "il a fallu {n} heures|{n} fois en mai|après {n} jours|{n} réponses sur {b}|le {m} de {b} a {n} pièces|{b} dit non|un stagiaire de {b} l'a dit|le magasin de {T}|à {T} il a cassé|demandez à {b}|à {n} minutes de {T}|bonjour {g}|avec {g} seulement|la {r} est fermée",
+    "it": "ci sono volute {n} ore|{n} volte a maggio|dopo {n} giorni|{n} risposte su {b}|il {m} di {b} ha {n} pezzi|{b} dice no|uno stagista di {b} lo ha detto|il negozio di {T}|a {T} si è rotto|chiedete a {b}|a {n} minuti da {T}|ciao {g}|solo con {g}|{w2} è chiusa", "pt": "levou {n} horas|{n} vezes em maio|após {n} dias|{n} respostas sobre {b}|o {m} da {b} tem {n} peças|{b} diz que não|um estagiário da {b} disse|a loja de {T}|em {T} quebrou|perguntem à {b}|a {n} minutos de {T}|oi {g}|só com {g}|a {u} está fechada",
+}
+
 
 class Maker:
     """Random spans and what is easily taken for them."""
 
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, more: bool = False, plain: list[str] | None = None):
+        self.r, self.more, self.plain = random.Random(seed), more, plain
 
     def word(self, lo=2, hi=3):
+        r = self.r
+        if self.plain and r.random() < 0.6:  # a word of the text around, or two halves of them
+            a, b = r.choice(self.plain), r.choice(self.plain)
+            return (a if r.random() < 0.35 else a[: len(a) // 2 + 1] + b[(len(b) + 1) // 2 :]).capitalize()
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(lo, hi))).capitalize()
 
     def digits(self, pattern: str) -> str:
@@ -159,7 +198,7 @@ class Maker:
 
     def A(self, lang):  # noqa: N802
         r = self.r
-        n, name, town = str(r.randint(1, 299)), self.word(), self.word()
+        n, name, town = str(r.randint(1, 299)), r.choice(self.plain).capitalize() if self.plain and r.random() < 0.4 else self.word(), self.word()
         if r.random() < 0.3:
             name = r.choice([f"{name} {self.word()}", r.choice(FAMILY), f"{r.choice(GIVEN)} {r.choice(FAMILY)}", r.choice(WORDS).capitalize()])
         n += r.choice(["", "", "", "", "a", "B", " b", "/2", "-3"])
@@ -187,10 +226,10 @@ class Maker:
 
     def N(self, lang):  # noqa: N802
         r = self.r
-        g = r.choice(GIVEN) if r.random() < 0.92 else self.word(1, 3)
+        g = r.choice(GIVEN) if r.random() < (0.86 if self.more else 0.92) else self.word(1, 3)
         f = self.family()
         out = r.choice([f"{g} {f}"] * 8 + [f"{g} {r.choice('ABCDEHJKLMRST')}. {f}", f"{f}, {g}", f"{g} {r.choice(GIVEN)} {f}", f"{g}-{r.choice(GIVEN)} {f}", f"{g} {r.choice(['de', 'da', 'van', 'von', 'di', 'del', 'dos', 'bin', 'al', 'le'])} {f}", f"{g} {f} {self.family()}", f"{r.choice('ABCDEHJKLMRST')}. {g} {f}"])
-        return out.upper() if r.random() < 0.05 else out.lower() if r.random() < 0.07 else out
+        return out.upper() if r.random() < 0.05 else out.lower() if r.random() < (0.14 if self.more else 0.07) else out
 
     def brand(self):
         r, name = self.r, self.word()
@@ -221,12 +260,33 @@ class Maker:
                 span = getattr(self, kind)(lang)
         return before + span + after, [0] * len(before) + [1 + 2 * k] + [2 + 2 * k] * (len(span) - 1) + [0] * len(after)
 
+    def framed(self, lang: str, kind: str | None) -> tuple[str, list[int]]:
+        """A clause made of parts, in which nouns of all kinds of numbers stand in the same places."""
+        r = self.r
+        if kind is None and r.random() < 0.4:
+            return (x := re.sub(r"\{(\w+)\}", lambda m: self.fill(m.group(1)), r.choice(PLAIN[lang].split("|")))), [0] * len(x)
+        if kind in (None, "P", "I") and (kind != "P" or r.random() < 0.5):
+            before, after = r.choice(FRAMES[lang].split("|")).replace("{n}", r.choice(NOUNS[lang][kind or "O"].split("|"))).split("{}")
+        else:
+            before, after = r.choice(LOOSE[lang][kind].split("|")) + " ", r.choice(LOOSE[lang]["end"].split("|"))
+        span, k = getattr(self, kind)(lang) if kind else self.fill("o"), "EPIAN".find(kind or "-")
+        if kind == "I" and r.random() < 0.2:
+            span = self.digits(r.choice(["9999 9999 9999", "999999999999", "9999-9999-9999", "999999999"]))
+        elif kind == "P" and r.random() < 0.15:
+            span = self.digits(r.choice(["9999999999", "999 9999", "999-9999", "99999999999", "999999999"]))
+        if kind == "N" and r.random() < 0.12:  # a name at the beginning
+            before = ""
+        return before + span + after, [0] * len(before) + ([1 + 2 * k] + [2 + 2 * k] * (len(span) - 1) if kind else [0] * len(span)) + [0] * len(after)
+
+    def part(self, lang: str, kind: str | None) -> tuple[str, list[int]]:
+        return (self.framed if self.more and self.r.random() < 0.6 else self.clause)(lang, kind)
+
     def sentence(self, spans: float = 0.55) -> tuple[str, list[int]]:
         r, lang = self.r, self.r.choice(list(CUES))
-        text, tags = self.clause(lang, r.choice("EPIAN") if r.random() < spans else None)
+        text, tags = self.part(lang, r.choice("EPIAN") if r.random() < spans else None)
         lead, tail = (r.choice(x.split("|")) for x in AROUND[lang])
         if r.random() < 0.25:
-            more, marks = self.clause(lang, r.choice("EPIAN") if r.random() < spans else None)
+            more, marks = self.part(lang, r.choice("EPIAN") if r.random() < spans else None)
             glue = r.choice([", ", "; ", " - ", ". ", " / "])
             text, tags = text + glue + more, tags + [0] * len(glue) + marks
         if not lead and text[0].islower() and not tags[0] and r.random() < 0.8:

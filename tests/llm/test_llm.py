@@ -376,6 +376,26 @@ def test_scorer_passes_spans():
     assert len(passed) > 0.97 * len(texts)
 
 
+def test_reader_reads_every_word_alike_in_any_batch():
+    import pyarrow as pa
+
+    from postmill.llm import reader
+
+    span, filler = "Call me on +1 857 555 0186 after six.", "the lamp was fine and the cable too "
+    long = [filler * n + span + " " + filler * 40 for n in (0, 10, 70, 400)]
+    together = pii.read([*long, "no", "", span])
+    assert together == [x for t in [*long, "no", "", span] for x in pii.read([t])]
+    assert all([k for k, _, _ in x] == ["phone"] for x in [*together[:4], together[-1]])
+    w, names = pii.model()
+    doc, _, codes, words = reader.words_of(pa.array(long[:3], pa.large_string()))
+    e = reader.scores(w, doc, codes, reader.embedded(w, reader.numbers(words, names)))
+    # Leaving out words that no tag can hold changes no best path.
+    for d in range(3):
+        rows = e[doc == d]
+        whole = np.concatenate([rows, np.where(np.arange(tagger.TAGS) == 0, 0, -1e4)[None].astype(np.float32)])
+        assert (tagger.decode({**w, "st": w["tr"][0]}, whole[:, None, :])[0, :-1] == reader.paths(w, doc, e)[doc == d]).all()
+
+
 def test_masks_keep_the_stored_text():
     assert pii.masked("мир\u00a0 и (Anna Berg).", "миp и (Anna Berg).", [("name", 7, 16)]) == "мир\u00a0 и ([NAME])."
 
