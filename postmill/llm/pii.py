@@ -32,7 +32,9 @@ PARTICLES = frozenset("de di da do dos das del della van von der den la le du al
 PERSONAL = "999-99-9999|999 99 9999|99 999 999 999|99/999/99999|99 999999 A 999|9 99 99 99 999 999 99|9 99 99 99 999 999|999.999.999-99|99.999.999-9|99/99999999/99"
 TELEPHONE = "9.999.999.9999|9-999-999-9999|999-999-9999|999.999.9999|999-9999|999 9999|9999 9999|9999999999"
 # Formats of parcel, order and card numbers.
-PARCEL = "9999-9999-999|9999 9999 9999|9999 9999 9999 9999|999-9999999-9999999|999999999999"
+PARCEL = "9999-9999-999|9999 9999 9999 9999|999-9999999-9999999"
+# Formats of parcel numbers and of personal numbers (twelve digits: Aadhaar), so only what stands around tells; no telephone number.
+TWELVE = "9999 9999 9999|999999999999"
 # The dot of a domain, as it is or spelled out.
 DOT = re.compile(r"\w\s*\.\s*\w|\b(?:dot|punkt|punto|point|ponto)\b", re.I)
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
@@ -66,7 +68,7 @@ def settled(kind: str, span: str) -> str | None:
     """The kind of a span that was found as ``kind``, None if what it holds contradicts any: a number in a public format of the other kind of numbers is of that kind."""
     if kind in ("phone", "id_number"):
         form = re.sub(r"[A-Za-z]", "A", re.sub(r"\d", "9", span.strip(" ().:#")))
-        if form in PARCEL.split("|"):
+        if form in PARCEL.split("|") or (kind == "phone" and form in TWELVE.split("|")):
             return None
         kind = "id_number" if form in PERSONAL.split("|") else "phone" if form in TELEPHONE.split("|") or "+" in span else kind
         if kind == "phone" and "A" in form:
@@ -118,11 +120,11 @@ def _tagged(df: DataFrame, key: str, col: str, stored: bool) -> DataFrame:
 
 
 def _no_brands(spans: DataFrame, brands: DataFrame | None, col: str) -> DataFrame:
-    """The spans, one a row, without names that are brands; a long list of brands is joined by a shuffle."""
+    """The spans, one a row, without names and addresses that are brands; a long list of brands is joined by a shuffle."""
     if brands is None:
         return spans
     names = brands.select(F.lower(F.trim(col)).alias("_name")).where("_name is not null").distinct()
-    same = (F.col("kind") == "name") & (F.lower(F.trim("value")) == F.col("_name"))
+    same = F.col("kind").isin("name", "address") & (F.lower(F.trim("value")) == F.col("_name"))
     return spans.join(if_small(names, F.length("_name") + 16), same, "left_anti")
 
 

@@ -376,6 +376,11 @@ def test_scorer_passes_spans():
     assert len(passed) > 0.97 * len(texts)
 
 
+def test_formats_of_parcels_do_not_hide_identity_numbers():
+    texts = ["A copy of my passport 0269 9012 8379 went around.", "Tracking 4300 1033 3556 has not moved.", "El documento de identidad 81932896-U estaba a la vista."]
+    assert [[k for k, _, _ in found] for found in pii.read(texts)] == [["id_number"], [], ["id_number"]]
+
+
 def test_reader_reads_every_word_alike_in_any_batch():
     import pyarrow as pa
 
