@@ -36,21 +36,22 @@ COUNTER = re.compile(
     r"|(?:vor|hace|il y a|há)\s+\d+\s*(?:h|std\.?|min\.?|minuten|stunden|tagen|horas?|días|heures?|jours|dias)|\d+\s*(?:h|ore|min|giorni)\s*fa|\d+\s*h\s*atrás"
 )
 # Patterns of whole lines or sentences in the page's voice.
-VOICE = re.compile(
-    "|".join(
-        (
-            r"(?:we|this (?:web)?site|our (?:web)?site|this page) (?:use|uses|store|stores|set|sets)\b.*(?:cookies?|data|device).*",
-            r"by (?:continuing|using|browsing)\b.*(?:you )?(?:agree|accept|consent).*",
-            r"your privacy\b.*", r"terms of (?:use|service)\b.*(?:apply|content).*", r"powered by .*", r"follow us\b.*", r"(?:sign up|subscribe) (?:for|to) our .*", r"\d+ (?:people|users|guests|visitors) (?:are|is) (?:viewing|reading|here|online).*",
-            r"(?:top|most read|popular|latest) (?:posts?|articles|stories|topics)\b.*", r"trending (?:in|on|now)\b.*", r"related:? \d+ .*", r"related (?:posts|articles|topics)\b.*", r"you (?:may|might) also like.*", r"edited · .*", r"(?:©|\(c\)|copyright)\s*.*", r".*\ball rights reserved\.?",
-            r"wir (?:verwenden|nutzen|setzen)\b.*cookies.*", r"diese (?:seite|website|webseite) (?:verwendet|nutzt|speichert|setzt)\b.*", r"(?:mit der nutzung|durch die nutzung|wenn sie fortfahren)\b.*", r"ihre privatsphäre\b.*", r"(?:beliebt|im trend) (?:in|bei)\b.*", r"ähnliche (?:beiträge|themen)\b.*", r".*\balle rechte vorbehalten\.?", r"\d+ (?:personen|nutzer|leute) (?:sehen|lesen)\b.*", r"es gelten die nutzungsbedingungen.*", r"folgen sie uns\b.*", r"das könnte (?:sie|dich) auch .*",
-            r"(?:usamos|utilizamos|este sitio (?:usa|utiliza|guarda|almacena))\b.*(?:cookies|datos|dispositivo).*", r"(?:si|al) contin[uú]a(?:r|s)?\b.*(?:acepta|cookies).*", r"(?:su|tu) privacidad\b.*", r"tendencias? (?:en|de)\b.*", r"\d+ (?:preguntas|temas|respuestas) relacionad[ao]s.*", r".*\btodos los derechos reservados\.?", r"\d+ personas (?:están )?(?:viendo|leyendo).*", r"síguenos\b.*",
-            r"(?:nous utilisons|ce site (?:utilise|stocke))\b.*", r"en (?:poursuivant|continuant)\b.*(?:accept|cookies).*", r"votre vie privée\b.*", r"tendances? (?:chez|sur|dans)\b.*", r"\d+ sujets (?:similaires|liés).*", r".*\btous droits réservés\.?", r"\d+ personnes (?:consultent|regardent|lisent).*", r"suivez-nous\b.*",
-            r"(?:utilizziamo|usiamo|questo sito (?:usa|utilizza|memorizza))\b.*(?:cookie|dati).*", r"continuando\b.*(?:accett|cookie).*", r"la tua privacy\b.*", r"(?:di )?tendenz[ae] (?:in|su|da)\b.*", r"\d+ (?:domande|argomenti) (?:correlat[ei]|simili).*", r".*\btutti i diritti riservati\.?", r"seguici\b.*",
-            r"(?:este site (?:usa|utiliza|guarda|armazena))\b.*(?:cookies|dados).*", r"ao continuar\b.*(?:aceita|concorda|cookies).*", r"(?:a sua|sua) privacidade\b.*", r"em alta (?:em|na|no)\b.*", r"\d+ (?:perguntas|tópicos) relacionad[ao]s.*", r".*\btodos os direitos reservados\.?", r"siga-nos\b.*",
-        )
-    )
+VOICES = (
+    r"(?:we|this (?:web)?site|our (?:web)?site|this page) (?:use|uses|store|stores|set|sets)\b.*(?:cookies?|data|device).*",
+    r"by (?:continuing|using|browsing)\b.*(?:you )?(?:agree|accept|consent).*",
+    r"your privacy\b.*", r"terms of (?:use|service)\b.*(?:apply|content).*", r"powered by .*", r"follow us\b.*", r"(?:sign up|subscribe) (?:for|to) our .*", r"\d+ (?:people|users|guests|visitors) (?:are|is) (?:viewing|reading|here|online).*",
+    r"(?:top|most read|popular|latest) (?:posts?|articles|stories|topics)\b.*", r"trending (?:in|on|now)\b.*", r"related:? \d+ .*", r"related (?:posts|articles|topics)\b.*", r"you (?:may|might) also like.*", r"edited · .*", r"(?:©|\(c\)|copyright)\s*.*", r".*\ball rights reserved\.?",
+    r"wir (?:verwenden|nutzen|setzen)\b.*cookies.*", r"diese (?:seite|website|webseite) (?:verwendet|nutzt|speichert|setzt)\b.*", r"(?:mit der nutzung|durch die nutzung|wenn sie fortfahren)\b.*", r"ihre privatsphäre\b.*", r"(?:beliebt|im trend) (?:in|bei)\b.*", r"ähnliche (?:beiträge|themen)\b.*", r".*\balle rechte vorbehalten\.?", r"\d+ (?:personen|nutzer|leute) (?:sehen|lesen)\b.*", r"es gelten die nutzungsbedingungen.*", r"folgen sie uns\b.*", r"das könnte (?:sie|dich) auch .*",
+    r"(?:usamos|utilizamos|este sitio (?:usa|utiliza|guarda|almacena))\b.*(?:cookies|datos|dispositivo).*", r"(?:si|al) contin[uú]a(?:r|s)?\b.*(?:acepta|cookies).*", r"(?:su|tu) privacidad\b.*", r"tendencias? (?:en|de)\b.*", r"\d+ (?:preguntas|temas|respuestas) relacionad[ao]s.*", r".*\btodos los derechos reservados\.?", r"\d+ personas (?:están )?(?:viendo|leyendo).*", r"síguenos\b.*",
+    r"(?:nous utilisons|ce site (?:utilise|stocke))\b.*", r"en (?:poursuivant|continuant)\b.*(?:accept|cookies).*", r"votre vie privée\b.*", r"tendances? (?:chez|sur|dans)\b.*", r"\d+ sujets (?:similaires|liés).*", r".*\btous droits réservés\.?", r"\d+ personnes (?:consultent|regardent|lisent).*", r"suivez-nous\b.*",
+    r"(?:utilizziamo|usiamo|questo sito (?:usa|utilizza|memorizza))\b.*(?:cookie|dati).*", r"continuando\b.*(?:accett|cookie).*", r"la tua privacy\b.*", r"(?:di )?tendenz[ae] (?:in|su|da)\b.*", r"\d+ (?:domande|argomenti) (?:correlat[ei]|simili).*", r".*\btutti i diritti riservati\.?", r"seguici\b.*",
+    r"(?:este site (?:usa|utiliza|guarda|armazena))\b.*(?:cookies|dados).*", r"ao continuar\b.*(?:aceita|concorda|cookies).*", r"(?:a sua|sua) privacidade\b.*", r"em alta (?:em|na|no)\b.*", r"\d+ (?:perguntas|tópicos) relacionad[ao]s.*", r".*\btodos os direitos reservados\.?", r"siga-nos\b.*",
 )
+# Patterns that begin anywhere are followed only in texts with their fixed part.
+ANYWHERE = [x for x in VOICES if x.startswith(".*")]
+FIXED = [re.match(r"\.\*(?:\\b)?([^\W\d_]+(?: [^\W\d_]+)*)", x).group(1) for x in ANYWHERE]
+VOICE = re.compile("|".join(x for x in VOICES if x not in ANYWHERE))
+VOICE_ANYWHERE = re.compile("|".join(ANYWHERE))
 # Frequent function words of six languages.
 STOP = frozenset("""
 the a an and or but of to in on at for from with by is are was were be been it its i my we our you your he she they their this that these those not no so as if than then there here has have had do does did will would can could me us them after before about out up down over just very more most
@@ -70,7 +71,8 @@ browser datenschutzerklärung verwenden akzeptieren zustimmen hilfreich ansehen
 """.split()) | {w for x in MENU for w in x.split() if w not in STOP and w not in SPEAKER}
 SITE = re.compile(r"\b(?:we|our|us|your|this (?:page|site|website)|wir|unsere[nr]?|ihre[nr]?|diese (?:seite|website)|este sitio|esta página|nuestr[oa]s?|su|nous|notre|nos|ce site|cette page|votre|vos|questo sito|questa pagina|nostr[oaie]|este site|noss[oa]s?)\b")
 
-SEPARATOR = re.compile(r"\s*[·|/>»•–—]\s*|\s{2,}|\s-\s")
+MARKS = "·|/>»•–—"
+SEPARATOR = re.compile(rf"\s*[{MARKS}]\s*|\s{{2,}}|\s-\s")
 LIST_ITEM = re.compile(r"\s*(?:[-*•+–]|\d{1,2}[.)])\s+\S")
 LINK = re.compile(r"(?:https?://|www\.)\S+")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -93,16 +95,20 @@ def _only_labels(text: str) -> int:
     return max(0, done[-1] - 1)
 
 
+def _voiced(text: str) -> bool:
+    return VOICE.fullmatch(text) is not None or any(x in text for x in FIXED) and VOICE_ANYWHERE.fullmatch(text) is not None
+
+
 def _voice(text: str) -> bool:
     """Every sentence, or label before it, is in the page's voice."""
-    if VOICE.fullmatch(text):
+    if _voiced(text):
         return True
     parts = re.split(r"(?<=[.!])\s+", text)
     for part in parts:
         words = part.split()
         cut = next((k for k in range(min(4, len(words)), 0, -1) if _label(" ".join(words[:k]))), 0)
         rest = " ".join(words[cut:])
-        if rest and not VOICE.fullmatch(rest) and not _label(rest):
+        if rest and not _label(rest) and (rest == text or not _voiced(rest)):
             return False
     return True
 
@@ -115,22 +121,23 @@ def decide(line: str) -> str:
     if LIST_ITEM.match(line) and not _label(text.lstrip("-*•+– ")):
         return AUTHOR
     words = WORD.findall(text)
-    stops = sum(w in STOP for w in words)
+    stops = sum(map(STOP.__contains__, words))
     density = stops / len(words) if words else 0.0
-    speaks = any(w in SPEAKER for w in words)
-    parts = [p for p in SEPARATOR.split(text) if p]
+    speaks = not SPEAKER.isdisjoint(words)
+    # Without a mark between parts, and with single blanks only, there is nothing to split.
+    parts = [p for p in SEPARATOR.split(text) if p] if " - " in text or any(c in text for c in MARKS) or " ".join(text.split()) != text else [text]
     labels = sum(map(_label, parts))
     if parts and labels == len(parts) and not text.isdigit() or len(parts) >= 3 and labels >= 0.6 * len(parts):
         return PAGE
     if len(parts) >= 3 and density < 0.15 and not speaks and text[-1] not in ".!?" and all(len(p.split()) <= 4 for p in parts):
         return PAGE
     if not speaks and words:
-        own = sum(w in PAGE_WORDS for w in words) / len(words)
+        own = sum(map(PAGE_WORDS.__contains__, words)) / len(words)
         if own >= 0.4 and (len(words) > 1 or own == 1 and len(text) < 40) and (len(words) <= 8 or SITE.search(text)):
             return PAGE
     if _voice(text) or 2 < _only_labels(text):
         return PAGE
-    linked = sum(len(m) for m in LINK.findall(text))
+    linked = sum(len(m) for m in LINK.findall(text)) if "://" in text or "www." in text else 0
     if linked > 0.8 * len(text):
         return OPEN if text.count("://") + text.count("www.") < 3 else PAGE
     if text.startswith("#") or not words:

@@ -150,6 +150,13 @@ def test_page_lines(spark):
     assert boilerplate.main_text(posts(spark, [text, None]), "id", "posts").orderBy("key").first()["main"] == "\nThe cookie banner kept coming back, so I gave up.\nPros:\n- quiet motor"
 
 
+@pytest.mark.parametrize("line", ["© 2021 wren. all rights reserved.", "all rights reserved by nobody", "tous droits réservés", "halls of all rights reserved", "we use cookies here", "a lamp - a cable", "a  b", "a\u2003b | c", "plain words only", "x all rights reservedly"])
+def test_page_patterns_are_all_followed(line):
+    import re
+
+    assert boilerplate._voiced(line) == (re.compile("|".join(boilerplate.VOICES)).fullmatch(line) is not None)
+
+
 def test_languages(spark):
     sentences = {"en": "the shop was closed and nobody told us about it", "de": "der Laden war zu und niemand hat uns das gesagt", "es": "la tienda estaba cerrada y nadie nos lo dijo", "fr": "le magasin était fermé et personne ne nous a prévenus", "it": "il negozio era chiuso e nessuno ci ha detto niente", "pt": "a loja estava fechada e ninguém nos disse nada"}
     train = spark.createDataFrame([(i, s, code) for i, (code, s) in enumerate(list(sentences.items()) * 5)], "id long, posts string, lang string")
