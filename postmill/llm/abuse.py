@@ -104,7 +104,7 @@ ORDINARY = frozenset("batch ordre ordres ordner idee ideas idea closer laser los
 
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”»')\]]*\s+|\n+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
-TOKEN = re.compile(r"[^\s]+")
+PARTS = re.compile(r"[-–—/’']")
 STRIP = ".,;:!?…\"'“”‘’«»()[]{}<>¿¡"
 
 
@@ -296,11 +296,14 @@ class Scorer:
 
     def sentence(self, text: str) -> dict[str, float]:
         """Category -> score of one sentence, 0 to 1; categories at 0 are left out."""
-        tokens = []
-        for t in TOKEN.findall(SPACED.sub(lambda m: " " + _joined(m) + " ", text)):
-            tokens += [p for p in re.split(r"[-–—/’']", t) if p] if t.isascii() is False or "-" in t or "'" in t or "/" in t else [t]
-        hits = [self._terms(t) for t in tokens]
-        if sum(map(bool, hits)) == 0:
+        plain = SPACED.sub(lambda m: " " + _joined(m) + " ", text)
+        tokens = plain.split()
+        if not plain.isascii() or "-" in plain or "'" in plain or "/" in plain:
+            tokens = [p for t in tokens for p in ([t] if t.isascii() and "-" not in t and "'" not in t and "/" not in t else PARTS.split(t)) if p]
+        hits = list(map(self.known.get, tokens))
+        if None in hits:
+            hits = list(map(self._terms, tokens))
+        if not any(hits):
             return {}
         spaced = {m.group(): _joined(m) for m in SPACED.finditer(text)}
         if spaced:  # an article before spaced letters is drawn into them
@@ -311,14 +314,19 @@ class Scorer:
         spots = None
         # A pattern is only followed if the sentence holds a term of each of its steps.
         present = frozenset().union(*hits)
-        possible: dict[int, bool] = {}
+        possible: dict[str, list[int]] = {}
+        for t in present:
+            for p in self.lexicon.first.get(t, ()):
+                for x in self.lexicon.later[p]:
+                    if x.isdisjoint(present):
+                        break
+                else:
+                    possible.setdefault(t, []).append(p)
+        if not possible:
+            return {}
         for i, h in enumerate(hits):
             for t in h:
-                for p in self.lexicon.first.get(t, ()):
-                    if p not in possible:
-                        possible[p] = not any(x.isdisjoint(present) for x in self.lexicon.later[p])
-                    if not possible[p]:
-                        continue
+                for p in possible.get(t, ()):
                     category, steps = self.lexicon.patterns[p]
                     if out.get(category) == 1.0:
                         continue
@@ -371,9 +379,19 @@ class Scorer:
         return out
 
 
+_kept: list = [None, None]
+
+
+def _scorer(counts: dict[str, int]) -> Scorer:
+    """The scorer of these counts; workers that run several tasks keep it with what it knows of words."""
+    if _kept[0] is not counts:
+        _kept[:] = counts, Scorer(counts)
+    return _kept[1]
+
+
 def _score(counts):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(counts.value)
+        scorer = _scorer(counts.value)
         for batch in batches:
             found = [scorer.text(t) if t else {} for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(np.array([f.get(c, 0.0) for f in found])) for c in CATEGORIES]], ["key", *CATEGORIES])

@@ -229,6 +229,16 @@ def test_scores_of_misspelled_words(spark):
     assert [r["abuse"] for r in abuse.score_texts(posts(spark, texts), "id", "posts").orderBy("key").collect()] == [1.0, 1.0, 0.0]
 
 
+def test_scorers_are_kept_with_their_counts():
+    a, b = {"idiot": 5}, {"idiot": 5}
+    first = abuse._scorer(a)
+    assert abuse._scorer(a) is first and abuse._scorer(b) is not first
+    # What is known of words changes no score.
+    texts = ["You are a complete idiot.", "you are an i d i o t", "l'idiot que tu es", "The lamp is fine.", "shut up, you-idiot/you"]
+    kept = abuse._scorer(a)
+    assert [kept.text(t) for t in texts] == [kept.text(t) for t in texts] == [abuse.Scorer(a).text(t) for t in texts]
+
+
 def test_automaton_is_brute_force():
     lexicon = abuse.Lexicon()
 
