@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.boilerplate import STOP
+from postmill.llm.boilerplate import SPEAKER, STOP
 from postmill.llm.canon import canonicalise
 from postmill.llm.common import if_small, materialise, strings, table
 from postmill.llm.reader import spans
@@ -91,7 +91,7 @@ def valid(kind: str, span: str) -> bool:
     if kind == "address":
         return digits >= 1 and letters >= 4
     plain = [w for w in words if w.lower() not in PARTICLES]
-    return not digits and sum(len(w) > 1 for w in plain) >= 2 and not any(len(w) > 1 and w.lower() in STOP for w in plain)
+    return not digits and sum(len(w) > 1 for w in plain) >= 2 and not any(len(w) > 1 and (w.lower() in STOP or w in SPEAKER) for w in plain)
 
 
 def read(texts: list[str]) -> list[list[tuple[str, int, int]]]:

@@ -16,7 +16,7 @@ from postmill.llm.tagger import TAGS, _lstm, decode, words_of
 NAMED = {"bare": 12_000, "shape": 1_500, "coarse": 400, "first": 3_000, "last": 3_000, "marks": 200}
 DIGITS = 20
 # Words of a text that are read at once, and words of its neighbourhood that are read besides if it is longer.
-CORE, AROUND, ROWS = 400, 100, 512
+CORE, AROUND, ROWS = 400, 100, 256
 
 
 def traits(words: pa.Array) -> dict[str, pa.Array]:
@@ -68,11 +68,11 @@ def scores(w: dict, doc: np.ndarray, codes: np.ndarray, words: np.ndarray) -> np
     for k in range(0, len(pieces), ROWS):
         a, b, lo, hi = pieces[k : k + ROWS].T
         step = np.arange(int((b - a).max()))[:, None]
-        for d, spots, weights in (("f", a + step, w["out"][:size]), ("b", b - 1 - step, w["out"][size:])):
-            # Each direction begins at an end of the text, so what stands in the cells past the other end changes nothing.
+        for d, spots, weights in (("f", a + step, w["out"][:size]), ("b", b - 1 - step[::-1], w["out"][size:])):
+            # Each direction begins at an end of the text (the second goes through the cells backwards), so what stands in the cells past the other end changes nothing.
             states, _ = _lstm(w, d, codes[np.clip(spots, a, b - 1)], False, into[d])
             keep = (spots >= lo) & (spots < hi)
-            out[spots[keep]] += states[keep] @ weights
+            out[spots[keep]] += (states @ weights)[keep]
     return out
 
 

@@ -411,6 +411,11 @@ def test_reader_reads_every_word_alike_in_any_batch():
     w, names = pii.model()
     doc, _, codes, words = reader.words_of(pa.array(long[:3], pa.large_string()))
     e = reader.scores(w, doc, codes, reader.embedded(w, reader.numbers(words, names)))
+    # Texts of any lengths side by side get the scores that each gets alone from both directions of the LSTM that is trained.
+    vectors = reader.embedded(w, reader.numbers(words, names))
+    for d in range(3):
+        alone = tagger.emissions({**w, "emb": vectors}, codes[doc == d][None])[:, 0]
+        assert np.allclose(e[doc == d][:400], alone[:400], atol=1e-3)
     # Leaving out words that no tag can hold changes no best path.
     for d in range(3):
         rows = e[doc == d]
